@@ -4,7 +4,7 @@ from importlib import import_module
 
 from fleetpulse.catalog.registry import ORACLES, QUERIES
 
-MODULES = ("scans", "baselining")
+MODULES = ("scans", "baselining", "trends", "quality", "causes", "decisions", "samples", "verdicts")
 
 
 def load() -> tuple[dict, dict]:

@@ -13,10 +13,13 @@ from fleetpulse.plans.tables import materialize
 from fleetpulse.schemas import METRICS
 
 STATS = [f"{m}_{s}" for m in METRICS for s in ("mean", "std")]
-RSTATS = [R(s).alias(s) for s in STATS]
 SQL_STATS = ", ".join(f"{r6(s)} AS {s}" for s in STATS)
 
 
+def rounded_stats():
+    return [R(s).alias(s) for s in STATS]
+
+
 def split(spark, sf):
     return sampling.stratified_split(fx.windowed(spark, sf))
 
@@ -27,22 +30,22 @@ def train_base(spark, sf, **kw):
 
 @query("baseline_machine_window", f'WITH {baseline_ctes("train", METRICS)} SELECT machine, "window", n, {SQL_STATS} FROM b_mw', ["train"])
 def baseline_machine_window(spark, sf):
-    return train_base(spark, sf, levels=("machine+window",)).select("machine", "window", "n", *RSTATS)
+    return train_base(spark, sf, levels=("machine+window",)).select("machine", "window", "n", *rounded_stats())
 
 
 @query("baseline_machine", f"WITH {baseline_ctes('train', METRICS)} SELECT machine, n, {SQL_STATS} FROM b_m", ["train"])
 def baseline_machine(spark, sf):
-    return train_base(spark, sf, levels=("machine",)).select("machine", "n", *RSTATS)
+    return train_base(spark, sf, levels=("machine",)).select("machine", "n", *rounded_stats())
 
 
 @query("baseline_type", f"WITH {baseline_ctes('train', METRICS)} SELECT type, n, {SQL_STATS} FROM b_t", ["train"])
 def baseline_type(spark, sf):
-    return train_base(spark, sf, levels=("type",)).select("type", "n", *RSTATS)
+    return train_base(spark, sf, levels=("type",)).select("type", "n", *rounded_stats())
 
 
 @query("baseline_global", f"WITH {baseline_ctes('train', METRICS)} SELECT n, {SQL_STATS} FROM b_g", ["train"])
 def baseline_global(spark, sf):
-    return train_base(spark, sf, levels=("global",)).select("n", *RSTATS)
+    return train_base(spark, sf, levels=("global",)).select("n", *rounded_stats())
 
 
 _LONG = " UNION ALL ".join(
@@ -85,7 +88,7 @@ _ROBUST = ", ".join(
 def baseline_robust(spark, sf):
     train = materialize(split(spark, sf).where("is_train"), "train")
     base = bl.build_baselines(train, METRICS, trim=(0.05, 0.95), levels=("machine+window",))
-    return base.select("machine", "window", "n", *RSTATS)
+    return base.select("machine", "window", "n", *rounded_stats())
 
 
 @query(
@@ -96,7 +99,7 @@ UNION ALL SELECT 'global', NULL, NULL, n, {SQL_STATS} FROM b_g""",
 )
 def baseline_sample_std(spark, sf):
     base = train_base(spark, sf, ddof=1, levels=("machine+window", "global"))
-    return base.select("level", "machine", "window", "n", *RSTATS)
+    return base.select("level", "machine", "window", "n", *rounded_stats())
 
 
 @query(
@@ -128,7 +131,7 @@ def baseline_saved_and_loaded(spark, sf):
 
     root = new_path(spark, "baselines")
     save_baselines(train_base(spark, sf), root, "v1")
-    return load_baselines(spark, root, "v1").where("level = 'machine+window'").select("machine", "window", "n", *RSTATS)
+    return load_baselines(spark, root, "v1").where("level = 'machine+window'").select("machine", "window", "n", *rounded_stats())
 
 
 # Held out of training, so that every level of the fallback is used.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.plans.prefix import exact_percentiles
@@ -25,32 +25,48 @@ def with_keys(df: DataFrame) -> DataFrame:
 
 def moment_cells(train: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """One pass over the readings: count, mean and variance per machine, type and window."""
-    aggs = [F.count(F.lit(1)).alias("n")]
+    aggs = [F.expr("count(1) AS n")]
     for m in metrics:
-        aggs += [F.count(m).alias(f"{m}_n"), F.avg(m).alias(f"{m}_m"), F.var_pop(m).alias(f"{m}_v")]
+        aggs += [F.expr(f"count(`{m}`) AS `{m}_n`"), F.expr(f"avg(`{m}`) AS `{m}_m`"), F.expr(f"var_pop(`{m}`) AS `{m}_v`")]
     return with_keys(train).groupBy("machine", "type", "window").agg(*aggs)
 
 
-def roll_up(cells: DataFrame, keys: Sequence[str], metrics: Sequence[str], ddof: int, floor: float) -> DataFrame:
-    """Merge cell moments to a coarser key: pooled mean, then within- plus between-cell spread."""
+def merge_cells(cells: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """Pool moment rows to a coarser key: counts add, spread is taken around the pooled mean.
+
+    A machine has few cells, so its pooled mean is a window over them. Types and the fleet have many:
+    there the pooled means are an aggregate of a few rows, joined back.
+    """
     keys = list(keys)
-    total = lambda m: F.sum(f"{m}_n")
-    means = cells.groupBy(*keys).agg(
-        F.sum("n").alias("n"),
-        *[F.try_divide(F.sum(F.col(f"{m}_n") * F.col(f"{m}_m")), total(m)).alias(f"{m}_mean") for m in metrics],
-    )
-    joined = cells.drop("n").join(means, keys) if keys else cells.drop("n").crossJoin(F.broadcast(means))
-    aggs = []
+    mean = lambda m: f"try_divide(sum(`{m}_n` * `{m}_m`){{over}}, sum(`{m}_n`){{over}}) AS `{m}_c`"
+    if "machine" in keys:
+        over = f" OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)})"
+        centred = cells.selectExpr("*", *[mean(m).format(over=over) for m in metrics])
+    else:
+        means = F.broadcast(cells.groupBy(*keys).agg(*[F.expr(mean(m).format(over="")) for m in metrics]))
+        centred = cells.join(means, keys) if keys else cells.crossJoin(means)
+    aggs = [F.expr("sum(n) AS n")]
     for m in metrics:
-        gap = F.col(f"{m}_m") - F.col(f"{m}_mean")
-        spread = F.sum(F.col(f"{m}_n") * (F.col(f"{m}_v") + gap * gap))
-        std = F.sqrt(F.try_divide(spread, F.nullif(total(m) - ddof, F.lit(0))))
-        aggs.append(_floored(std, total(m), floor).alias(f"{m}_std"))
-    return joined.groupBy(*keys, "n", *[f"{m}_mean" for m in metrics]).agg(*aggs)
+        n, gap = f"`{m}_n`", f"(`{m}_m` - `{m}_c`)"
+        aggs += [
+            F.expr(f"sum({n}) AS {n}"),
+            F.expr(f"max(`{m}_c`) AS `{m}_m`"),
+            F.expr(f"try_divide(sum({n} * (`{m}_v` + {gap} * {gap})), sum({n})) AS `{m}_v`"),
+        ]
+    return centred.groupBy(*keys).agg(*aggs)
 
 
-def _floored(std: Column, count: Column, floor: float) -> Column:
-    return F.when(count > 0, F.greatest(F.coalesce(std, F.lit(floor)), F.lit(floor)))
+def _stats(metrics: Sequence[str], ddof: int, floor: float) -> list[str]:
+    """Mean and floored deviation of moment rows; both NULL for a metric without values."""
+    out = []
+    for m in metrics:
+        n = f"`{m}_n`"
+        std = f"sqrt(`{m}_v` * {n} / nullif({n} - {ddof}, 0))" if ddof else f"sqrt(`{m}_v`)"
+        out += [
+            f"`{m}_m` AS `{m}_mean`",
+            f"CASE WHEN {n} > 0 THEN greatest(coalesce({std}, {floor!r}D), {floor!r}D) END AS `{m}_std`",
+        ]
+    return out
 
 
 def build_baselines(
@@ -65,27 +81,25 @@ def build_baselines(
     """Baselines of a training split, one row per key: ``level, machine, type, window, n, <m>_mean, <m>_std``.
 
     The readings are aggregated once with map-side combination; coarser levels are merged from those
-    cells. With ``trim`` the machine-and-window level uses only values between the two quantiles.
+    cells. With ``trim`` the machine-and-window level uses only values between the two quantiles. The
+    result is a written table.
     """
     cells = materialize(moment_cells(train, metrics), "cells")
-    stats = [f"{m}_{s}" for m in metrics for s in ("mean", "std")]
+    stats = [f"`{m}_{s}`" for m in metrics for s in ("mean", "std")]
     out = None
     for level in levels:
         keys = LEVEL_KEYS[level]
         floor = floors[1] if level == "global" else floors[0]
-        rows = roll_up(cells.where(F.col("type").isNotNull()) if level == "type" else cells, keys, metrics, ddof, floor)
+        source = cells.where("type IS NOT NULL") if level == "type" else cells
+        rows = merge_cells(source, keys, metrics).selectExpr(*keys, "n", *_stats(metrics, ddof, floor))
         if level == "machine+window" and trim:
             rows = _trimmed(train, metrics, rows, trim, floors[0])
         if not keys:
-            rows = rows.where(F.col("n") > 0)
-        rows = rows.select(
-            F.lit(level).alias("level"),
-            *[F.col(k) if k in keys else F.lit(None).cast("string").alias(k) for k in ("machine", "type", "window")],
-            F.col("n").cast("bigint").alias("n"),
-            *stats,
-        )
+            rows = rows.where("n > 0")
+        named = [f"`{k}`" if k in keys else f"CAST(NULL AS STRING) AS `{k}`" for k in ("machine", "type", "window")]
+        rows = rows.selectExpr(f"'{level}' AS level", *named, "n", *stats)
         out = rows if out is None else out.unionByName(rows)
-    return out
+    return materialize(out, "baselines")
 
 
 def trim_bounds(
@@ -99,7 +113,7 @@ def trim_bounds(
     keys = ["machine", "window"]
     data = with_keys(train).select(*keys, *metrics)
     direct = lambda d: d.groupBy(*keys).agg(
-        *[F.percentile(m, F.lit(q)).alias(f"{m}_{s}") for m in metrics for s, q in zip(("lo", "hi"), trim)]
+        *[F.expr(f"percentile(`{m}`, {q}) AS `{m}_{s}`") for m in metrics for s, q in zip(("lo", "hi"), trim)]
     )
     hot = materialize(
         data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*keys), "hot"
@@ -130,34 +144,22 @@ def _trimmed(train, metrics, plain, trim, floor, min_kept: int = 10) -> DataFram
     keys = ["machine", "window"]
     bounds = broadcast_if_small(materialize(trim_bounds(train, metrics, trim), "bounds"))
     kept = with_keys(train).select(*keys, *metrics).join(bounds, keys)
-    aggs = []
+    aggs, out = [], []
     for m in metrics:
-        inside = F.when(F.col(m).between(F.col(f"{m}_lo"), F.col(f"{m}_hi")), F.col(m))
-        aggs += [F.count(inside).alias(f"{m}_k"), F.avg(inside).alias(f"{m}_tm"), F.stddev_pop(inside).alias(f"{m}_ts")]
-    joined = plain.join(kept.groupBy(*keys).agg(*aggs), keys)
-    pick = lambda m, t, p: F.when(F.col(f"{m}_k") >= min_kept, t).otherwise(p)
-    return joined.select(
-        *keys,
-        "n",
-        *[pick(m, F.col(f"{m}_tm"), F.col(f"{m}_mean")).alias(f"{m}_mean") for m in metrics],
-        *[
-            pick(m, F.greatest(F.col(f"{m}_ts"), F.lit(floor)), F.col(f"{m}_std")).alias(f"{m}_std")
-            for m in metrics
-        ],
-    )
+        inside = f"CASE WHEN `{m}` BETWEEN `{m}_lo` AND `{m}_hi` THEN `{m}` END"
+        aggs += [F.expr(f"{f}({inside}) AS `{m}_{a}`") for f, a in (("count", "k"), ("avg", "tm"), ("stddev_pop", "ts"))]
+        enough = f"`{m}_k` >= {min_kept}"
+        out += [
+            f"CASE WHEN {enough} THEN `{m}_tm` ELSE `{m}_mean` END AS `{m}_mean`",
+            f"CASE WHEN {enough} THEN greatest(`{m}_ts`, {floor!r}D) ELSE `{m}_std` END AS `{m}_std`",
+        ]
+    return plain.join(kept.groupBy(*keys).agg(*aggs), keys).selectExpr("machine", "window", "n", *out)
 
 
 def to_long(baselines: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """Long form: one row per key and metric."""
-    cells = F.array(
-        *[
-            F.struct(F.lit(m).alias("metric"), F.col(f"{m}_mean").alias("mean"), F.col(f"{m}_std").alias("std"))
-            for m in metrics
-        ]
-    )
-    return baselines.select("level", "machine", "type", "window", "n", F.explode(cells).alias("e")).select(
-        "level", "machine", "type", "window", "e.*", "n"
-    )
+    cells = ", ".join(f"named_struct('metric', '{m}', 'mean', `{m}_mean`, 'std', `{m}_std`)" for m in metrics)
+    return baselines.selectExpr("level", "machine", "type", "window", "n", f"inline(array({cells}))")
 
 
 def known_machines(train: DataFrame, ts: str = "timestamp") -> DataFrame:

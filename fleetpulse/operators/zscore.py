@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.functions.numbers import max_abs
 from fleetpulse.operators.baselines import LEVELS, with_keys
-from fleetpulse.plans.tables import broadcast_if_small, materialize
+from fleetpulse.plans.tables import BROADCAST_ROWS
 from fleetpulse.schemas import Z_THRESHOLD
 
 
@@ -19,16 +18,16 @@ def machine_lookup(baselines: DataFrame, stats: Sequence[str]) -> DataFrame:
     Both machine levels then cost a single join on the machine. A machine has at most one entry per
     window, so the map is small.
     """
-    row = F.struct(*stats)
-    at = lambda level: F.col("level") == level
+    row = f"struct({', '.join(f'`{s}`' for s in stats)})"
     return (
-        baselines.where(F.col("level").isin("machine", "machine+window"))
+        baselines.where("level IN ('machine', 'machine+window')")
         .groupBy("machine")
         .agg(
-            F.max(F.when(at("machine"), row)).alias("_day"),
-            F.map_from_entries(
-                F.collect_list(F.when(at("machine+window"), F.struct("window", row)))
-            ).alias("_by_window"),
+            F.expr(f"max(CASE WHEN level = 'machine' THEN {row} END) AS _day"),
+            F.expr(
+                f"map_from_entries(collect_list(CASE WHEN level = 'machine+window' THEN struct(`window`, {row}) END)) "
+                "AS _by_window"
+            ),
         )
     )
 
@@ -38,36 +37,39 @@ def attach_baselines(
 ) -> DataFrame:
     """Add ``<m>_mean``, ``<m>_std`` and ``baseline_used``: the first level that knows the reading.
 
-    Facts are never shuffled while the machine table is within the broadcast bound; beyond it there is
-    one shuffle join on the machine, whose hot keys adaptive execution splits.
+    ``baselines`` is a written table. Facts are never shuffled while its machine part is within the
+    broadcast bound; beyond it there is one shuffle join on the machine, whose hot keys adaptive
+    execution splits.
     """
     stats = [f"{m}_{s}" for m in metrics for s in ("mean", "std")]
+    row = f"struct({', '.join(f'`{s}`' for s in stats)})"
+    # One small row per level.
+    sizes = {r["level"]: r["count"] for r in baselines.groupBy("level").count().collect()}
+    side = lambda table, *names: F.broadcast(table) if max(sizes.get(n, 0) for n in names) <= BROADCAST_ROWS else table
     df = with_keys(df)
     steps = []
     if "machine+window" in levels or "machine" in levels:
-        lookup = broadcast_if_small(materialize(machine_lookup(baselines, stats), "machines"))
-        df = df.join(lookup, "machine", "left")
+        df = df.join(side(machine_lookup(baselines, stats), "machine", "machine+window"), "machine", "left")
         if "machine+window" in levels:
             # A NULL window has no entry; '' never names one.
-            steps.append(("machine+window", F.try_element_at("_by_window", F.coalesce("window", F.lit("")))))
+            steps.append(("machine+window", "try_element_at(_by_window, coalesce(`window`, ''))"))
         if "machine" in levels:
-            steps.append(("machine", F.col("_day")))
-    row = F.struct(*stats)
+            steps.append(("machine", "_day"))
     if "type" in levels:
-        types = materialize(
-            baselines.where((F.col("level") == "type") & (F.col("type") != "")).select("type", row.alias("_type")), "types"
-        )
-        df = df.join(broadcast_if_small(types), "type", "left")
-        steps.append(("type", F.col("_type")))
-    fleet = baselines.where(F.col("level") == "global").select(row.alias("_fleet"))  # one row
-    df = df.crossJoin(F.broadcast(fleet))
-    steps.append(("global", F.col("_fleet")))
+        types = baselines.where("level = 'type' AND type <> ''").selectExpr("type", f"{row} AS _type")
+        df = df.join(side(types, "type"), "type", "left")
+        steps.append(("type", "_type"))
+    df = df.crossJoin(F.broadcast(baselines.where("level = 'global'").selectExpr(f"{row} AS _fleet")))  # one row
+    steps.append(("global", "_fleet"))
 
-    used = F.coalesce(*[F.when(s.isNotNull(), F.lit(name)) for name, s in steps])
-    chosen = F.coalesce(*[s for _, s in steps])
-    out = df.withColumn("baseline_used", used).withColumn("_chosen", chosen)
-    out = out.withColumns({s: F.coalesce(F.col(f"_chosen.{s}"), F.col(f"_fleet.{s}")) for s in stats})
-    return out.drop("_day", "_by_window", "_type", "_fleet", "_chosen")
+    whens = " ".join(f"WHEN {s} IS NOT NULL THEN '{name}'" for name, s in steps)
+    keep = [f"`{c}`" for c in df.columns if c not in ("_day", "_by_window", "_type")]
+    chosen = df.selectExpr(*keep, f"CASE {whens} END AS baseline_used", f"coalesce({', '.join(s for _, s in steps)}) AS _chosen")
+    return chosen.selectExpr(
+        *[c for c in keep if c != "`_fleet`"],
+        "baseline_used",
+        *[f"coalesce(_chosen.`{s}`, _fleet.`{s}`) AS `{s}`" for s in stats],
+    )
 
 
 def zscore(
@@ -78,13 +80,14 @@ def zscore(
     keep_stats: bool = False,
 ) -> DataFrame:
     """Add ``z_<m> = (m - mean) / std`` and ``baseline_used``."""
-    out = attach_baselines(df, baselines, metrics, levels).withColumns(
-        {f"z_{m}": (F.col(m) - F.col(f"{m}_mean")) / F.col(f"{m}_std") for m in metrics}
-    )
-    return out if keep_stats else out.drop(*[f"{m}_{s}" for m in metrics for s in ("mean", "std")])
+    out = attach_baselines(df, baselines, metrics, levels)
+    stats = {f"{m}_{s}" for m in metrics for s in ("mean", "std")}
+    kept = [f"`{c}`" for c in out.columns if keep_stats or c not in stats]
+    return out.selectExpr(*kept, *[f"(`{m}` - `{m}_mean`) / `{m}_std` AS `z_{m}`" for m in metrics])
 
 
 def z_threshold(df: DataFrame, metrics: Sequence[str], limit: float = Z_THRESHOLD) -> DataFrame:
     """Add ``score`` (largest absolute z) and ``pred`` (1 when any exceeds ``limit``)."""
-    score = max_abs([F.col(f"z_{m}") for m in metrics])
-    return df.withColumn("score", score).withColumn("pred", F.coalesce((F.col("score") > limit).cast("int"), F.lit(0)))
+    sizes = [f"abs(`z_{m}`)" for m in metrics]
+    score = f"greatest({', '.join(sizes)})" if len(sizes) > 1 else sizes[0]
+    return df.selectExpr("*", f"{score} AS score").selectExpr("*", f"CASE WHEN score > {limit}D THEN 1 ELSE 0 END AS pred")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetpulse.plans.tables import broadcast_if_small, materialize
+from fleetpulse.plans.tables import few_rows, materialize
 
 
 def value_bucket(value: Column) -> Column:
@@ -102,31 +102,31 @@ def mark_smallest(
     ranked, everything else is decided row by row without a shuffle.
     """
     strata, key = list(strata), list(key)
-    hashed = df.withColumn(
-        "_hash", F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
-    ).withColumn("_prefix", F.substring("_hash", 1, 4))
-    hist = materialize(hashed.groupBy(*strata, "_prefix").agg(F.count(F.lit(1)).alias("_c")), "prefix")
-    grouped = Window.partitionBy(*(strata or [F.lit(0)]))
+    text = ", ".join(f"CAST(`{k}` AS STRING)" for k in key)
+    hashed = df.selectExpr("*", f"md5(concat_ws('|', '{seed}', {text})) AS _hash").selectExpr(
+        "*", "substring(_hash, 1, 4) AS _prefix"
+    )
+    hist = hashed.groupBy(*strata, "_prefix").agg(F.expr("count(1) AS _c"))
+    group = ", ".join(f"`{s}`" for s in strata) or "0"
     cut = (
-        hist.withColumn("n", F.sum("_c").over(grouped))
-        .withColumn("_upto", F.sum("_c").over(grouped.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_quota", F.least(quota.cast("bigint"), F.col("n")))
-        .where((F.col("_upto") >= F.col("_quota")) & (F.col("_upto") - F.col("_c") < F.col("_quota")))
-        .select(
-            *strata,
-            F.col("_prefix").alias("_cut"),
-            (F.col("_quota") - (F.col("_upto") - F.col("_c"))).alias("_need"),
+        hist.selectExpr(
+            "*",
+            f"sum(_c) OVER (PARTITION BY {group}) AS n",
+            f"sum(_c) OVER (PARTITION BY {group} ORDER BY _prefix) AS _upto",
         )
+        .withColumn("_quota", F.least(quota.cast("bigint"), F.col("n")))
+        .where("_upto >= _quota AND _upto - _c < _quota")
+        .selectExpr(*[f"`{s}`" for s in strata], "_prefix AS _cut", "_quota - (_upto - _c) AS _need")
     )
-    cut = broadcast_if_small(materialize(cut, "cut"))
+    cut = few_rows(cut)
     marked = hashed.join(cut, strata, "left") if strata else hashed.join(cut, F.lit(True), "left")
-    edge = F.col("_prefix") == F.col("_cut")
-    rank = F.row_number().over(Window.partitionBy(*(strata or [F.lit(0)])).orderBy("_hash", *key))
-    clear = marked.where(~F.coalesce(edge, F.lit(False))).withColumn(
-        out, F.coalesce(F.col("_prefix") < F.col("_cut"), F.lit(False))
+    rank = f"row_number() OVER (PARTITION BY {group} ORDER BY _hash, {', '.join(f'`{k}`' for k in key)})"
+    names = [f"`{c}`" for c in df.columns]
+    clear = marked.where("NOT coalesce(_prefix = _cut, false)").selectExpr(
+        *names, f"coalesce(_prefix < _cut, false) AS `{out}`"
     )
-    close = marked.where(edge).withColumn(out, rank <= F.col("_need"))
-    return clear.unionByName(close).drop("_hash", "_prefix", "_cut", "_need")
+    close = marked.where("_prefix = _cut").selectExpr(*names, f"{rank} <= _need AS `{out}`")
+    return clear.unionByName(close)
 
 
 def global_index(df: DataFrame, order: Sequence[Column | str], out: str) -> DataFrame:

@@ -52,3 +52,12 @@ def broadcast_if_small(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> Data
     whose hot keys adaptive execution splits.
     """
     return F.broadcast(table) if table.count() <= max_rows else table
+
+
+def few_rows(df: DataFrame, max_rows: int = 1_000) -> DataFrame:
+    """Evaluate a table expected to be tiny, once. Within ``max_rows`` it becomes a local, broadcast table;
+    a larger one is written and checked like any other."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) <= max_rows:
+        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    return broadcast_if_small(materialize(df, "few"))

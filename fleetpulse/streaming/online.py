@@ -8,31 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetpulse.functions.timefeat import add_window
-from fleetpulse.operators.baselines import moment_cells
+from fleetpulse.operators.baselines import merge_cells, moment_cells
 from fleetpulse.schemas import STD_FLOOR
 
 
-def merge_moments(cells: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """Merge moment rows of the same machine, type and window: counts add, spread is pooled around the
-    pooled mean."""
-    keys = ["machine", "type", "window"]
-    pooled = cells.groupBy(*keys).agg(
-        *[
-            F.try_divide(F.sum(F.col(f"{m}_n") * F.col(f"{m}_m")), F.sum(f"{m}_n")).alias(f"_{m}")
-            for m in metrics
-        ]
-    )
-    aggs = [F.sum("n").alias("n")]
-    for m in metrics:
-        gap = F.col(f"{m}_m") - F.col(f"_{m}")
-        aggs += [
-            F.sum(f"{m}_n").alias(f"{m}_n"),
-            F.max(f"_{m}").alias(f"{m}_m"),
-            F.try_divide(F.sum(F.col(f"{m}_n") * (F.col(f"{m}_v") + gap * gap)), F.sum(f"{m}_n")).alias(f"{m}_v"),
-        ]
-    return cells.join(pooled, keys).groupBy(*keys).agg(*aggs)
-
-
 def update_body(root: str, metrics: Sequence[str]) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` body: each batch writes its own moment rows; a rerun overwrites them."""
 
@@ -44,7 +23,7 @@ def update_body(root: str, metrics: Sequence[str]) -> Callable[[DataFrame, int],
 
 def current_baselines(spark: SparkSession, root: str, metrics: Sequence[str], floor: float = STD_FLOOR) -> DataFrame:
     """Machine-and-window baselines of everything seen so far."""
-    cells = merge_moments(spark.read.parquet(root).drop("batch"), metrics)
+    cells = merge_cells(spark.read.parquet(root).drop("batch"), ["machine", "type", "window"], metrics)
     stats = []
     for m in metrics:
         stats += [F.col(f"{m}_m").alias(f"{m}_mean"), F.greatest(F.sqrt(f"{m}_v"), F.lit(floor)).alias(f"{m}_std")]
