@@ -59,20 +59,17 @@ def exact_percentiles(df: DataFrame, by: Sequence[str], value: str, qs: dict[str
         ranked = ranked.join(totals, by)
     else:
         ranked = ranked.crossJoin(F.broadcast(totals))  # one row
-    at = lambda i: F.max(F.when((F.col("cnt_below") <= i) & (i < F.col("cnt_below") + F.col("cnt")), F.col(value)))
-    aggs = []
+    aggs, out = [], []
     for name, q in qs.items():
-        pos = (F.col("_n") - 1) * F.lit(float(q))
-        lo, hi = F.floor(pos), F.ceil(pos)
-        aggs += [at(lo).alias(f"_{name}_lo"), at(hi).alias(f"_{name}_hi"), F.max(pos - lo).alias(f"_{name}_w")]
-    got = ranked.groupBy(*by).agg(*aggs)
-    return got.select(
-        *by,
-        *[
-            (F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_w")).alias(n)
-            for n in qs
-        ],
-    )
+        pos = f"((_n - 1) * {float(q)!r}D)"
+        at = lambda i: f"max(CASE WHEN cnt_below <= {i} AND {i} < cnt_below + cnt THEN `{value}` END)"
+        aggs += [
+            F.expr(f"{at(f'floor({pos})')} AS `_{name}_lo`"),
+            F.expr(f"{at(f'ceil({pos})')} AS `_{name}_hi`"),
+            F.expr(f"max({pos} - floor({pos})) AS `_{name}_w`"),
+        ]
+        out.append(f"`_{name}_lo` + (`_{name}_hi` - `_{name}_lo`) * `_{name}_w` AS `{name}`")
+    return ranked.groupBy(*by).agg(*aggs).selectExpr(*[f"`{b}`" for b in by], *out)
 
 
 def order_statistics(df: DataFrame, by: Sequence[str], value: str, picks: dict[str, Column]) -> DataFrame:
