@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetpulse.functions.numbers import f1_of, safe_ratio
-from fleetpulse.plans.chunks import CHUNK_ROWS, running_sum, with_lookback
+from fleetpulse.plans.chunks import CHUNK, CHUNK_ROWS, assign_chunks, lookback_on, running_sum_on
 from fleetpulse.plans.prefix import cumulative_counts
+from fleetpulse.plans.tables import materialize
 
 
 def confusion(df: DataFrame, by: Sequence[str] = (), label: str = "label", pred: str = "pred") -> DataFrame:
@@ -36,25 +37,6 @@ def with_prf(counts: DataFrame) -> DataFrame:
     )
 
 
-def number_blocks(
-    df: DataFrame,
-    by: Sequence[str] = ("machine",),
-    order: Sequence[str] = ("timestamp", "event_id"),
-    label: str = "label",
-    chunk_rows: int | None = CHUNK_ROWS,
-) -> DataFrame:
-    """Add ``block``: the number, per key, of the anomaly block a row lies in; NULL outside blocks."""
-
-    def starts(d, parts):
-        before = F.lag(label, 1).over(Window.partitionBy(*parts).orderBy(*order))
-        begins = (F.col(label) == 1) & (F.coalesce(before, F.lit(0)) != 1)
-        return d.withColumn("_start", begins.cast("bigint"))
-
-    flagged = with_lookback(df, by, order, 1, starts, chunk_rows, [label])
-    numbered = running_sum(flagged, by, order, "_start", "_no", chunk_rows)
-    return numbered.withColumn("block", F.when(F.col(label) == 1, F.col("_no"))).drop("_start", "_no")
-
-
 def point_adjust(
     df: DataFrame,
     by: Sequence[str] = ("machine",),
@@ -66,21 +48,31 @@ def point_adjust(
 ) -> DataFrame:
     """Add ``pred_adj`` and ``score_adj``: inside a true block both become the block's maximum.
 
-    Block maxima are a map-side combined aggregate joined back on (key, block), so a block of any
-    length stays distributed.
+    Ordinary keys need one shuffle: block numbers and block maxima are windows over the same
+    partitioning. When a key is hot its blocks may cross slices, so block maxima are a map-side combined
+    aggregate joined back on (key, block).
     """
     by = list(by)
-    blocked = number_blocks(df, by, order, label, chunk_rows)
     measures = {"pred_adj": pred, **({"score_adj": score} if score else {})}
-    tops = (
-        blocked.where(F.col("block").isNotNull())
-        .groupBy(*by, "block")
-        .agg(*[F.max(src).alias(f"_{name}") for name, src in measures.items()])
-    )
-    out = blocked.join(tops, [*by, "block"], "left")
-    for name, src in measures.items():
-        out = out.withColumn(name, F.coalesce(f"_{name}", src)).drop(f"_{name}")
-    return out
+    sliced, split = assign_chunks(df, by, order[0], chunk_rows)
+
+    def starts(d, parts):
+        before = F.lag(label, 1).over(Window.partitionBy(*parts).orderBy(*order))
+        begins = (F.col(label) == 1) & (F.coalesce(before, F.lit(0)) != 1)
+        return d.withColumn("_start", begins.cast("bigint"))
+
+    flagged = lookback_on(sliced, split, by, order, 1, starts, [label])
+    blocked = running_sum_on(flagged, split, by, order, "_start", "_block").drop("_start")
+    true = F.col(label) == 1
+    if not split:
+        block = Window.partitionBy(*by, CHUNK, "_block", label)
+        out = blocked.withColumns({n: F.when(true, F.max(src).over(block)).otherwise(F.col(src)) for n, src in measures.items()})
+        return out.drop("_block", CHUNK)
+    tops = blocked.where(true).groupBy(*by, "_block").agg(*[F.max(src).alias(f"_{n}") for n, src in measures.items()])
+    out = blocked.join(tops, [*by, "_block"], "left")
+    for n, src in measures.items():
+        out = out.withColumn(n, F.when(true, F.col(f"_{n}")).otherwise(F.col(src))).drop(f"_{n}")
+    return out.drop("_block", CHUNK)
 
 
 def curve_counts(df: DataFrame, by: Sequence[str], score: str, label: str = "label") -> DataFrame:
@@ -93,59 +85,64 @@ def curve_counts(df: DataFrame, by: Sequence[str], score: str, label: str = "lab
 
 def roc_auc(df: DataFrame, by: Sequence[str] = (), score: str = "score", label: str = "label") -> DataFrame:
     """Probability that a positive outranks a negative, ties counting half; NULL with one class."""
-    pairs = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
-    space = F.sum("pos") * F.sum("neg")
-    return curve_counts(df, by, score, label).groupBy(*by).agg(
-        F.try_divide(pairs, space.cast("double")).alias("roc_auc")
-    )
+    return rank_quality(df, by, score, label).select(*by, "roc_auc")
+
+
+def rank_quality(df: DataFrame, by: Sequence[str] = (), score: str = "score", label: str = "label") -> DataFrame:
+    """``roc_auc``, ``pr_auc`` and ``best_f1`` per group from one pass over the scores.
+
+    ``pr_auc`` is the step-wise area: recall gained times precision, summed over thresholds.
+    """
+    p, r = "(tp / flagged)", "try_divide(tp, positives)"
+    aggs = {
+        "roc_auc": "try_divide(sum(gained * (negatives - (flagged - tp) + neg / 2D)), CAST(max(positives) * max(negatives) AS DOUBLE))",
+        "pr_auc": f"CASE WHEN max(positives) > 0 AND max(negatives) > 0 THEN sum(try_divide(gained, positives) * {p}) END",
+        "best_f1": f"max(2 * {p} * {r} / ({p} + {r} + 1e-12D))",
+    }
+    return precision_recall_steps(df, by, score, label).groupBy(*by).agg(*[F.expr(f"{e} AS {n}") for n, e in aggs.items()])
 
 
 def precision_recall_steps(df: DataFrame, by: Sequence[str] = (), score: str = "score", label: str = "label") -> DataFrame:
-    """Per distinct threshold (flag when score >= it): ``tp, flagged, positives`` and the positives gained."""
+    """Per distinct threshold (flag when score >= it): ``tp, flagged``, what the threshold itself adds
+    (``gained, neg``) and the totals."""
     by = list(by)
     counts = curve_counts(df, by, score, label)
     totals = counts.groupBy(*by).agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
     joined = counts.join(totals, by) if by else counts.crossJoin(F.broadcast(totals))  # one row
-    tp = F.col("positives") - F.col("pos_below")
-    return joined.select(
-        *by,
-        F.col(score).alias("threshold"),
-        F.col("pos").alias("gained"),
-        tp.alias("tp"),
-        (tp + F.col("negatives") - F.col("neg_below")).alias("flagged"),
+    return joined.selectExpr(
+        *[f"`{b}`" for b in by],
+        f"`{score}` AS threshold",
+        "pos AS gained",
+        "neg",
+        "positives - pos_below AS tp",
+        "positives - pos_below + negatives - neg_below AS flagged",
         "positives",
         "negatives",
     )
 
 
 def average_precision(df: DataFrame, by: Sequence[str] = (), score: str = "score", label: str = "label") -> DataFrame:
-    """Step-wise area: sum over thresholds of recall gained times precision; NULL with one class."""
-    step = F.try_divide(F.col("gained"), F.col("positives")) * F.col("tp") / F.col("flagged")
-    both = (F.max("positives") > 0) & (F.max("negatives") > 0)
-    return precision_recall_steps(df, by, score, label).groupBy(*by).agg(F.when(both, F.sum(step)).alias("pr_auc"))
+    """Step-wise area under the precision-recall curve; NULL with one class."""
+    return rank_quality(df, by, score, label).select(*by, "pr_auc")
 
 
 def best_curve_f1(df: DataFrame, by: Sequence[str] = (), score: str = "score", label: str = "label") -> DataFrame:
     """Largest F1 over all thresholds of the precision-recall curve."""
-    p = F.col("tp") / F.col("flagged")
-    r = F.try_divide(F.col("tp"), F.col("positives"))
-    return precision_recall_steps(df, by, score, label).groupBy(*by).agg(
-        F.max(2 * p * r / (p + r + F.lit(1e-12))).alias("best_f1")
-    )
+    return rank_quality(df, by, score, label).select(*by, "best_f1")
 
 
 def evaluate(df: DataFrame, by: Sequence[str] = ("method",)) -> DataFrame:
-    """Seven metrics per group from ``label, pred, score, pred_adj, score_adj``."""
+    """Seven metrics per group from ``label, pred, score, pred_adj, score_adj``.
+
+    The narrow input is written once and read by three aggregates.
+    """
     by = list(by)
-    strict = with_prf(confusion(df, by)).select(*by, "precision", "recall", "f1")
-    adjusted = with_prf(confusion(df, by, pred="pred_adj")).select(*by, F.col("f1").alias("f1_adj"))
-    out = strict
-    for part in (
-        adjusted,
-        roc_auc(df, by),
-        average_precision(df, by),
-        average_precision(df, by, "score_adj").withColumnRenamed("pr_auc", "pr_auc_adj"),
-    ):
+    data = materialize(df.select(*by, "label", "pred", "score", "pred_adj", "score_adj"), "judged")
+    out = with_prf(confusion(data, by)).select(*by, "precision", "recall", "f1")
+    adjusted = with_prf(confusion(data, by, pred="pred_adj")).select(*by, F.col("f1").alias("f1_adj"))
+    ranks = rank_quality(data, by).select(*by, "roc_auc", "pr_auc")
+    ranks_adj = rank_quality(data, by, "score_adj").select(*by, F.col("pr_auc").alias("pr_auc_adj"))
+    for part in (adjusted, ranks, ranks_adj):
         out = out.join(part, by) if by else out.crossJoin(F.broadcast(part))  # one row each
     return out
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetpulse.plans.chunks import CHUNK_ROWS, row_index, running_sum, seconds_of, with_lookback
+from fleetpulse.plans.chunks import CHUNK_ROWS, assign_chunks, lookback_on, row_index, running_sum_on, seconds_of
 
 
 def align_steps(
@@ -47,7 +47,9 @@ def incidents(
         before = F.lag("_s", 1).over(Window.partitionBy(*parts).orderBy(*order))
         return d.withColumn("_new", F.coalesce((F.col("_s") - before > gap_seconds), F.lit(True)).cast("bigint"))
 
-    numbered = running_sum(with_lookback(placed, by, order, 1, starts, chunk_rows, ["_s"]), by, order, "_new", "incident", chunk_rows)
+    sliced, split = assign_chunks(placed, by, ts, chunk_rows)
+    flagged = lookback_on(sliced, split, by, order, 1, starts, ["_s"])
+    numbered = running_sum_on(flagged, split, by, order, "_new", "incident")
     return numbered.groupBy(*by, "incident").agg(
         F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count(F.lit(1)).alias("n")
     )

@@ -74,13 +74,18 @@ def with_lookback(
     With hot keys, every slice is given the last ``lookback`` rows before it and drops them afterwards.
     ``inputs`` names the columns the windows read, so that carried rows stay narrow.
     """
+    sliced, split = assign_chunks(df, by, order[0], chunk_rows)
+    return lookback_on(sliced, split, by, order, lookback, compute, inputs).drop(CHUNK)
+
+
+def lookback_on(sliced, split, by, order, lookback, compute, inputs=None) -> DataFrame:
+    """``with_lookback`` over rows that already have their slice."""
     by, order = list(by), list(order)
     parts = [*by, CHUNK]
-    sliced, split = assign_chunks(df, by, order[0], chunk_rows)
     if not split:
-        return compute(sliced, parts).drop(CHUNK)
+        return compute(sliced, parts)
 
-    carried = list(dict.fromkeys([*by, *order, *(inputs or df.columns)]))
+    carried = list(dict.fromkeys([*by, *order, *(inputs or [c for c in sliced.columns if c != CHUNK])]))
     backwards = Window.partitionBy(*parts).orderBy(*[F.col(c).desc() for c in order])
     tails = (
         sliced.select(*carried, CHUNK)
@@ -99,7 +104,7 @@ def with_lookback(
         .select(CHUNK, "_row.*", F.lit(True).alias("_carried"))
     )
     both = sliced.withColumn("_carried", F.lit(False)).unionByName(carry, allowMissingColumns=True)
-    return compute(both, parts).where(~F.col("_carried")).drop(CHUNK, "_carried")
+    return compute(both, parts).where(~F.col("_carried")).drop("_carried")
 
 
 def running_sum(
@@ -111,24 +116,25 @@ def running_sum(
     chunk_rows: int | None = CHUNK_ROWS,
 ) -> DataFrame:
     """Inclusive running sum of ``value`` per key in ``order``."""
-    by, order = list(by), list(order)
-    parts = [*by, CHUNK]
     sliced, split = assign_chunks(df, by, order[0], chunk_rows)
+    return running_sum_on(sliced, split, by, order, value, out).drop(CHUNK)
+
+
+def running_sum_on(sliced, split, by, order, value, out) -> DataFrame:
+    """``running_sum`` over rows that already have their slice."""
+    by = list(by)
+    parts = [*by, CHUNK]
     upto = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = sliced.withColumn(out, F.sum(value).over(upto))
     if not split:
-        return local.drop(CHUNK)
+        return local
     earlier = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     totals = (
         sliced.groupBy(*parts)
         .agg(F.sum(value).alias("_total"))
         .select(*parts, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
     )
-    return (
-        local.join(totals, parts, "left")
-        .withColumn(out, F.col(out) + F.col("_before"))
-        .drop("_before", CHUNK)
-    )
+    return local.join(totals, parts, "left").withColumn(out, F.col(out) + F.col("_before")).drop("_before")
 
 
 def row_index(

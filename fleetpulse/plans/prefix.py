@@ -95,8 +95,9 @@ def mark_smallest(
     """Flag exactly ``quota`` rows per stratum: those with the smallest ``md5(seed|key)``.
 
     ``quota`` is an expression over the stratum size ``n``. Counts per hash prefix locate the prefix in
-    which each stratum's quota is reached; only rows of that one prefix (1/65,536 of a stratum) are
-    ranked, everything else is decided row by row without a shuffle.
+    which each stratum's quota is reached; ranking only the rows of that one prefix (1/65,536 of a
+    stratum) gives the last hash that belongs. Every row is then decided by comparing its own hash with
+    it: the flagged data is never shuffled.
     """
     strata, key = list(strata), list(key)
     text = ", ".join(f"CAST(`{k}` AS STRING)" for k in key)
@@ -116,14 +117,19 @@ def mark_smallest(
         .selectExpr(*[f"`{s}`" for s in strata], "_prefix AS _cut", "_quota - (_upto - _c) AS _need")
     )
     cut = few_rows(cut)
-    marked = hashed.join(cut, strata, "left") if strata else hashed.join(cut, F.lit(True), "left")
-    rank = f"row_number() OVER (PARTITION BY {group} ORDER BY _hash, {', '.join(f'`{k}`' for k in key)})"
+    keys = ", ".join(f"`{k}`" for k in key)
+    on = lambda left, right, how: left.join(right, strata, how) if strata else left.join(right, F.lit(True), how)
+    last = (
+        on(hashed, cut, "inner")
+        .where("_prefix = _cut")
+        .selectExpr("*", f"row_number() OVER (PARTITION BY {group} ORDER BY _hash, {keys}) AS _rank")
+        .where("_rank = _need")
+        .selectExpr(*[f"`{s}`" for s in strata], f"struct(_hash, {keys}) AS _last")
+    )
     names = [f"`{c}`" for c in df.columns]
-    clear = marked.where("NOT coalesce(_prefix = _cut, false)").selectExpr(
-        *names, f"coalesce(_prefix < _cut, false) AS `{out}`"
+    return on(hashed, few_rows(last), "left").selectExpr(
+        *names, f"coalesce(struct(_hash, {keys}) <= _last, false) AS `{out}`"
     )
-    close = marked.where("_prefix = _cut").selectExpr(*names, f"{rank} <= _need AS `{out}`")
-    return clear.unionByName(close)
 
 
 def global_index(df: DataFrame, order: Sequence[Column | str], out: str) -> DataFrame:
