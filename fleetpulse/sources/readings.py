@@ -80,7 +80,7 @@ def read_matrix(
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Edges ``machine, router`` and the routers of a dependency-graph document."""
     shape = "depends_on map<string,string>, routers array<string>, downstream_of map<string,array<string>>"
-    graph = spark.read.option("wholetext", True).text(path).select(F.from_json("value", shape).alias("g"))
+    graph = spark.read.text(path, wholetext=True).select(F.from_json("value", shape).alias("g"))
     edges = graph.select(F.explode("g.depends_on").alias("machine", "router"))
     return edges, graph.select(F.explode("g.routers").alias("machine"))
 
