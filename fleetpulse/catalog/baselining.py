@@ -9,7 +9,6 @@ from fleetpulse.functions.numbers import r6 as R
 from fleetpulse.operators import baselines as bl
 from fleetpulse.operators import sampling
 from fleetpulse.operators.zscore import attach_baselines, z_threshold, zscore
-from fleetpulse.plans.tables import materialize
 from fleetpulse.schemas import METRICS
 
 STATS = [f"{m}_{s}" for m in METRICS for s in ("mean", "std")]
@@ -86,8 +85,7 @@ _ROBUST = ", ".join(
     ["train"],
 )
 def baseline_robust(spark, sf):
-    train = materialize(split(spark, sf).where("is_train"), "train")
-    base = bl.build_baselines(train, METRICS, trim=(0.05, 0.95), levels=("machine+window",))
+    base = bl.build_baselines(split(spark, sf).where("is_train"), METRICS, trim=(0.05, 0.95), levels=("machine+window",))
     return base.select("machine", "window", "n", *rounded_stats())
 
 
@@ -195,7 +193,7 @@ CASE WHEN {_SCORE} > 3 THEN 1 ELSE 0 END AS is_anomaly FROM {fallback_join('test
 )
 def z_threshold_query(spark, sf):
     """Baselines from the training split, z-threshold on the rest: the flagship."""
-    parts = materialize(split(spark, sf), "split")
+    parts = split(spark, sf)
     base = bl.build_baselines(parts.where("is_train"), METRICS)
     scored = z_threshold(zscore(parts.where("NOT is_train"), base, METRICS), METRICS)
     return scored.select("event_id", "machine", "window", R("score").alias("score"), "baseline_used", F.col("pred").alias("is_anomaly"))

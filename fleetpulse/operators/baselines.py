@@ -43,8 +43,8 @@ def merge_cells(cells: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -
         over = f" OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)})"
         centred = cells.selectExpr("*", *[mean(m).format(over=over) for m in metrics])
     else:
-        means = F.broadcast(cells.groupBy(*keys).agg(*[F.expr(mean(m).format(over="")) for m in metrics]))
-        centred = cells.join(means, keys) if keys else cells.crossJoin(means)
+        means = cells.groupBy(*keys).agg(*[F.expr(mean(m).format(over="")) for m in metrics])
+        centred = cells.join(means, keys) if keys else cells.crossJoin(F.broadcast(means))  # one row
     aggs = [F.expr("sum(n) AS n")]
     for m in metrics:
         n, gap = f"`{m}_n`", f"(`{m}_m` - `{m}_c`)"

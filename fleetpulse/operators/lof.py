@@ -18,8 +18,10 @@ from fleetpulse.plans.tables import materialize
 REFERENCE_CAP = 20_000
 
 
-def nearest(points: np.ndarray, reference: np.ndarray, k: int, own: np.ndarray | None = None, block: int = 256):
+def nearest(points: np.ndarray, reference: np.ndarray, k: int, own: np.ndarray | None = None):
     """Distances and positions of the ``k`` nearest reference rows of each point; ``own`` is excluded."""
+    # At most 8 million differences are held at a time.
+    block = max(1, 8_000_000 // max(reference.size, 1))
     dists, places = np.empty((len(points), k)), np.empty((len(points), k), dtype=np.int64)
     for lo in range(0, len(points), block):
         rows = points[lo : lo + block]

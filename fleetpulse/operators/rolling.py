@@ -24,17 +24,18 @@ def add_rolling(
     order: Sequence[str] = ORDER,
     by: Sequence[str] = ("machine",),
     chunk_rows: int | None = CHUNK_ROWS,
+    count_as: str | None = None,
 ) -> DataFrame:
     """Mean and sample deviation of the last ``n`` rows and change since ``n - 1`` rows ago.
 
     The deviation of a single row and the change of a row without enough history are 0. All features
-    share one window, hence one shuffle.
+    share one window, hence one shuffle. ``count_as`` also keeps the number of rows in the window.
     """
 
     def compute(d, parts):
         ordered = Window.partitionBy(*parts).orderBy(*order)
         w = ordered.rowsBetween(-(n - 1), 0)
-        cols = {}
+        cols = {count_as: F.count(F.lit(1)).over(w)} if count_as else {}
         for m in metrics:
             cols[f"{m}_rolling_mean"] = F.avg(m).over(w)
             cols[f"{m}_rolling_std"] = F.coalesce(F.stddev_samp(m).over(w), F.lit(0.0))

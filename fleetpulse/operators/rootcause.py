@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.functions.numbers import r6
+from fleetpulse.plans.chunks import CHUNK_ROWS, rank_within
 from fleetpulse.plans.prefix import global_index
-from fleetpulse.plans.tables import broadcast_if_small
 from fleetpulse.schemas import DOWNSTREAM_WEIGHT, NETWORK_GEAR
 
 
@@ -89,10 +89,9 @@ def role_of(downstream: Column, is_router: Column, router_hit: Column) -> Column
     )
 
 
-def rank_root_causes(scored: DataFrame, by: str = "tick") -> DataFrame:
+def rank_root_causes(scored: DataFrame, by: str = "tick", chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """Add ``rank`` per tick, highest score first, ties by machine name."""
-    order = Window.partitionBy(by).orderBy(F.desc("root_cause_score"), "machine")
-    return scored.withColumn("rank", F.row_number().over(order).cast("bigint"))
+    return rank_within(scored, [by], [F.desc("root_cause_score"), F.asc("machine")], "rank", chunk_rows)
 
 
 def likely_root_causes(scored: DataFrame, by: str = "tick") -> DataFrame:
@@ -132,8 +131,3 @@ def propagate(flagged: DataFrame, edges: DataFrame, by: str = "tick") -> DataFra
 
 def result_rows(ranked: DataFrame, by: str = "tick") -> DataFrame:
     return ranked.withColumns({"score": r6("score"), "root_cause_score": r6("root_cause_score")})
-
-
-def small_edges(edges: DataFrame) -> DataFrame:
-    """Edges as a broadcast side when the written table is within the bound."""
-    return broadcast_if_small(edges)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.plans.prefix import global_index, mark_smallest
+from fleetpulse.plans.prefix import mark_first, mark_smallest
 from fleetpulse.plans.tables import broadcast_if_small, materialize
 
 
@@ -53,9 +53,8 @@ def halves(df: DataFrame, key=("event_id",), seed: int = 42) -> DataFrame:
 
 def temporal_split(df: DataFrame, fraction: float = 0.7, order: Sequence[str] = ("timestamp", "event_id")) -> DataFrame:
     """Add ``is_train`` for the first ``floor(fraction * n)`` rows in time."""
-    placed = global_index(df, order, "_pos")
-    total = df.agg(F.floor(F.count(F.lit(1)) * F.lit(fraction)).alias("_cut"))  # one row
-    return placed.crossJoin(F.broadcast(total)).withColumn("is_train", F.col("_pos") <= F.col("_cut")).drop("_pos", "_cut")
+    quota = F.floor(F.col("n") * F.lit(fraction))
+    return mark_first(df, [], quota, order, f"date_trunc('second', `{order[0]}`)", "is_train")
 
 
 def head_sample(df: DataFrame, n: int, order: Sequence[str] = ("timestamp", "machine", "event_id")) -> DataFrame:

@@ -13,10 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetpulse.plans.prefix import global_index
 from fleetpulse.plans.tables import materialize
 
 CHUNK_ROWS = 2_000_000
 CHUNK = "_chunk"
+# Slices are this much finer than the average rate asks for, so that a burst of up to this factor still
+# fits a slice. Adaptive execution merges slices that turn out small.
+OVERSPLIT = 8
 
 
 def seconds_of(df: DataFrame, ts: str) -> Column:
@@ -51,7 +55,7 @@ def assign_chunks(
     )
     if hot.isEmpty():
         return df.withColumn(CHUNK, F.lit(0).cast("bigint")), False
-    pieces = F.ceil(F.col("_n") / F.lit(chunk_rows))
+    pieces = F.ceil(F.col("_n") * OVERSPLIT / F.lit(chunk_rows))
     share = (pos - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     chunk = F.least(F.floor(share * pieces), pieces - 1)
     out = df.join(F.broadcast(hot), list(by), "left").withColumn(
@@ -147,3 +151,24 @@ def row_index(
     """1-based position of every row within its key."""
     ones = df.withColumn("_one", F.lit(1).cast("bigint"))
     return running_sum(ones, by, order, "_one", out, chunk_rows).drop("_one")
+
+
+def rank_within(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[Column],
+    out: str,
+    chunk_rows: int | None = CHUNK_ROWS,
+) -> DataFrame:
+    """1-based rank within each group for any ordering.
+
+    A window when every group fits one task. Otherwise the rows are range-sorted on (group, order), so a
+    hot group spreads, and a row's rank is its overall position less that of its group's first row.
+    """
+    by = list(by)
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    if not chunk_rows or sizes.where(F.col("_n") > chunk_rows).isEmpty():
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint"))
+    placed = global_index(df, [*by, *order], "_pos")
+    first = placed.groupBy(*by).agg(F.min("_pos").alias("_first"))
+    return placed.join(first, by).withColumn(out, F.col("_pos") - F.col("_first") + 1).drop("_pos", "_first")

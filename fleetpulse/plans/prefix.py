@@ -11,9 +11,13 @@ from fleetpulse.plans.tables import few_rows, materialize
 
 
 def value_bucket(value: Column) -> Column:
-    """Monotone bucket number of a double: logarithmic in size, mirrored for negatives."""
+    """Monotone bucket number of a double: logarithmic in size, mirrored for negatives.
+
+    65,536 buckets per factor e: a bucket holds a few millionths of a spread-out score's values, and the
+    table of buckets stays at a few million rows whatever the data.
+    """
     size = F.log(F.greatest(F.abs(value), F.lit(1e-12))) + F.lit(27.7)
-    return F.floor(F.signum(value) * size * F.lit(512.0)).cast("bigint")
+    return F.floor(F.signum(value) * size * F.lit(65536.0)).cast("bigint")
 
 
 def cumulative_counts(
@@ -92,44 +96,48 @@ def mark_smallest(
     seed: int,
     out: str = "in_sample",
 ) -> DataFrame:
-    """Flag exactly ``quota`` rows per stratum: those with the smallest ``md5(seed|key)``.
+    """Flag exactly ``quota`` rows per stratum: those with the smallest ``md5(seed|key)``."""
+    text = ", ".join(f"CAST(`{k}` AS STRING)" for k in key)
+    hashed = df.selectExpr("*", f"md5(concat_ws('|', '{seed}', {text})) AS _hash")
+    return mark_first(hashed, strata, quota, ["_hash", *key], "substring(_hash, 1, 4)", out).drop("_hash")
+
+
+def mark_first(
+    df: DataFrame, strata: Sequence[str], quota: Column, order: Sequence[str], bucket: str, out: str
+) -> DataFrame:
+    """Flag exactly the first ``quota`` rows of every stratum in ``order``.
 
-    ``quota`` is an expression over the stratum size ``n``. Counts per hash prefix locate the prefix in
-    which each stratum's quota is reached; ranking only the rows of that one prefix (1/65,536 of a
-    stratum) gives the last hash that belongs. Every row is then decided by comparing its own hash with
-    it: the flagged data is never shuffled.
+    ``quota`` is an expression over the stratum size ``n``; ``bucket`` is a coarse SQL expression that
+    grows with ``order``. Counts per bucket locate the one in which each stratum's quota is reached;
+    ranking only the rows of that bucket gives the last row that belongs. Every row is then decided by
+    comparing itself with it: the flagged data is never shuffled.
     """
-    strata, key = list(strata), list(key)
-    text = ", ".join(f"CAST(`{k}` AS STRING)" for k in key)
-    hashed = df.selectExpr("*", f"md5(concat_ws('|', '{seed}', {text})) AS _hash").selectExpr(
-        "*", "substring(_hash, 1, 4) AS _prefix"
-    )
-    hist = hashed.groupBy(*strata, "_prefix").agg(F.expr("count(1) AS _c"))
+    strata, order = list(strata), list(order)
     group = ", ".join(f"`{s}`" for s in strata) or "0"
+    keys = ", ".join(f"`{k}`" for k in order)
+    on = lambda left, right, how: left.join(right, strata, how) if strata else left.join(right, F.lit(True), how)
+    bucketed = df.selectExpr("*", f"{bucket} AS _bucket")
     cut = (
-        hist.selectExpr(
+        bucketed.groupBy(*strata, "_bucket")
+        .agg(F.expr("count(1) AS _c"))
+        .selectExpr(
             "*",
             f"sum(_c) OVER (PARTITION BY {group}) AS n",
-            f"sum(_c) OVER (PARTITION BY {group} ORDER BY _prefix) AS _upto",
+            f"sum(_c) OVER (PARTITION BY {group} ORDER BY _bucket) AS _upto",
         )
         .withColumn("_quota", F.least(quota.cast("bigint"), F.col("n")))
         .where("_upto >= _quota AND _upto - _c < _quota")
-        .selectExpr(*[f"`{s}`" for s in strata], "_prefix AS _cut", "_quota - (_upto - _c) AS _need")
+        .selectExpr(*[f"`{s}`" for s in strata], "_bucket AS _cut", "_quota - (_upto - _c) AS _need")
     )
-    cut = few_rows(cut)
-    keys = ", ".join(f"`{k}`" for k in key)
-    on = lambda left, right, how: left.join(right, strata, how) if strata else left.join(right, F.lit(True), how)
     last = (
-        on(hashed, cut, "inner")
-        .where("_prefix = _cut")
-        .selectExpr("*", f"row_number() OVER (PARTITION BY {group} ORDER BY _hash, {keys}) AS _rank")
+        on(bucketed, few_rows(cut), "inner")
+        .where("_bucket = _cut")
+        .selectExpr("*", f"row_number() OVER (PARTITION BY {group} ORDER BY {keys}) AS _rank")
         .where("_rank = _need")
-        .selectExpr(*[f"`{s}`" for s in strata], f"struct(_hash, {keys}) AS _last")
+        .selectExpr(*[f"`{s}`" for s in strata], f"struct({keys}) AS _last")
     )
     names = [f"`{c}`" for c in df.columns]
-    return on(hashed, few_rows(last), "left").selectExpr(
-        *names, f"coalesce(struct(_hash, {keys}) <= _last, false) AS `{out}`"
-    )
+    return on(df, few_rows(last), "left").selectExpr(*names, f"coalesce(struct({keys}) <= _last, false) AS `{out}`")
 
 
 def global_index(df: DataFrame, order: Sequence[Column | str], out: str) -> DataFrame:
