@@ -135,6 +135,10 @@ class IsolationForest:
         inputs = F.struct(*[F.col(f).cast("double").alias(f) for f in self.features])
         return df.withColumn(out, self.scorer()(inputs))
 
+    def register(self, name: str = "isolation_score") -> None:
+        """Make the scorer callable from SQL on a struct of the features, in their order."""
+        self.nodes.sparkSession.udf.register(name, self.scorer())
+
     def threshold(self, scored_train: DataFrame, contamination: float, score: str = "iso_score") -> DataFrame:
         """One row ``iso_threshold``: the score that leaves ``contamination`` of the training rows above it."""
         return exact_percentiles(scored_train, [], score, {"iso_threshold": 1.0 - contamination})

@@ -2,13 +2,17 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fleetpulse import fixtures as fx
 from fleetpulse.functions import decisions as dec
-from fleetpulse.operators import evaluate, sweep
+from fleetpulse.operators import evaluate, feedback, retrain, sampling, sweep
+from fleetpulse.operators.baselines import build_baselines
 from fleetpulse.operators.classifier import CauseClassifier, p_of
 from fleetpulse.operators.iforest import IsolationForest, expected_path, flag_over
 from fleetpulse.operators.lof import LocalOutlierFactor
 from fleetpulse.operators.reconstruction import Reconstruction
+from fleetpulse.operators.rootcause import rank_root_causes
 from fleetpulse.plans.tables import materialize
+from fleetpulse.schemas import METRICS
 
 
 @pytest.fixture(scope="module")
@@ -161,3 +165,43 @@ def test_weights_move_the_decision(spark):
     p = lambda d: CauseClassifier.fit(d, ["x"], weight="weight", trees=5).probabilities(d.limit(1)).select(p_of("probs", "spike")).first()[0]
     heavy = df.withColumn("weight", F.when(F.col("cause") == "spike", 9.0).otherwise(1.0))
     assert p(df) < 0.5 < p(heavy)
+
+
+def test_forest_is_callable_from_sql(spark, cloud):
+    df, _ = cloud
+    forest = IsolationForest.fit(df, ABC, trees=10)
+    forest.register("far")
+    df.createOrReplaceTempView("cloud")
+    got = {r["event_id"]: r["s"] for r in spark.sql("SELECT event_id, far(struct(a, b, c)) AS s FROM cloud").collect()}
+    assert got == pytest.approx({r["event_id"]: r["iso_score"] for r in forest.score(df).collect()})
+
+
+def test_retraining_keeps_every_attempt_and_promotes_the_good_one(spark, sf, tmp_path):
+    raw = sampling.stratified_split(fx.windowed(spark, sf))
+    train, test = raw.where("is_train"), raw.where("NOT is_train")
+    base = build_baselines(train, METRICS)
+    bar = lambda v: spark.createDataFrame([(v,)], "f1 double")
+    recall = spark.createDataFrame([("cpu_spike", 0.0)], "cause string, recall double")
+    log = fx.predictions(spark, sf)
+    good, bad = (
+        retrain.retrain(train, test, log, base, METRICS, bar(v), recall, normals=400, trees=5) for v in (0.0, 1.01)
+    )
+    root = str(tmp_path)
+    assert retrain.keep_attempt(good, root, "v1") and not retrain.keep_attempt(bad, root, "v2")
+    history = spark.read.parquet(f"{root}/promotions")
+    assert history.count() == 2 and feedback.current_model(history).first()["model_version"] == "v1"
+    assert CauseClassifier.load(f"{root}/models/v2").classes == bad.model.classes
+    assert "unknown_feedback" in good.model.classes or good.feedback_rows > 0
+    answered = log.where("operator_verdict IS NOT NULL").count()
+    assert good.feedback_rows + good.rejected.count() == answered
+
+
+def test_likeliest_class(spark):
+    df = spark.sql("SELECT array(named_struct('cause', 'b', 'p', 0.4D), named_struct('cause', 'a', 'p', 0.4D), named_struct('cause', 'c', 'p', 0.2D)) AS probs")
+    assert df.select(retrain.likeliest("probs").alias("c")).first()["c"] == "a"
+
+
+def test_ranks_of_hot_ticks_match_the_window(spark):
+    df = spark.range(200).selectExpr("id % 2 AS tick", "CAST(id AS STRING) AS machine", "CAST(id % 13 AS DOUBLE) AS root_cause_score")
+    take = lambda n: {(r["tick"], r["machine"]): r["rank"] for r in rank_root_causes(df, chunk_rows=n).collect()}
+    assert take(10) == take(None)
