@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.plans.prefix import exact_percentiles
-from fleetpulse.plans.tables import broadcast_if_small, materialize
+from fleetpulse.plans.tables import broadcast_if_small, few_or_none, materialize
 from fleetpulse.schemas import GLOBAL_STD_FLOOR, STD_FLOOR
 
 LEVELS = ("machine+window", "machine", "type", "global")
@@ -115,14 +115,13 @@ def trim_bounds(
     direct = lambda d: d.groupBy(*keys).agg(
         *[F.expr(f"percentile(`{m}`, {q}) AS `{m}_{s}`") for m in metrics for s, q in zip(("lo", "hi"), trim)]
     )
-    hot = materialize(
-        data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*keys), "hot"
+    hot = few_or_none(
+        data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*keys)
     )
-    if hot.isEmpty():
+    if hot is None:
         return direct(data)
-    # At most rows / hot_rows groups are hot.
-    small = direct(data.join(F.broadcast(hot), keys, "left_anti"))
-    long = data.join(F.broadcast(hot), keys, "left_semi").select(
+    small = direct(data.join(hot, keys, "left_anti"))
+    long = data.join(hot, keys, "left_semi").select(
         *keys,
         F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics])).alias("e"),
     ).select(*keys, "e.*")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetpulse.plans.prefix import global_index
-from fleetpulse.plans.tables import materialize
+from fleetpulse.plans.tables import few_or_none
 
 CHUNK_ROWS = 2_000_000
 CHUNK = "_chunk"
@@ -42,23 +42,22 @@ def assign_chunks(
     """Add ``_chunk``: 0 for ordinary keys, a time slice number for keys above ``chunk_rows``.
 
     Equal timestamps always share a slice, so slices follow the time order. The table of hot keys has
-    at most rows / chunk_rows entries, which bounds its broadcast.
+    at most rows / chunk_rows entries and is broadcast only within the checked bound.
     """
     if not chunk_rows:
         return df.withColumn(CHUNK, F.lit(0).cast("bigint")), False
     pos = seconds_of(df, ts)
-    hot = materialize(
+    hot = few_or_none(
         df.groupBy(*by)
         .agg(F.count(F.lit(1)).alias("_n"), F.min(pos).alias("_lo"), F.max(pos).alias("_hi"))
-        .where((F.col("_n") > chunk_rows) & (F.col("_hi") > F.col("_lo"))),
-        "hot",
+        .where((F.col("_n") > chunk_rows) & (F.col("_hi") > F.col("_lo")))
     )
-    if hot.isEmpty():
+    if hot is None:
         return df.withColumn(CHUNK, F.lit(0).cast("bigint")), False
     pieces = F.ceil(F.col("_n") * OVERSPLIT / F.lit(chunk_rows))
     share = (pos - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     chunk = F.least(F.floor(share * pieces), pieces - 1)
-    out = df.join(F.broadcast(hot), list(by), "left").withColumn(
+    out = df.join(hot, list(by), "left").withColumn(
         CHUNK, F.coalesce(chunk, F.lit(0)).cast("bigint")
     )
     return out.drop("_n", "_lo", "_hi"), True

@@ -55,9 +55,19 @@ def broadcast_if_small(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> Data
 
 
 def few_rows(df: DataFrame, max_rows: int = 1_000) -> DataFrame:
-    """Evaluate a table expected to be tiny, once. Within ``max_rows`` it becomes a local, broadcast table;
-    a larger one is written and checked like any other."""
+    """Evaluate a table expected to be tiny, once, for use as a join side."""
+    return few_or_none(df, max_rows, keep_empty=True)
+
+
+def few_or_none(df: DataFrame, max_rows: int = 1_000, keep_empty: bool = False) -> DataFrame | None:
+    """Like ``few_rows``, None when there are no rows.
+
+    Within ``max_rows`` the rows become a local, broadcast table; more of them are written and checked like
+    any other table.
+    """
     rows = df.limit(max_rows + 1).collect()
+    if not rows and not keep_empty:
+        return None
     if len(rows) <= max_rows:
         return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
     return broadcast_if_small(materialize(df, "few"))
