@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,7 @@ BROADCAST_ROWS = 200_000
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder.
+    Where none is named, a folder below the session's warehouse; off local mode that must not be a ``file:`` path.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -24,10 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    if not sc.master.startswith("local"):
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not sc.master.startswith("local") and (warehouse.startswith("file:") or "://" not in warehouse):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="fleetpulse-"))
-    return sc.getCheckpointDir().rstrip("/")
+    return f"{warehouse}/fleetpulse-scratch"
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
