@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetpulse.llm import exact, mixing, sharding
+from fleetpulse.llm import exact, mixing, sharding, simhash
 from fleetpulse.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,8 @@ SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INT) AS copy, md5('17|'
 )
 def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(read_table(spark, sf_dir, "documents"))
+
+
+@query("op3_simhash_vantage")
+def op3_simhash_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(read_table(spark, sf_dir, "documents"))
