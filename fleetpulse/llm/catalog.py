@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetpulse.llm import exact, mixing, sharding, simhash
+from fleetpulse.llm import decontam, exact, langid, mixing, sharding, simhash
 from fleetpulse.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,13 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_simhash_vantage")
 def op3_simhash_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read_table(spark, sf_dir, "documents"))
+
+
+@query("op4_hyperdimensional_language")
+def op4_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
+@query("op2_qgram_decontamination")
+def op2_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
