@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse.llm.common import attach, with_runs
 from fleetpulse.llm.graph import components
-from fleetpulse.plans.tables import materialize
+from fleetpulse.plans.tables import broadcast_if_small, materialize
 
 RADIUS = 2
 # A shard with more fingerprints is split further; trees are fitted on at most SAMPLE fingerprints a round.
@@ -261,3 +261,162 @@ def simhash_components(
         F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("_root") != NO_ID, F.col("_root")).alias("component_id"),
     )
+
+
+# Near-duplicates on word shingles. At similarity 0.8 fingerprints differ in some ten bits, where a triangle
+# bound no longer prunes anything; shards are therefore made of rare shared shingles, and fingerprints and
+# exact set similarity decide within them.
+WIDTH = 5
+SIMILARITY = 0.8
+NEAR_RADIUS = 20
+SKETCH = 24
+PREFIX = 10
+GROUP_ROWS = 2048
+
+
+def shingle_features(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(_id, _row, _sid, _fp, _size, _sketch): hash of the row, of its shingle set, and the smallest shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sids, fps, sizes, sketches = [], [], [], []
+            for text in batch.column(2):
+                found = np.unique(hashes(shingles(text.as_buffer().to_pybytes(), width) if text.is_valid else []).astype(np.uint64))
+                sids.append(signed(xxhash.xxh64_intdigest(found.tobytes(), 7)))
+                fps.append(signed(majority(found)))
+                sizes.append(len(found))
+                sketches.append(found[:SKETCH].view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(sids, pa.int64()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64()))],
+                ["_id", "_row", "_sid", "_fp", "_size", "_sketch"],
+            )
+
+    return row_keys(docs, id_col, F.col(text_col).cast("binary").alias("_text")).mapInArrow(
+        run, "_id bigint, _row bigint, _sid bigint, _fp bigint, _size int, _sketch array<bigint>"
+    )
+
+
+def row_keys(docs: DataFrame, id_col: str, *more) -> DataFrame:
+    """Id (null is the largest number) and hash of all columns of each row."""
+    key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("_id")
+    return docs.select(key, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *more)
+
+
+def rare_anchors(sets: DataFrame) -> DataFrame:
+    """(_anchor, _sid, _fp): the rarest shingles of each sketch that another set shares.
+
+    Shingles are ordered by the number of sketches that hold them; sets of similarity 0.8 differ in a tenth to a fifth
+    of their sketch, so that the first PREFIX of SKETCH shingles hold a common one.
+    """
+    exploded = sets.select(F.explode("_sketch").alias("_anchor"), "_sid", "_fp")
+    counts = exploded.groupBy("_anchor").agg(F.count(F.lit(1)).alias("_df"))
+    ordered = exploded.join(counts, "_anchor").groupBy("_sid", "_fp").agg(
+        F.slice(F.sort_array(F.collect_list(F.struct("_df", "_anchor"))), 1, PREFIX).alias("_prefix")
+    )
+    return ordered.select("_sid", "_fp", F.explode("_prefix").alias("_p")).where("_p._df > 1").select(F.col("_p._anchor").alias("_anchor"), "_sid", "_fp")
+
+
+def candidate_groups(sets: DataFrame, radius: int) -> DataFrame:
+    """(_sid, _fp, _root): sets that fingerprints connect within shards of a common anchor."""
+
+    def search(frame: pd.DataFrame) -> pd.DataFrame:
+        ids, fps = frame["_sid"].to_numpy(np.int64), frame["_fp"].to_numpy(np.int64)
+        return forest_edges(ids, fps, vp_links(fps.view(np.uint64), radius))
+
+    found = components(as_edges(rare_anchors(sets).groupBy("_anchor").applyInPandas(search, EDGE)))
+    roots = found.select(F.col("root").alias("node"), "root").distinct()
+    both = found.unionByName(roots)
+    return both.select(F.col("node.id").alias("_sid"), F.col("node.fp").alias("_fp"), F.col("root").alias("_root"))
+
+
+def similar_sets(frame: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Forest of the pairs of sets whose Jaccard similarity reaches the threshold."""
+    frame = frame.drop_duplicates(["_sid", "_fp"])
+    ids, fps = frame["_sid"].to_numpy(np.int64), frame["_fp"].to_numpy(np.int64)
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in frame["_set"]]
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    if len(sets) < 2 or not size.sum():
+        return forest_edges(ids, fps, [])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(size)
+    mark = np.zeros(int(flat.max()) + 1, dtype=np.int64)
+
+    def near(some: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        hit = np.zeros(len(rest), dtype=bool)
+        for s in some:
+            own = flat[ends[s] - size[s] : ends[s]]
+            mark[own] = 1
+            upto = np.concatenate([[0], np.cumsum(mark[flat])])
+            mark[own] = 0
+            both = (upto[ends] - upto[ends - size])[rest]
+            hit |= both >= similarity * (size[s] + size[rest] - both) - 1e-9
+        return hit & (size[rest] > 0)
+
+    return forest_edges(ids, fps, spanning(near, np.flatnonzero(size > 0)))
+
+
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = WIDTH,
+    similarity: float = SIMILARITY,
+    radius: int = NEAR_RADIUS,
+    group_rows: int = GROUP_ROWS,
+) -> DataFrame:
+    """(_id, _row, _rows, _keep): every distinct row, how often it occurs, and whether it stays.
+
+    Rows link when the Jaccard similarity of their word shingles reaches the threshold; of each connected group the row
+    with the smallest id stays, and one row where it is repeated. Texts without words are one group. Candidates are sets that
+    share one of their rarest sketched shingles and whose fingerprints differ in at most ``radius`` bits; each candidate
+    group is verified exactly, in blocks of ``group_rows`` sets against each other.
+    """
+    features = materialize(shingle_features(docs, id_col, text_col, width), "features")
+    best = F.min(F.struct("_id", "_row")).alias("_best")
+    sets = features.groupBy("_sid", "_fp", "_size").agg(best, F.first("_sketch").alias("_sketch"))
+    sets = materialize(sets, "sets")
+    groups = materialize(candidate_groups(sets, radius), "groups")
+    # Whole shingle sets are made for one row of each candidate set only.
+    picked = groups.join(sets, ["_sid", "_fp"]).select("_sid", "_fp", "_root", F.col("_best._id").alias("_id"), F.col("_best._row").alias("_row"))
+    picked = broadcast_if_small(materialize(picked, "picked"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in batch.column(3):
+                parts = shingles(text.as_buffer().to_pybytes(), width) if text.is_valid else []
+                found.append(np.unique(hashes(parts).astype(np.uint64)).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], ["_sid", "_fp", "_root", "_set"])
+
+    root = "_root struct<id:bigint,fp:bigint>"
+    rows = row_keys(docs, id_col, F.col(text_col).cast("binary").alias("_text")).join(picked, ["_id", "_row"])
+    bodies = rows.select("_sid", "_fp", "_root", "_text").mapInArrow(whole, f"_sid bigint, _fp bigint, {root}, _set binary")
+    blocks = groups.groupBy("_root").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("_blocks"))
+    dealt = (
+        bodies.join(blocks, "_root")
+        .withColumn("_mine", F.pmod(F.xxhash64("_sid", "_fp"), F.col("_blocks")))
+        .withColumn("_other", F.explode(F.expr("sequence(0, _blocks - 1)")))
+        .select("_root", F.least("_mine", "_other").alias("_low"), F.greatest("_mine", "_other").alias("_high"), "_sid", "_fp", "_set")
+    )
+    links = dealt.groupBy("_root", "_low", "_high").applyInPandas(lambda frame: similar_sets(frame, similarity), EDGE)
+    found = components(as_edges(links)).select(
+        F.col("node.id").alias("_sid"), F.col("node.fp").alias("_fp"), F.col("root").alias("_group")
+    )
+    own = F.struct(F.col("_sid").alias("id"), F.col("_fp").alias("fp"))
+    grouped = sets.join(found, ["_sid", "_fp"], "left").withColumn("_group", F.coalesce("_group", own)).select("_group", "_best")
+    keepers = grouped.groupBy("_group").agg(F.min("_best").alias("_best")).select("_best._id", "_best._row", F.lit(True).alias("_keep"))
+    rows = features.groupBy("_id", "_row").agg(F.count(F.lit(1)).alias("_rows"))
+    return rows.join(keepers, ["_id", "_row"], "left").withColumn("_keep", F.coalesce("_keep", F.lit(False)))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each group of near-duplicates, with the columns of ``docs``."""
+    rows = materialize(near_duplicates(docs, id_col, text_col, **options), "decided")
+    key = ["_id", "_row"]
+    names = [f"`{c}`" for c in docs.columns]
+    keyed = row_keys(docs, id_col, F.struct(*names).alias("_doc"))
+    gone = broadcast_if_small(materialize(rows.where("NOT _keep OR _rows > 1").select(*key), "gone"))
+    again = broadcast_if_small(materialize(rows.where("_keep AND _rows > 1").select(*key), "again"))
+    once = keyed.join(gone, key, "left_anti").select("_doc.*")
+    repeated = keyed.join(again, key, "left_semi").dropDuplicates(key).select("_doc.*")
+    return once.unionByName(repeated)

@@ -89,3 +89,54 @@ def test_components_of_a_long_chain_and_a_star(spark):
     found = graph.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()
     root = {r["node"]: r["root"] for r in found}
     assert root == {**{i: 0 for i in range(1, 41)}, **{i: 100 for i in range(101, 300)}}
+
+
+def shingle_set(text, width=5):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def kept_by_brute_force(texts):
+    sets = [shingle_set(t) for t in texts]
+    group = components(len(texts), lambda i, j: jaccard(sets[i], sets[j]) >= 0.8)
+    return sorted(i for i, g in enumerate(group) if i == g)
+
+
+def edited(rng, words, edits):
+    words = list(words)
+    for at in rng.choice(len(words), edits, replace=False):
+        words[at] = f"new{rng.integers(10**6)}"
+    return words
+
+
+def near_texts(seed=8):
+    rng = np.random.default_rng(seed)
+    texts, boiler = [], [f"boiler{i}" for i in range(60)]
+    for k in range(40):
+        words = [f"w{rng.integers(4000)}" for _ in range(int(rng.integers(20, 200)))]
+        words += boiler if k % 2 else []
+        texts.append(" ".join(words))
+        for _ in range(int(rng.integers(0, 5))):
+            texts.append(" ".join(edited(rng, words, int(rng.integers(0, 1 + len(words) // 40)))))
+    return texts + ["one two", "One two", "", None, " ", "one two three four five six"]
+
+
+@pytest.mark.parametrize("group_rows", [2048, 2])
+def test_near_duplicates_match_brute_force(spark, group_rows):
+    texts = near_texts()
+    df = docs(spark, texts)
+    kept = simhash.drop_near_duplicates(df, group_rows=group_rows)
+    assert kept.columns == df.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == kept_by_brute_force(texts)
+
+
+def test_near_duplicates_of_repeated_rows_nulls_and_no_rows(spark):
+    assert simhash.drop_near_duplicates(empty(spark)).count() == 0
+    rows = [(None, "a b c d e f", "x")] * 3 + [(4, "A b c d e f", None)] * 2 + [(5, "other words here", None)] * 2
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, _keep string")
+    kept = simhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [4, 5]
