@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetpulse.llm import decontam, exact, langid, mixing, sharding, simhash
+from fleetpulse.llm import decontam, exact, langid, mixing, pii, secrets, sharding, simhash
 from fleetpulse.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,13 @@ def op4_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
 @query("op2_qgram_decontamination")
 def op2_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_personal_data")
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_report(read_table(spark, sf_dir, "documents"))
+
+
+@query("op6_secrets_markov")
+def op6_secrets_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(read_table(spark, sf_dir, "documents"))

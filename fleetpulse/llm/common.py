@@ -34,9 +34,18 @@ def with_runs(df: DataFrame, runs: int, tag: str, out: str = "_run") -> DataFram
     Runs follow the place of a row in the written files, so they are even for any content, and equal
     on every re-read.
     """
-    written = materialize(df, tag)
+    return placed(materialize(df, tag), runs, out).drop("_file", "_line")
+
+
+def placed(written: DataFrame, runs: int, out: str = "_run") -> DataFrame:
+    """Add a row's run and its place in the written files, (_file, _line), which names it uniquely."""
     place = F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / RUN_ROWS))
-    return written.withColumn(out, F.pmod(place, F.lit(runs)).cast("int"))
+    return written.select(
+        "*",
+        F.pmod(place, F.lit(runs)).cast("int").alias(out),
+        F.xxhash64("_metadata.file_path").alias("_file"),
+        F.col("_metadata.row_index").alias("_line"),
+    )
 
 
 def attach(rows: DataFrame, table: DataFrame, key: Sequence[str], run: str = "_run") -> DataFrame:
