@@ -24,7 +24,7 @@ from fleetpulse.plans.tables import broadcast_if_small, materialize
 
 RADIUS = 2
 # A shard with more fingerprints is split further; trees are fitted on at most SAMPLE fingerprints a round.
-SHARD_ROWS = 32_768
+SHARD_ROWS = 131_072
 SAMPLE = 131_072
 SPLIT_LEAST = 32
 # Below this many fingerprints a node of the in-shard tree compares all of them.
@@ -179,9 +179,15 @@ def vantage_shards(nodes: DataFrame, radius: int, cap: int = SHARD_ROWS) -> Data
         if not sizes:
             return placed
         each = max(2 * SPLIT_LEAST, SAMPLE // len(sizes))
-        draw = F.pmod(F.xxhash64("_fp", F.lit(leaves[0])), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        limits = placed.sparkSession.createDataFrame([(k, each / n) for k, n in sizes.items()], "_leaf bigint, _p double")
-        picked = placed.join(limits, "_leaf").where(draw < F.col("_p")).select("_leaf", "_fp").toPandas()
+        limits, salt = {k: each / n for k, n in sizes.items()}, np.uint64(2 * leaves[0] + 1)
+
+        def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                mixed = frame["_fp"].to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) * salt
+                draw = ((mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(11)) / float(1 << 53)
+                yield frame[draw < frame["_leaf"].map(limits).fillna(0.0).to_numpy(float)]
+
+        picked = placed.select("_leaf", "_fp").mapInPandas(pick, "_leaf bigint, _fp bigint").toPandas()
         trees = {}
         for leaf, part in picked.groupby("_leaf"):
             sample = np.sort(part["_fp"].to_numpy(np.int64)).view(np.uint64)
