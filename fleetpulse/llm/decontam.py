@@ -60,11 +60,23 @@ def trimmed(points: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(points: np.ndarray, q: int) -> np.ndarray:
+    """Polynomial hash of every q-gram, from the hashes of its two halves."""
     n = len(points) - q + 1
-    out = np.zeros(max(0, n), dtype=np.uint64)
-    for j in range(q if n > 0 else 0):
-        out = (out ^ points[j : j + n].astype(np.uint64)) * BASE
-    return out ^ (out >> np.uint64(29))
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+
+    def made(width: int) -> np.ndarray:
+        if width == 1:
+            return points.astype(np.uint64) + np.uint64(1)
+        left = width // 2
+        head, tail = made(left), made(width - left) if width % 2 else None
+        tail = head if tail is None else tail
+        size = len(points) - width + 1
+        return head[:size] * np.uint64(pow(int(BASE), width - left, 1 << 64)) + tail[left : left + size]
+
+    out = made(q) * BASE
+    out ^= out >> np.uint64(29)
+    return out
 
 
 class Index:
@@ -88,7 +100,9 @@ class Index:
         self.bound = size - q + 1 - self.budget * q
         flat = np.concatenate([*grams, np.zeros(0, dtype=np.uint64)])
         order = np.argsort(flat, kind="stable")
-        self.grams = flat[order]
+        # Distinct q-grams, and where the occurrences of each start.
+        self.grams, self.starts = np.unique(flat[order], return_index=True)
+        self.starts = np.append(self.starts, len(flat))
         self.owner = np.concatenate([*owners, np.zeros(0, dtype=np.int64)]).astype(np.int64)[order]
         self.place = np.concatenate([*places, np.zeros(0, dtype=np.int64)]).astype(np.int64)[order]
         self.seen = np.zeros(1 << FILTER_BITS, dtype=bool)
@@ -98,9 +112,10 @@ class Index:
         """(item, first diagonal, last diagonal) of the bands that reach the item's bound."""
         grams = gram_hashes(points, self.q)
         at = np.flatnonzero(self.seen[grams >> np.uint64(64 - FILTER_BITS)])
-        low = np.searchsorted(self.grams, grams[at], "left")
-        many = np.searchsorted(self.grams, grams[at], "right") - low
-        at, low, many = at[many > 0], low[many > 0], many[many > 0]
+        gram = np.minimum(np.searchsorted(self.grams, grams[at]), len(self.grams) - 1)
+        shared = self.grams[gram] == grams[at]
+        at, gram = at[shared], gram[shared]
+        low, many = self.starts[gram], self.starts[gram + 1] - self.starts[gram]
         if len(at) < self.bound.min(initial=1 << 40):
             return
         # Every occurrence of a shared q-gram in an item is one hit.
@@ -113,10 +128,15 @@ class Index:
         stride = len(points) + 2 * self.longest + 2
         # Each hit counts in its own band and the one before: a band covers two widths.
         keys = np.concatenate([item * stride + band, (item * stride + band - 1)[band > 0]])
-        keys, counts = np.unique(keys, return_counts=True)
-        item = keys // stride
+        places = np.concatenate([self.place[entry], self.place[entry][band > 0]])
+        some, where, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        # Of the bands with enough hits, those with enough different q-grams of the item.
+        full = (counts >= self.bound[some // stride])[where]
+        different = np.unique(keys[full] * (self.longest + 1) + places[full]) // (self.longest + 1)
+        some, counts = np.unique(different, return_counts=True)
+        item = some // stride
         good = counts >= self.bound[item]
-        for i, b in zip(item[good].tolist(), (keys % stride)[good].tolist()):
+        for i, b in zip(item[good].tolist(), (some % stride)[good].tolist()):
             width = int(self.budget[i]) + 1
             yield i, b * width - self.longest, (b + 2) * width - 1 - self.longest
 
@@ -142,6 +162,8 @@ def align(item: np.ndarray, points: np.ndarray, first: int, last: int, budget: i
         skip = np.append(cost[1:], far) + UNIT
         cost = np.minimum(match, skip)
         cost = np.minimum.accumulate(cost - steps) + steps
+        if r % 16 == 15 and cost.min() // UNIT > budget:
+            return None
     best = int(np.argmin(cost))
     edits, start = int(cost[best] // UNIT), int(cost[best] % UNIT)
     end = min(len(points), best + first + len(item))
