@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetpulse.llm import decontam, exact, langid, licenses, mixing, pii, secrets, sharding, simhash
+from fleetpulse.llm import decontam, exact, katz, langid, licenses, mixing, pii, secrets, sharding, simhash
 from fleetpulse.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,8 @@ def op6_secrets_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_license_templates")
 def op1_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(read_table(spark, sf_dir, "documents"))
+
+
+@query("op9_katz_backoff")
+def op9_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.language_report(read_table(spark, sf_dir, "documents"))
