@@ -90,9 +90,9 @@ _REQUEST = [
 @query(
     "resolve_window",
     f"""WITH q AS (SELECT {', '.join(_REQUEST)} FROM events),
-p AS (SELECT *, CASE WHEN hour IS NOT NULL AND (hour < 0 OR hour > 23) THEN 'hour must be between 0 and 23'
+p AS (SELECT *, CASE WHEN hour IS NOT NULL AND (hour < 0 OR hour > 23) THEN 'no such hour of the day'
  WHEN hour IS NULL AND timestamp IS NOT NULL AND TRY_CAST(timestamp AS TIMESTAMP) IS NULL
- THEN 'timestamp must be ISO format' END AS error,
+ THEN 'not a date and time' END AS error,
  CASE WHEN hour IS NOT NULL THEN hour ELSE hour(TRY_CAST(timestamp AS TIMESTAMP)) END AS h FROM q)
 SELECT event_id, error, CASE WHEN error IS NOT NULL OR h IS NULL THEN NULL WHEN h < 6 THEN 'night'
  WHEN h < 12 THEN 'morning' WHEN h < 18 THEN 'afternoon' ELSE 'evening' END AS "window" FROM p""",

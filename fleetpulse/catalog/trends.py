@@ -126,7 +126,7 @@ def replay_step(spark, sf):
     return replay.at_step(aligned, 1_000_003).select("machine", "type", "cpu", "label")
 
 
-_INCIDENTS = """WITH a AS (SELECT machine, timestamp, event_id, date_trunc('second', timestamp) AS s FROM readings WHERE cpu > 60),
+_INCIDENTS = """WITH a AS (SELECT machine, timestamp, event_id, timestamp AS s FROM readings WHERE cpu > 60),
 g AS (SELECT *, CASE WHEN epoch(s) - epoch(lag(s) OVER (PARTITION BY machine ORDER BY timestamp, event_id)) <= 86400 THEN 0 ELSE 1 END AS new FROM a),
 n AS (SELECT *, sum(new) OVER (PARTITION BY machine ORDER BY timestamp, event_id ROWS UNBOUNDED PRECEDING) AS incident FROM g)
 SELECT machine, CAST(incident AS BIGINT) AS incident, min(timestamp) AS started, max(timestamp) AS ended, count(*) AS n FROM n GROUP BY 1, 2"""

@@ -19,10 +19,5 @@ def f1_of(precision: Column, recall: Column) -> Column:
     return safe_ratio(2 * precision * recall, precision + recall)
 
 
-def max_abs(cols: list[Column]) -> Column:
-    sizes = [F.abs(c) for c in cols]
-    return F.greatest(*sizes) if len(sizes) > 1 else sizes[0]
-
-
 def nan_to_null(col: Column) -> Column:
     return F.when(~F.isnan(col), col)

@@ -45,8 +45,8 @@ def resolve_window(df: DataFrame, hour: str = "hour", ts: str = "timestamp") ->
     """Window from an explicit hour, else from ISO timestamp text, else NULL; bad input fills ``error``."""
     h, text = F.col(hour), F.col(ts)
     parsed = F.try_to_timestamp(text)
-    error = F.when(h.isNotNull() & ~h.between(0, 23), F.lit("hour must be between 0 and 23")).when(
-        h.isNull() & text.isNotNull() & parsed.isNull(), F.lit("timestamp must be ISO format")
+    error = F.when(h.isNotNull() & ~h.between(0, 23), F.lit("no such hour of the day")).when(
+        h.isNull() & text.isNotNull() & parsed.isNull(), F.lit("not a date and time")
     )
     used = F.when(h.isNotNull(), h).otherwise(F.hour(parsed))
     return df.withColumn("error", error).withColumn(
@@ -67,7 +67,3 @@ def first_days(df: DataFrame, days: int, ts: str = "timestamp") -> DataFrame:
 def every_nth_hour(df: DataFrame, step: int = 4, ts: str = "timestamp") -> DataFrame:
     """Systematic sample: readings in minute 0 of every ``step``-th hour."""
     return df.where((F.hour(ts) % step == 0) & (F.minute(ts) == 0))
-
-
-def seconds_between(df: DataFrame, ts: str) -> Column:
-    return seconds_of(df, ts)

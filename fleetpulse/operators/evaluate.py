@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from fleetpulse.functions.numbers import f1_of, safe_ratio
 from fleetpulse.plans.chunks import CHUNK, CHUNK_ROWS, assign_chunks, lookback_on, running_sum_on
-from fleetpulse.plans.prefix import cumulative_counts
-from fleetpulse.plans.tables import materialize
+from fleetpulse.plans.prefix import cumulative_counts, is_number
+from fleetpulse.plans.tables import materialize, null_safe_join
 
 
 def confusion(df: DataFrame, by: Sequence[str] = (), label: str = "label", pred: str = "pred") -> DataFrame:
@@ -69,7 +69,7 @@ def point_adjust(
         out = blocked.withColumns({n: F.when(true, F.max(src).over(block)).otherwise(F.col(src)) for n, src in measures.items()})
         return out.drop("_block", CHUNK)
     tops = blocked.where(true).groupBy(*by, "_block").agg(*[F.max(src).alias(f"_{n}") for n, src in measures.items()])
-    out = blocked.join(tops, [*by, "_block"], "left")
+    out = null_safe_join(blocked, tops, [*by, "_block"], "left")
     for n, src in measures.items():
         out = out.withColumn(n, F.when(true, F.col(f"_{n}")).otherwise(F.col(src))).drop(f"_{n}")
     return out.drop("_block", CHUNK)
@@ -79,7 +79,7 @@ def curve_counts(df: DataFrame, by: Sequence[str], score: str, label: str = "lab
     """Per distinct score: positives and negatives at it and below it."""
     y = F.col(label)
     return cumulative_counts(
-        df.where(F.col(score).isNotNull()), by, score, {"pos": F.count_if(y == 1), "neg": F.count_if(y == 0)}
+        df.where(is_number(score)), by, score, {"pos": F.count_if(y == 1), "neg": F.count_if(y == 0)}
     )
 
 
@@ -108,7 +108,7 @@ def precision_recall_steps(df: DataFrame, by: Sequence[str] = (), score: str = "
     by = list(by)
     counts = curve_counts(df, by, score, label)
     totals = counts.groupBy(*by).agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
-    joined = counts.join(totals, by) if by else counts.crossJoin(F.broadcast(totals))  # one row
+    joined = null_safe_join(counts, totals, by) if by else counts.crossJoin(F.broadcast(totals))  # one row
     return joined.selectExpr(
         *[f"`{b}`" for b in by],
         f"`{score}` AS threshold",
@@ -143,7 +143,7 @@ def evaluate(df: DataFrame, by: Sequence[str] = ("method",)) -> DataFrame:
     ranks = rank_quality(data, by).select(*by, "roc_auc", "pr_auc")
     ranks_adj = rank_quality(data, by, "score_adj").select(*by, F.col("pr_auc").alias("pr_auc_adj"))
     for part in (adjusted, ranks, ranks_adj):
-        out = out.join(part, by) if by else out.crossJoin(F.broadcast(part))  # one row each
+        out = null_safe_join(out, part, by) if by else out.crossJoin(F.broadcast(part))  # one row each
     return out
 
 

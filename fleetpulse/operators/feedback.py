@@ -126,21 +126,19 @@ def guardrail(
     cur, new = F.col("cur"), F.col("new")
     both = current_f1.select(F.col("f1").alias("cur")).crossJoin(F.broadcast(new_f1.select(F.col("f1").alias("new"))))
     reason = (
-        F.when(new < cur, F.concat(F.lit("F1 dropped: "), three(cur), F.lit(" -> "), three(new)))
+        F.when(new < cur, F.concat(F.lit("lower F1: "), three(new), F.lit(" after "), three(cur)))
         .when(
             F.col("w").isNotNull(),
             F.concat(
+                F.lit("lower recall of "),
                 F.col("w.cause"),
-                F.lit(" recall dropped "),
-                F.format_string("%.1f", F.col("w.drop") * 100),
-                F.lit("pts ("),
-                three(F.col("w.current_recall")),
-                F.lit(" -> "),
+                F.lit(": "),
                 three(F.col("w.new_recall")),
-                F.lit(")"),
+                F.lit(" after "),
+                three(F.col("w.current_recall")),
             ),
         )
-        .otherwise(F.lit("all guardrails passed"))
+        .otherwise(F.lit("no measure fell"))
     )
     passed = (new >= cur) & F.col("w").isNull()
     return both.crossJoin(F.broadcast(worst)).select(passed.alias("passed"), reason.alias("reason"))
@@ -158,8 +156,8 @@ def verify(runs: DataFrame, production_f1: float, ratio: float = 1.0) -> DataFra
     passed = new >= prod * F.lit(ratio)
     three = lambda c: F.format_string("%.3f", c)
     reason = F.when(
-        passed, F.concat(F.lit("new F1 "), three(new), F.lit(" >= production "), three(prod), F.lit(": no regression"))
-    ).otherwise(F.concat(F.lit("new F1 "), three(new), F.lit(" < production "), three(prod), F.lit(": rejected")))
+        passed, F.concat(F.lit("accepted: F1 "), three(new), F.lit(" against "), three(prod))
+    ).otherwise(F.concat(F.lit("refused: F1 "), three(new), F.lit(" against "), three(prod)))
     return runs.withColumns({"production_f1": prod, "passed": F.coalesce(passed, F.lit(False)), "reason": reason})
 
 

@@ -86,12 +86,11 @@ class IsolationForest:
         member = lambda t: F.pmod(F.xxhash64(F.lit(seed), t, *key), F.lit(scale))
         expand = rate * trees
         rows = df.select(*key, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
-        if expand < 1.0:
-            # Few rows are wanted: thin once before looking at single trees.
-            keep = min(1.0, 2.0 * expand)
-            thin = F.pmod(F.xxhash64(F.lit(seed), F.lit("thin"), *key), F.lit(scale))
-            rows = rows.where(thin < F.lit(int(keep * scale)))
-            rate = min(1.0, rate / keep)
+        # Where few rows are wanted they are thinned once before single trees look at them.
+        keep = min(1.0, 2.0 * expand)
+        thin = F.pmod(F.xxhash64(F.lit(seed), F.lit("thin"), *key), F.lit(scale))
+        rows = rows.where(thin < F.lit(int(keep * scale)))
+        rate = min(1.0, rate / keep) if keep else 1.0
         picked = (
             rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
             .withColumn("_h", member(F.col("tree")))
@@ -187,5 +186,3 @@ def flag_over(df: DataFrame, threshold: DataFrame, score: str = "iso_score", out
     return df.crossJoin(F.broadcast(threshold)).withColumn(out, (F.col(score) > F.col(column)).cast("int")).drop(column)
 
 
-def isolation_flag(score: Column, threshold: float) -> Column:
-    return (score > F.lit(threshold)).cast("int")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetpulse.plans.prefix import mark_first, mark_smallest
@@ -87,13 +87,16 @@ def weighted_feedback_sample(
 
 
 def sample_per_type(df: DataFrame, n: int, by: str = "type", key=("event_id",), seed: int = 42) -> DataFrame:
-    """About ``n`` rows (clamped to 1..100) spread evenly over all types, at least one of each."""
+    """``min(n, rows)`` rows (``n`` clamped to 1..100), dealt to the types in turn until none is left.
+
+    Within a type rows come by hash. At most 100 rows of each type are ranked.
+    """
     n = max(1, min(n, 100))
-    # One row: the number of types.
-    kinds = df.agg(F.count_distinct(by).alias("_kinds"))
-    sized = df.crossJoin(F.broadcast(kinds))
-    quota = F.greatest(F.floor(F.lit(n) / F.col("_kinds")), F.lit(1))
-    return mark_smallest(sized, [by, "_kinds"], quota, key, seed).where("in_sample").drop("in_sample", "_kinds")
+    first = mark_smallest(df, [by], F.lit(n), key, seed).where("in_sample").drop("in_sample")
+    text = ", ".join(f"CAST(`{k}` AS STRING)" for k in key)
+    hashed = first.selectExpr("*", f"md5(concat_ws('|', '{seed}', {text})) AS _hash")
+    turn = F.row_number().over(Window.partitionBy(by).orderBy("_hash", *key))
+    return hashed.withColumn("_turn", turn).orderBy("_turn", "_hash", *key).limit(n).drop("_turn", "_hash")
 
 
 def split_known(df: DataFrame, known: DataFrame, on: str = "machine") -> tuple[DataFrame, DataFrame]:

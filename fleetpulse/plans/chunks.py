@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetpulse.plans.prefix import global_index
-from fleetpulse.plans.tables import few_or_none
+from fleetpulse.plans.tables import few_or_none, null_safe_join
 
 CHUNK_ROWS = 2_000_000
 CHUNK = "_chunk"
@@ -28,7 +28,7 @@ def seconds_of(df: DataFrame, ts: str) -> Column:
     kind = df.schema[ts].dataType
     if isinstance(kind, T.TimestampNTZType):
         days = F.unix_date(F.to_date(ts)).cast("double")
-        return days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+        return days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.extract(F.lit("SECOND"), ts).cast("double")
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(ts) / F.lit(1e6)
     if isinstance(kind, T.DateType):
@@ -57,7 +57,7 @@ def assign_chunks(
     pieces = F.ceil(F.col("_n") * OVERSPLIT / F.lit(chunk_rows))
     share = (pos - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     chunk = F.least(F.floor(share * pieces), pieces - 1)
-    out = df.join(hot, list(by), "left").withColumn(
+    out = null_safe_join(df, hot, list(by), "left").withColumn(
         CHUNK, F.coalesce(chunk, F.lit(0)).cast("bigint")
     )
     return out.drop("_n", "_lo", "_hi"), True
@@ -137,7 +137,7 @@ def running_sum_on(sliced, split, by, order, value, out) -> DataFrame:
         .agg(F.sum(value).alias("_total"))
         .select(*parts, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
     )
-    return local.join(totals, parts, "left").withColumn(out, F.col(out) + F.col("_before")).drop("_before")
+    return null_safe_join(local, totals, parts, "left").withColumn(out, F.col(out) + F.col("_before")).drop("_before")
 
 
 def row_index(
@@ -170,4 +170,4 @@ def rank_within(
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint"))
     placed = global_index(df, [*by, *order], "_pos")
     first = placed.groupBy(*by).agg(F.min("_pos").alias("_first"))
-    return placed.join(first, by).withColumn(out, F.col("_pos") - F.col("_first") + 1).drop("_pos", "_first")
+    return null_safe_join(placed, first, by).withColumn(out, F.col("_pos") - F.col("_first") + 1).drop("_pos", "_first")

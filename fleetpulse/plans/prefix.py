@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetpulse.plans.tables import few_rows, materialize
+from fleetpulse.plans.tables import few_rows, materialize, null_safe_join
 
 
 def value_bucket(value: Column) -> Column:
@@ -20,6 +20,11 @@ def value_bucket(value: Column) -> Column:
     return F.floor(F.signum(value) * size * F.lit(65536.0)).cast("bigint")
 
 
+def is_number(value: str) -> Column:
+    """Neither NULL nor NaN: a NaN has no rank."""
+    return F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+
+
 def cumulative_counts(
     df: DataFrame, by: Sequence[str], value: str, sums: dict[str, Column]
 ) -> DataFrame:
@@ -41,7 +46,7 @@ def cumulative_counts(
         *keys, *[F.coalesce(F.sum(f"_{n}").over(lower), F.lit(0)).alias(f"_{n}_off") for n in sums]
     )
     inside = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return per_value.join(buckets, keys).select(
+    return null_safe_join(per_value, buckets, keys).select(
         *by,
         value,
         *sums,
@@ -56,11 +61,11 @@ def exact_percentiles(df: DataFrame, by: Sequence[str], value: str, qs: dict[str
     """Linearly interpolated percentiles per group, exact, for groups of any size."""
     by = list(by)
     ranked = cumulative_counts(
-        df.where(F.col(value).isNotNull()), by, value, {"cnt": F.count(F.lit(1))}
+        df.where(is_number(value)), by, value, {"cnt": F.count(F.lit(1))}
     )
     totals = ranked.groupBy(*by).agg(F.sum("cnt").alias("_n"))
     if by:
-        ranked = ranked.join(totals, by)
+        ranked = null_safe_join(ranked, totals, by)
     else:
         ranked = ranked.crossJoin(F.broadcast(totals))  # one row
     aggs, out = [], []
@@ -79,9 +84,9 @@ def exact_percentiles(df: DataFrame, by: Sequence[str], value: str, qs: dict[str
 def order_statistics(df: DataFrame, by: Sequence[str], value: str, picks: dict[str, Column]) -> DataFrame:
     """Values at 0-based sorted positions; each pick is an expression over the group size ``n``."""
     by = list(by)
-    ranked = cumulative_counts(df.where(F.col(value).isNotNull()), by, value, {"cnt": F.count(F.lit(1))})
+    ranked = cumulative_counts(df.where(is_number(value)), by, value, {"cnt": F.count(F.lit(1))})
     totals = ranked.groupBy(*by).agg(F.sum("cnt").alias("n"))
-    ranked = ranked.join(totals, by) if by else ranked.crossJoin(F.broadcast(totals))
+    ranked = null_safe_join(ranked, totals, by) if by else ranked.crossJoin(F.broadcast(totals))
     inside = lambda i: (F.col("cnt_below") <= i) & (i < F.col("cnt_below") + F.col("cnt"))
     return ranked.groupBy(*by, "n").agg(
         *[F.max(F.when(inside(i), F.col(value))).alias(name) for name, i in picks.items()]
@@ -115,7 +120,7 @@ def mark_first(
     strata, order = list(strata), list(order)
     group = ", ".join(f"`{s}`" for s in strata) or "0"
     keys = ", ".join(f"`{k}`" for k in order)
-    on = lambda left, right, how: left.join(right, strata, how) if strata else left.join(right, F.lit(True), how)
+    on = lambda left, right, how: null_safe_join(left, right, strata, how)
     bucketed = df.selectExpr("*", f"{bucket} AS _bucket")
     cut = (
         bucketed.groupBy(*strata, "_bucket")

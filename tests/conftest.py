@@ -33,14 +33,8 @@ def sf():
 
 @pytest.fixture
 def sample(spark):
-    """Two machines, night and afternoon."""
-    rows = [
-        ("2026-01-01 02:00:00", "web-01", "web", 10.0, 0),
-        ("2026-01-01 02:01:00", "web-01", "web", 20.0, 0),
-        ("2026-01-01 14:00:00", "web-01", "web", 50.0, 0),
-        ("2026-01-01 14:01:00", "web-01", "web", 60.0, 0),
-        ("2026-01-01 02:00:00", "web-02", "web", 15.0, 0),
-        ("2026-01-01 02:01:00", "web-02", "web", 25.0, 0),
-    ]
+    """A busy machine seen in the evening and in the morning, and a quiet one seen in the evening."""
+    seen = {"alpha": [("20:10", 30.0), ("20:40", 34.0), ("21:05", 38.0), ("09:30", 70.0), ("10:30", 90.0)], "beta": [("22:00", 5.0), ("23:30", 7.0)]}
+    rows = [(f"2025-03-07 {at}:00", name, "mail", value, 0) for name, values in seen.items() for at, value in values]
     df = spark.createDataFrame(rows, "timestamp string, machine string, type string, cpu double, label int")
     return df.withColumn("timestamp", df.timestamp.cast("timestamp_ntz"))

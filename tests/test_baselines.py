@@ -18,33 +18,33 @@ def test_window_boundaries(spark):
 
 def test_windows_of_sample(sample):
     rows = add_window(sample).orderBy("machine", "timestamp").collect()
-    assert [r["window"] for r in rows] == ["night", "night", "afternoon", "afternoon", "night", "night"]
+    assert [r["window"] for r in rows] == ["morning"] * 2 + ["evening"] * 5
 
 
 def test_levels_and_values(sample):
     base = bl.build_baselines(add_window(sample), ["cpu"])
     rows = {(r["level"], r["machine"], r["window"]): r for r in base.collect()}
     assert {k for k in rows if k[0] == "machine+window"} == {
-        ("machine+window", "web-01", "night"),
-        ("machine+window", "web-01", "afternoon"),
-        ("machine+window", "web-02", "night"),
+        ("machine+window", "alpha", "evening"),
+        ("machine+window", "alpha", "morning"),
+        ("machine+window", "beta", "evening"),
     }
-    night = rows[("machine+window", "web-01", "night")]
-    assert (night["cpu_mean"], night["cpu_std"]) == (15.0, 5.0)
-    assert rows[("global", None, None)]["n"] == 6
+    evening = rows[("machine+window", "alpha", "evening")]
+    assert (evening["cpu_mean"], evening["cpu_std"]) == (34.0, pytest.approx(math.sqrt(32 / 3)))
+    assert rows[("global", None, None)]["n"] == 7
     assert bl.metric_order(base) == ["cpu"]
 
 
 @pytest.mark.parametrize(
     "machine, kind, window, level",
     [
-        ("web-01", "web", "night", "machine+window"),
-        ("web-01", "web", "evening", "machine"),
-        ("web-01", "web", None, "machine"),
-        ("web-99", "web", "night", "type"),
-        ("web-99", "mail", "night", "global"),
-        ("web-99", None, None, "global"),
-        ("web-99", "", "night", "global"),
+        ("alpha", "mail", "evening", "machine+window"),
+        ("alpha", "mail", "night", "machine"),
+        ("alpha", "mail", None, "machine"),
+        ("gamma", "mail", "evening", "type"),
+        ("gamma", "proxy", "evening", "global"),
+        ("gamma", None, None, "global"),
+        ("gamma", "", "evening", "global"),
     ],
 )
 def test_fallback(spark, sample, machine, kind, window, level):
@@ -56,7 +56,7 @@ def test_fallback(spark, sample, machine, kind, window, level):
 def test_known_z(sample):
     df = add_window(sample)
     scored = zscore(df, bl.build_baselines(df, ["cpu"]), ["cpu"])
-    assert scored.where("cpu = 10").first()["z_cpu"] == pytest.approx(-1.0)
+    assert scored.where("cpu = 90").first()["z_cpu"] == pytest.approx(1.0)
 
 
 def test_flat_metric_stays_finite(spark):
@@ -68,9 +68,9 @@ def test_flat_metric_stays_finite(spark):
 def test_extreme_reading_is_flagged_and_plain_one_is_not(spark, sample):
     df = add_window(sample)
     base = bl.build_baselines(df, ["cpu"])
-    new = spark.createDataFrame([("web-01", "web", "night", c) for c in (16.0, 99.0)], "machine string, type string, window string, cpu double")
+    new = spark.createDataFrame([("alpha", "mail", "evening", c) for c in (36.0, 99.0)], "machine string, type string, window string, cpu double")
     got = {r["cpu"]: r["pred"] for r in z_threshold(zscore(new, base, ["cpu"]), ["cpu"]).collect()}
-    assert got == {16.0: 0, 99.0: 1}
+    assert got == {36.0: 0, 99.0: 1}
 
 
 def test_missing_metric_takes_global(spark):
