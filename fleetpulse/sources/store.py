@@ -48,10 +48,18 @@ def to_predictions(scored: DataFrame, metrics: Sequence[str], model_version: str
     )
 
 
-def log_predictions(predictions: DataFrame, path: str, best_effort: bool = True) -> bool:
-    """Append to the log, partitioned by day. A failing log must not stop scoring."""
+def log_predictions(predictions: DataFrame, path: str, best_effort: bool = True, batch: int | None = None) -> bool:
+    """Add to the log, partitioned by day. A failing log must not stop scoring.
+
+    With ``batch``, the number of a micro-batch, writing it again replaces what it wrote before.
+    """
     try:
-        predictions.withColumn("day", F.to_date("timestamp")).write.mode("append").partitionBy("day").parquet(path)
+        rows = predictions.withColumns({"day": F.to_date("timestamp"), "batch": F.lit(batch if batch is not None else -1).cast("bigint")})
+        writer = rows.write.partitionBy("day", "batch")
+        if batch is None:
+            writer.mode("append").parquet(path)
+        else:
+            writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
         return True
     except Exception as error:  # noqa: BLE001 - any storage failure counts as "not logged"
         if not best_effort:
@@ -61,8 +69,8 @@ def log_predictions(predictions: DataFrame, path: str, best_effort: bool = True)
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    shape = T.StructType([*PREDICTION_SCHEMA.fields, T.StructField("day", T.DateType())])
-    return spark.read.schema(shape).parquet(path).drop("day")
+    shape = T.StructType([*PREDICTION_SCHEMA.fields, T.StructField("day", T.DateType()), T.StructField("batch", T.LongType())])
+    return spark.read.schema(shape).parquet(path).drop("day", "batch")
 
 
 def save_run(

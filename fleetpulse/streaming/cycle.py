@@ -55,7 +55,7 @@ def detection_cycle(
             "overwrite"
         ).parquet(f"{out_path}/batch={batch_id}")
         if log_path:
-            log_predictions(to_predictions(scored, metrics, model_version, threshold), log_path)
+            log_predictions(to_predictions(scored, metrics, model_version, threshold), log_path, batch=batch_id)
         scored.unpersist()
 
     return body

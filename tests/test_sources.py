@@ -113,3 +113,19 @@ def test_broadcast_only_within_the_bound(spark):
     hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
     assert hinted(broadcast_if_small(table, 50)) and not hinted(broadcast_if_small(table, 49))
     assert few_rows(spark.range(10), 5).count() == 10 and few_rows(spark.range(3), 5).count() == 3
+
+
+def test_a_batch_logged_twice_is_logged_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from fleetpulse.schemas import PREDICTION_SCHEMA
+    from fleetpulse.sources.store import log_predictions, read_predictions
+
+    values = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != "timestamp" else F.lit("2025-03-07 10:00:00").cast(f.dataType).alias(f.name) for f in PREDICTION_SCHEMA.fields]
+    rows = spark.range(5).select(*values)
+    path = str(tmp_path / "log")
+    for batch in (0, 1, 1, 0):
+        assert log_predictions(rows, path, best_effort=False, batch=batch)
+    assert read_predictions(spark, path).count() == 10
+    assert log_predictions(rows, path, best_effort=False)
+    assert read_predictions(spark, path).count() == 15
