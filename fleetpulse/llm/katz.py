@@ -12,6 +12,7 @@ pair, its sums are added up over the buckets.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 
@@ -142,7 +143,7 @@ def count_stats(counts: np.ndarray) -> np.ndarray:
     return np.array([*small, counts[counts > LAST].sum(), (counts > 0).sum(), counts.sum()], dtype=float)
 
 
-REQUEST = "bucket bigint, block bigint, keys binary, sizes binary, words binary, uses binary, counts binary"
+REQUEST = "bucket bigint, block bigint, keys binary, sizes binary, words binary, uses binary, codes binary, counts binary"
 ANSWER = "block bigint, bucket bigint, kind int, counts binary, sums binary, stats array<double>"
 MODEL = -1
 
@@ -156,7 +157,7 @@ def word_requests(blocks: DataFrame, buckets: int) -> DataFrame:
                 flags = np.repeat(unpacked(row.train, np.uint8), unpacked(row.lens, np.uint32))
                 counts = np.bincount(body[flags > 0], minlength=len(vocab)).astype(np.uint32)
                 for bucket, part in slices(range_bucket(vocab, buckets)):
-                    out.append((bucket, row.block, packed(vocab[part]), None, None, None, packed(counts[part])))
+                    out.append((bucket, row.block, packed(vocab[part]), None, None, None, None, packed(counts[part])))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in REQUEST.split(", ")])
 
     return blocks.select("block", "train", "lens", "vocab", "body").mapInPandas(run, REQUEST)
@@ -218,10 +219,12 @@ def pair_requests(blocks: DataFrame, answers: DataFrame, model: dict) -> DataFra
         for row in left.itertuples():
             block = Block(row, right, model)
             for bucket, part, heads, sizes in block.parts():
-                word = block.word[part]
+                # Each word once, and its number in each pair; the top bit of a run marks a frequent history.
+                words, codes = np.unique(block.word[part], return_inverse=True)
+                hot = block.hot[part][np.cumsum(sizes) - sizes]
                 out.append((
-                    bucket, row.block, packed(block.hashes[heads]), packed(sizes.astype(np.uint32)), packed(block.hashes[word]),
-                    packed(np.stack([block.uses[word], block.hot[part]], axis=1).astype(np.int64).reshape(-1)), packed(block.trained[part]),
+                    bucket, row.block, packed(block.hashes[heads]), packed((sizes + (hot.astype(np.int64) << 31)).astype(np.uint32)),
+                    packed(block.hashes[words]), packed(block.uses[words].astype(np.int64)), packed(codes.astype(np.uint32)), packed(block.trained[part]),
                 ))
         return pd.DataFrame(out, columns=[c.split()[0] for c in REQUEST.split(", ")])
 
@@ -231,10 +234,13 @@ def pair_requests(blocks: DataFrame, answers: DataFrame, model: dict) -> DataFra
 def answer_pairs(frame: pd.DataFrame, model: dict) -> pd.DataFrame:
     """Training count of every pair asked for, sums over the seen words of each history, statistics."""
     heads = [unpacked(k, np.uint64) for k in frame["keys"]]
-    sizes = [unpacked(s, np.uint32) for s in frame["sizes"]]
+    runs = [unpacked(s, np.uint32).astype(np.int64) for s in frame["sizes"]]
+    sizes = [s & ((1 << 31) - 1) for s in runs]
     head = np.concatenate([np.repeat(h, s) for h, s in zip(heads, sizes)])
-    word = np.concatenate([unpacked(w, np.uint64) for w in frame["words"]])
-    uses, hot = np.concatenate([unpacked(u, np.int64).reshape(-1, 2) for u in frame["uses"]]).T
+    codes = [unpacked(c, np.uint32) for c in frame["codes"]]
+    word = np.concatenate([unpacked(w, np.uint64)[c] for w, c in zip(frame["words"], codes)])
+    uses = np.concatenate([unpacked(u, np.int64)[c] for u, c in zip(frame["uses"], codes)])
+    hot = np.concatenate([np.repeat(s >> 31, n) for s, n in zip(runs, sizes)])
     order = np.lexsort((word, head))
     sh, sw = head[order], word[order]
     first = np.append(True, (sh[1:] != sh[:-1]) | (sw[1:] != sw[:-1]))
@@ -329,13 +335,15 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     buckets = max(8, int(tokens) // BUCKET_TOKENS)
     words = materialize(word_requests(blocks, buckets).groupBy("bucket").applyInPandas(answer_words, ANSWER), "words")
     stats = added(words, 1)
+    release_shuffles(blocks)
     factors = discounts(stats[: LAST + 1])
     total = int(stats[-1])
     used = float((factors[1:] * np.arange(1, LAST + 1)) @ stats[:LAST] + stats[LAST + 1])
     ends = trained_texts(blocks)
     model = {"buckets": buckets, "texts": ends, "total": total, "words": int(stats[-2]), "word_factors": factors, "unknown": 1 - used / (total + 1)}
-    requests = pair_requests(blocks, words, model)
-    pairs = materialize(requests.groupBy("bucket").applyInPandas(lambda frame: answer_pairs(frame, model), ANSWER), "pairs")
+    answer = lambda frame: answer_pairs(frame, model)
+    pairs = materialize(pair_requests(blocks, words, model).groupBy("bucket").applyInPandas(answer, ANSWER), "pairs")
+    release_shuffles(blocks)
     hot = pairs.where(f"kind = 3 AND block = {MODEL}").groupBy("bucket").agg(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(LAST + 2)])
     # At most HOT histories hold more than one training token in HOT.
     model |= {"pair_factors": discounts(added(pairs, 2)[: LAST + 1]), "hot": {r[0]: np.array(r[1:]) for r in hot.collect()}}
@@ -343,6 +351,12 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     return scores.withColumn("train_tokens", F.lit(total).cast("bigint"))
 
 
+def release_shuffles(df: DataFrame) -> None:
+    """Lets Spark remove the shuffle files of finished jobs, which it does when the driver collects its garbage."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def trained_texts(blocks: DataFrame) -> int:
     """Number of training texts."""
 
