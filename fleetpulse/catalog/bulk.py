@@ -12,23 +12,31 @@ from fleetpulse.operators.zscore import z_threshold, zscore
 V = fx.VOLUME_METRICS
 VIEW = ["volume"]
 STATS = [f"{m}_{s}" for m in V for s in ("mean", "std")]
-# A sum of prices keeps some 15 digits, whatever its order: 3 decimals of a price are safe, 6 of the rest.
-DIGITS = lambda name: 3 if name.startswith("price") else 6
-rounded_sql = lambda name, expr=None: r6(expr or name) if DIGITS(name) == 6 else f"(round({expr or name}, 3) + 0.0)"
-rounded = lambda name: (R(name) if DIGITS(name) == 6 else F.round(name, 3) + 0.0).alias(name)
+# A sum of prices keeps some 15 digits, whatever its order: 3 decimals of a mean over many rows are safe. Means of at
+# most ten prices end within 5 decimals or never, so that rounding there meets no tie.
+
+
+def rounded_sql(name: str, expr: str, digits: int) -> str:
+    return f"(round({expr}, {digits}) + 0.0)" if name.startswith("price") else r6(expr)
+
+
+def rounded(name: str, digits: int):
+    return (F.round(name, digits) + 0.0 if name.startswith("price") else R(name)).alias(name)
+
+
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "machine"]
 
 
 @query(
     "bulk_baselines",
-    f"WITH {baseline_ctes('volume', V)} SELECT 'machine' AS level, machine AS name, n, {', '.join(f'{rounded_sql(s)} AS {s}' for s in STATS)} FROM b_m "
-    f"UNION ALL SELECT 'type', type, n, {', '.join(f'{rounded_sql(s)} AS {s}' for s in STATS)} FROM b_t "
-    f"UNION ALL SELECT 'global', NULL, n, {', '.join(f'{rounded_sql(s)} AS {s}' for s in STATS)} FROM b_g",
+    f"WITH {baseline_ctes('volume', V)} SELECT 'machine' AS level, machine AS name, n, {', '.join(f'{rounded_sql(s, s, 3)} AS {s}' for s in STATS)} FROM b_m "
+    f"UNION ALL SELECT 'type', type, n, {', '.join(f'{rounded_sql(s, s, 3)} AS {s}' for s in STATS)} FROM b_t "
+    f"UNION ALL SELECT 'global', NULL, n, {', '.join(f'{rounded_sql(s, s, 3)} AS {s}' for s in STATS)} FROM b_g",
     VIEW,
 )
 def bulk_baselines(spark, sf):
     base = bl.build_baselines(fx.volume(spark, sf), V, levels=("machine", "type", "global"))
-    return base.select("level", F.coalesce("machine", "type").alias("name"), "n", *[rounded(s) for s in STATS])
+    return base.select("level", F.coalesce("machine", "type").alias("name"), "n", *[rounded(s, 3) for s in STATS])
 
 
 _BIG = f"greatest({', '.join(f'abs({z_sql(m)})' for m in V)})"
@@ -47,9 +55,9 @@ def bulk_zscore(spark, sf):
 
 _O = "PARTITION BY machine ORDER BY timestamp, l_orderkey, l_linenumber, l_partkey, price"
 _ROLL = ", ".join(
-    f"{rounded_sql(m, f'avg({m}) OVER ({_O} ROWS 9 PRECEDING)')} AS {m}_rolling_mean, "
-    f"{rounded_sql(m, f'coalesce(stddev_samp({m}) OVER ({_O} ROWS 9 PRECEDING), 0)')} AS {m}_rolling_std, "
-    f"{rounded_sql(m, f'coalesce({m} - lag({m}, 9) OVER ({_O}), 0)')} AS {m}_delta"
+    f"{rounded_sql(m, f'avg({m}) OVER ({_O} ROWS 9 PRECEDING)', 5)} AS {m}_rolling_mean, "
+    f"{rounded_sql(m, f'coalesce(stddev_samp({m}) OVER ({_O} ROWS 9 PRECEDING), 0)', 5)} AS {m}_rolling_std, "
+    f"{rounded_sql(m, f'coalesce({m} - lag({m}, 9) OVER ({_O}), 0)', 5)} AS {m}_delta"
     for m in V
 )
 
@@ -57,7 +65,7 @@ _ROLL = ", ".join(
 @query("bulk_rolling", f"SELECT {', '.join(KEYS)}, {_ROLL} FROM volume", VIEW)
 def bulk_rolling(spark, sf):
     out = rolling.add_rolling(fx.volume(spark, sf), V, order=fx.VOLUME_ORDER)
-    return out.select(*KEYS, *[rounded(n) for n in rolling.rolling_names(V)])
+    return out.select(*KEYS, *[rounded(n, 5) for n in rolling.rolling_names(V)])
 
 
 @query(
