@@ -13,6 +13,7 @@ pair, its sums are added up over the buckets.
 from __future__ import annotations
 
 import gc
+import time
 import zlib
 from collections.abc import Iterator
 
@@ -55,6 +56,16 @@ def unpacked(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
 
+def packed_sums(sums: np.ndarray) -> bytes:
+    """Rows of LAST + 1 whole numbers and a probability, column by column."""
+    return packed(np.concatenate([sums[:, :-1].T.astype(np.uint64).reshape(-1), np.ascontiguousarray(sums[:, -1]).view(np.uint64)]))
+
+
+def unpacked_sums(data: bytes) -> np.ndarray:
+    columns = unpacked(data, np.uint64).reshape(LAST + 2, -1)
+    return np.concatenate([columns[:-1].astype(float), columns[-1:].view(np.float64)]).T
+
+
 BLOCK = "block bigint, tokens bigint, ids binary, known binary, train binary, lens binary, vocab binary, body binary"
 
 
@@ -260,7 +271,7 @@ def answer_pairs(frame: pd.DataFrame, model: dict) -> pd.DataFrame:
     bucket, ends, out = int(frame["bucket"].iloc[0]), np.cumsum([int(s.sum()) for s in sizes]), []
     for block, h, s, end in zip(frame["block"], heads, sizes, ends):
         found = sums[np.searchsorted(names, h)]
-        out.append((block, bucket, 2, packed(counts[where[end - int(s.sum()) : end]]), packed(found.reshape(-1)), None))
+        out.append((block, bucket, 2, packed(counts[where[end - int(s.sum()) : end]]), packed_sums(found), None))
     out.append((MODEL, bucket, 2, None, None, count_stats(counts).tolist()))
     for name, values in zip(names[busy].view(np.int64).tolist(), sums[busy].tolist()):
         out.append((MODEL, name, 3, None, None, values))
@@ -282,7 +293,7 @@ def score_blocks(blocks: DataFrame, answers: DataFrame, model: dict) -> DataFram
             sums = np.zeros((len(block.uses), LAST + 2))
             for bucket, part, heads, _ in block.parts():
                 counts[part] = unpacked(found[bucket].counts, np.int64)
-                sums[heads] = unpacked(found[bucket].sums, np.float64).reshape(-1, LAST + 2)
+                sums[heads] = unpacked_sums(found[bucket].sums)
             hashes = block.hashes.view(np.int64)
             for head in np.unique(block.head[block.hot]).tolist():
                 sums[head] = model["hot"][int(hashes[head])]
@@ -343,18 +354,20 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     model = {"buckets": buckets, "texts": ends, "total": total, "words": int(stats[-2]), "word_factors": factors, "unknown": 1 - used / (total + 1)}
     answer = lambda frame: answer_pairs(frame, model)
     pairs = materialize(pair_requests(blocks, words, model).groupBy("bucket").applyInPandas(answer, ANSWER), "pairs")
-    release_shuffles(blocks)
     hot = pairs.where(f"kind = 3 AND block = {MODEL}").groupBy("bucket").agg(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(LAST + 2)])
     # At most HOT histories hold more than one training token in HOT.
     model |= {"pair_factors": discounts(added(pairs, 2)[: LAST + 1]), "hot": {r[0]: np.array(r[1:]) for r in hot.collect()}}
+    release_shuffles(blocks)
     scores = score_blocks(blocks, words.unionByName(pairs), model)
     return scores.withColumn("train_tokens", F.lit(total).cast("bigint"))
 
 
 def release_shuffles(df: DataFrame) -> None:
     """Lets Spark remove the shuffle files of finished jobs, which it does when the driver collects its garbage."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees holds further plans
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def trained_texts(blocks: DataFrame) -> int:
