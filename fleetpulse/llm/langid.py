@@ -158,11 +158,11 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
     first label in order. Columns named ``out`` or ``score`` are replaced.
     """
     labels = sorted(prototypes)
-    matrix = np.array([prototypes[k] for k in labels], dtype=float).reshape(len(labels), -1)
+    matrix = np.array([prototypes[k] for k in labels], dtype=float) if labels else np.zeros((0, 1))
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     matrix = matrix / np.where(norms > 0, norms, 1.0)
     names = [c for c in docs.columns if c not in (out, score)]
-    dimensions = matrix.shape[1] if labels else 1
+    dimensions = matrix.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = Vectors(dimensions, n)
