@@ -194,7 +194,7 @@ class Block:
     def __init__(self, row, answers: pd.DataFrame, model: dict):
         self.row = row
         self.lens = unpacked(row.lens, np.uint32).astype(np.int64)
-        vocab, body = unpacked(row.vocab, np.uint64), unpacked(row.body, np.uint32).astype(np.int64)
+        vocab, body = unpacked(row.vocab, np.uint64), unpacked(row.body, np.uint32).astype(np.int32)
         own = answers[answers["kind"] == 1].sort_values("bucket")
         self.counts = np.concatenate([unpacked(c, np.int64) for c in own["counts"]])
         self.flags = np.repeat(unpacked(row.train, np.uint8), self.lens)
@@ -203,11 +203,12 @@ class Block:
         self.hashes = np.append(vocab, np.array([START, UNKNOWN], dtype=np.uint64))
         self.uses = np.append(self.counts, [model["texts"], 0])
         self.body = body
-        heads = np.append(size, body[:-1])
+        heads = np.append(np.int32(size), body[:-1])
         heads[np.cumsum(self.lens)[:-1]] = size
         self.known = self.uses[heads] > 0
-        self.heads, self.words = heads, np.where(self.counts[body] > 0, body, size + 1)
-        pairs, self.where = np.unique(heads[self.known] * (size + 2) + self.words[self.known], return_inverse=True)
+        self.heads, self.words = heads, np.where(self.counts[body] > 0, body, np.int32(size + 1))
+        pairs, self.where = np.unique(heads[self.known].astype(np.int64) * (size + 2) + self.words[self.known], return_inverse=True)
+        self.where = self.where.astype(np.int32)
         trained = np.bincount(self.where, weights=self.flags[self.known], minlength=len(pairs)).astype(np.uint32)
         head, word = pairs // (size + 2), pairs % (size + 2)
         hot = self.uses[head] * HOT > model["total"]
