@@ -129,19 +129,31 @@ def slices(buckets: np.ndarray) -> Iterator[tuple[int, slice]]:
             yield int(buckets[start]), slice(int(start), int(end))
 
 
+def slope(of: np.ndarray) -> float:
+    """Slope of the log-linear fit of simple Good-Turing; an empty count is shared out by its neighbours. NaN below two counts."""
+    r = np.flatnonzero(of > 0) + 1
+    if len(r) < 2:
+        return np.nan
+    before = np.append(0, r[:-1])
+    after = np.append(r[1:], 2 * r[-1] - before[-1])
+    x, y = np.log(r), np.log(2 * of[r - 1] / (after - before))
+    x = x - x.mean()
+    return float(x @ y / (x @ x))
+
+
 def discounts(of: np.ndarray) -> np.ndarray:
     """Good-Turing discount of counts 0 to LAST from the numbers of things seen 1 to LAST + 1 times.
 
-    Where these numbers are no use (a small or odd corpus), half an occurrence is taken off.
+    The numbers are smoothed by a power of the count, of which only the slope matters: with a slope below -1 every factor
+    lies in (0, 1). Where there is none (things of a single count or none at all, or numbers that fall no faster than
+    1 / count), half an occurrence is taken off.
     """
     r = np.arange(1, LAST + 1)
-    of = np.asarray(of, dtype=float)
-    out = (r - 0.5) / r
-    if np.all(of > 0):
-        common = (LAST + 1) * of[LAST] / of[0]
-        turing = ((r + 1) * of[1:] / (r * of[:-1]) - common) / (1 - common) if common < 1 else out
-        out = turing if np.all((turing > 0) & (turing < 1)) else out
-    return np.append(1.0, out)
+    power = slope(np.asarray(of, dtype=float)) + 1
+    if not power < 0:
+        return np.append(1.0, (r - 0.5) / r)
+    common = (LAST + 1.0) ** power
+    return np.append(1.0, (((r + 1) / r) ** power - common) / (1 - common))
 
 
 def discounted(counts: np.ndarray, factors: np.ndarray) -> np.ndarray:

@@ -106,3 +106,36 @@ def test_blocks_and_hot_histories_score_the_same(spark, sf, monkeypatch):
     got = {r["doc_id"]: r["score"] for r in katz.language_report(df.repartition(5)).collect()}
     assert got == pytest.approx(want)
     assert module is katz
+
+
+def turing(counts):
+    """Good-Turing factors on a fitted power of the count, written apart from the module."""
+    n = Counter(counts)
+    seen = [r for r in range(1, 7) if n[r]]
+    gaps = [((seen[i + 1] if i + 1 < len(seen) else 2 * r - seen[i - 1]) - (seen[i - 1] if i else 0)) / 2 for i, r in enumerate(seen)]
+    power, level = np.polyfit(np.log(seen), np.log([n[r] / g for r, g in zip(seen, gaps)]), 1)
+    smooth = [math.exp(level + power * math.log(r)) for r in range(1, 7)]
+    common = 6 * smooth[5] / smooth[0]
+    return [1.0] + [((r + 1) * smooth[r] / (r * smooth[r - 1]) - common) / (1 - common) for r in range(1, 6)]
+
+
+def test_turing_factors_are_in_use_on_given_documents(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = df.select("doc_id", "text").collect()
+    brute = Brute([r["text"] for r in rows if fold(r["doc_id"], 7) != 2])
+    fixed = [(r - 0.5) / r for r in range(1, 6)]
+    brute.d1, brute.d2 = turing(brute.uni.values()), turing(brute.bi.values())
+    for d in (brute.d1, brute.d2):
+        assert all(0 < x < 1 for x in d[1:]) and max(abs(x - y) for x, y in zip(d[1:], fixed)) > 0.01
+    got = {r["doc_id"]: r["score"] for r in katz.language_report(df).collect()}
+    for r in sorted(rows, key=lambda r: len(r["text"] or ""))[:20]:
+        assert got[r["doc_id"]] == pytest.approx(brute.score(r["text"]), abs=1e-6)
+
+
+def test_half_an_occurrence_only_where_no_power_falls():
+    fixed = np.array([1.0] + [(r - 0.5) / r for r in range(1, 6)])
+    for of in ([0] * 6, [7, 0, 0, 0, 0, 0], [0, 0, 3, 0, 0, 0], [5, 5, 5, 5, 5, 5]):
+        assert katz.discounts(np.array(of)) == pytest.approx(fixed)
+    for of in ([90, 20, 8, 9, 3, 1], [90, 0, 8, 0, 0, 1], [90, 20, 0, 0, 0, 0]):
+        d = katz.discounts(np.array(of))
+        assert np.all((d[1:] > 0) & (d[1:] < 1)) and abs(d - fixed).max() > 1e-3
