@@ -9,13 +9,14 @@ never all pairs. The forests are joined by connected components.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.llm.common import attach, with_runs
@@ -270,36 +271,72 @@ def simhash_components(
 
 
 # Near-duplicates on word shingles. At similarity 0.8 fingerprints differ in some ten bits, where a triangle
-# bound no longer prunes anything; shards are therefore made of rare shared shingles, and fingerprints and
-# exact set similarity decide within them.
+# bound no longer prunes anything; candidates are therefore pairs that share a shingle of their prefixes, which no
+# pair of that similarity can lack, and exact set similarity decides.
 WIDTH = 5
 SIMILARITY = 0.8
-NEAR_RADIUS = 20
-SKETCH = 24
-PREFIX = 10
 GROUP_ROWS = 2048
+# Shingles are tallied by hash in so many cells, sent in SLICES parts; any tally gives a valid order.
+TALLY = 1 << 18
+SLICES = 16
+PARITY_BITS = 1024
+
+
+def shingle_set(text: pa.Scalar, width: int) -> np.ndarray:
+    """Sorted hashes of the different shingles of a text."""
+    return np.unique(hashes(shingles(text.as_buffer().to_pybytes(), width) if text.is_valid else []).astype(np.uint64))
+
+
+def parity(found: np.ndarray) -> list[int]:
+    """Whether each of PARITY_BITS cells holds an odd number of shingles.
+
+    Parities of two sets differ in at most as many cells as the sets differ in shingles.
+    """
+    odd = np.bincount((found >> np.uint64(40)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+FEATURES = "_id bigint, _row bigint, _sid bigint, _fp bigint, _size int, _parity array<bigint>, _slice int, _tally binary"
 
 
 def shingle_features(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(_id, _row, _sid, _fp, _size, _sketch): hash of the row, of its shingle set, and the smallest shingles."""
+    """(_id, _row, _sid, _fp, _size, _parity) of every row; and the shingle tallies of each task, as SLICES rows with a _slice."""
+    names = [c.split()[0] for c in FEATURES.split(", ")]
+    types = [*[pa.int64()] * 4, pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+    table = lambda columns, n: pa.RecordBatch.from_arrays(
+        [pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(names, types)], names
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally, any_rows = np.zeros(TALLY, dtype=np.int64), False
         for batch in batches:
-            sids, fps, sizes, sketches = [], [], [], []
+            out = {c: [] for c in names[2:6]}
             for text in batch.column(2):
-                found = np.unique(hashes(shingles(text.as_buffer().to_pybytes(), width) if text.is_valid else []).astype(np.uint64))
-                sids.append(signed(xxhash.xxh64_intdigest(found.tobytes(), 7)))
-                fps.append(signed(majority(found)))
-                sizes.append(len(found))
-                sketches.append(found[:SKETCH].view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sids, pa.int64()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64()))],
-                ["_id", "_row", "_sid", "_fp", "_size", "_sketch"],
-            )
+                found = shingle_set(text, width)
+                out["_sid"].append(signed(xxhash.xxh64_intdigest(found.tobytes(), 7)))
+                out["_fp"].append(signed(majority(found)))
+                out["_size"].append(len(found))
+                out["_parity"].append(parity(found))
+                np.add.at(tally, (found % np.uint64(TALLY)).astype(np.int64), 1)
+            any_rows |= len(batch) > 0
+            yield table({"_id": batch.column(0).to_pylist(), "_row": batch.column(1).to_pylist(), **out}, len(batch))
+        if any_rows:
+            parts = [zlib.compress(x.tobytes(), 1) for x in np.split(tally, SLICES)]
+            yield table({"_slice": list(range(SLICES)), "_tally": parts}, SLICES)
 
-    return row_keys(docs, id_col, F.col(text_col).cast("binary").alias("_text")).mapInArrow(
-        run, "_id bigint, _row bigint, _sid bigint, _fp bigint, _size int, _sketch array<bigint>"
-    )
+    return row_keys(docs, id_col, F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, FEATURES)
+
+
+def shingle_tally(features: DataFrame) -> np.ndarray:
+    """How many rows hold the shingles of each cell, over all rows: TALLY numbers."""
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(zlib.decompress(x), dtype=np.int64) for x in frame["_tally"])
+        return pd.DataFrame({"_slice": [int(frame["_slice"].iloc[0])], "_tally": [total.tobytes()]})
+
+    parts = features.where("_slice IS NOT NULL").select("_slice", "_tally").groupBy("_slice").applyInPandas(add, "_slice int, _tally binary")
+    found = sorted(parts.collect())  # SLICES rows
+    return np.concatenate([np.frombuffer(r["_tally"], dtype=np.int64) for r in found]) if found else np.zeros(TALLY, dtype=np.int64)
 
 
 def row_keys(docs: DataFrame, id_col: str, *more) -> DataFrame:
@@ -308,57 +345,105 @@ def row_keys(docs: DataFrame, id_col: str, *more) -> DataFrame:
     return docs.select(key, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *more)
 
 
-def rare_anchors(sets: DataFrame) -> DataFrame:
-    """(_anchor, _sid, _fp): the rarest shingles of each sketch that another set shares.
+def prefix(found: np.ndarray, tally: np.ndarray, similarity: float) -> np.ndarray:
+    """The n - ceil(similarity n) + 1 rarest shingles of a set, rarest first.
 
-    Shingles are ordered by the number of sketches that hold them; sets of similarity 0.8 differ in a tenth to a fifth
-    of their sketch, so that the first PREFIX of SKETCH shingles hold a common one.
+    Two sets of at least this similarity share one, since all sets are ordered by the same tally and hash.
     """
-    exploded = sets.select(F.explode("_sketch").alias("_anchor"), "_sid", "_fp")
-    counts = exploded.groupBy("_anchor").agg(F.count(F.lit(1)).alias("_df"))
-    ordered = exploded.join(counts, "_anchor").groupBy("_sid", "_fp").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct("_df", "_anchor"))), 1, PREFIX).alias("_prefix")
-    )
-    return ordered.select("_sid", "_fp", F.explode("_prefix").alias("_p")).where("_p._df > 1").select(F.col("_p._anchor").alias("_anchor"), "_sid", "_fp")
+    n = len(found)
+    order = np.lexsort((found, tally[(found % np.uint64(TALLY)).astype(np.int64)]))
+    return found[order[: n - int(np.ceil(similarity * n - 1e-9)) + 1]] if n else found
 
 
-def candidate_groups(sets: DataFrame, radius: int) -> DataFrame:
-    """(_sid, _fp, _root): sets that fingerprints connect within shards of a common anchor."""
+def prefix_anchors(docs: DataFrame, text_col: str, width: int, similarity: float, tally: np.ndarray) -> DataFrame:
+    """(_anchor, _sid, _fp, _size, _at): prefix shingles that different sets share, and their place in the order."""
+    shared_tally = docs.sparkSession.sparkContext.broadcast(tally)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, anchors = {}, []
+            for text in batch.column(0):
+                found = shingle_set(text, width)
+                key = signed(xxhash.xxh64_intdigest(found.tobytes(), 7)), signed(majority(found)), len(found)
+                if key not in keys:
+                    anchors.append(prefix(found, shared_tally.value, similarity).view(np.int64))
+                    keys[key] = len(anchors[-1])
+            lens = np.fromiter(keys.values(), dtype=np.int64, count=len(keys))
+            sids, fps, sizes = (np.repeat(np.array([k[i] for k in keys], dtype=np.int64), lens) for i in range(3))
+            places = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([*anchors, np.zeros(0, dtype=np.int64)])), pa.array(sids), pa.array(fps), pa.array(sizes.astype(np.int32)), pa.array(places.astype(np.int32))],
+                ["_anchor", "_sid", "_fp", "_size", "_at"],
+            )
+
+    plain = docs.select(F.col(text_col).cast("binary").alias("_text"))
+    every = materialize(plain.mapInArrow(run, "_anchor bigint, _sid bigint, _fp bigint, _size int, _at int"), "prefixes")
+    shared = every.groupBy("_anchor").agg(F.min("_sid").alias("lo"), F.max("_sid").alias("hi")).where("lo != hi").select("_anchor")
+    shared = broadcast_if_small(materialize(shared, "shared"))
+    return every.join(shared, "_anchor").distinct()
+
+
+def reachable(similarity: float) -> Column:
+    """Whether a pair can be similar whose first common shingle is at the given places (or a later one is)."""
+    left = F.least(F.col("a._size") - F.col("a._at"), F.col("b._size") - F.col("b._at"))
+    return left * (1 + similarity) >= similarity * (F.col("a._size") + F.col("b._size")) - 1e-6
 
-    def search(frame: pd.DataFrame) -> pd.DataFrame:
-        ids, fps = frame["_sid"].to_numpy(np.int64), frame["_fp"].to_numpy(np.int64)
-        return forest_edges(ids, fps, vp_links(fps.view(np.uint64), radius))
 
-    found = components(as_edges(rare_anchors(sets).groupBy("_anchor").applyInPandas(search, EDGE)))
-    roots = found.select(F.col("root").alias("node"), "root").distinct()
-    both = found.unionByName(roots)
-    return both.select(F.col("node.id").alias("_sid"), F.col("node.fp").alias("_fp"), F.col("root").alias("_root"))
-
-
-def similar_sets(frame: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    """Forest of the pairs of sets whose Jaccard similarity reaches the threshold."""
-    frame = frame.drop_duplicates(["_sid", "_fp"])
-    ids, fps = frame["_sid"].to_numpy(np.int64), frame["_fp"].to_numpy(np.int64)
-    sets = [np.frombuffer(x, dtype=np.uint64) for x in frame["_set"]]
-    size = np.array([len(x) for x in sets], dtype=np.int64)
-    if len(sets) < 2 or not size.sum():
-        return forest_edges(ids, fps, [])
-    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    ends = np.cumsum(size)
-    mark = np.zeros(int(flat.max()) + 1, dtype=np.int64)
-
-    def near(some: np.ndarray, rest: np.ndarray) -> np.ndarray:
-        hit = np.zeros(len(rest), dtype=bool)
-        for s in some:
-            own = flat[ends[s] - size[s] : ends[s]]
-            mark[own] = 1
-            upto = np.concatenate([[0], np.cumsum(mark[flat])])
-            mark[own] = 0
-            both = (upto[ends] - upto[ends - size])[rest]
-            hit |= both >= similarity * (size[s] + size[rest] - both) - 1e-9
-        return hit & (size[rest] > 0)
-
-    return forest_edges(ids, fps, spanning(near, np.flatnonzero(size > 0)))
+def pair_columns() -> list[Column]:
+    return [F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "ab" for c in ("_sid", "_fp")]
+
+
+def prefix_pairs(anchors: DataFrame, similarity: float) -> DataFrame:
+    """(a_sid, a_fp, b_sid, b_fp): different pairs of sets that share an anchor and can be similar."""
+    key = lambda s: F.struct(f"{s}._sid", f"{s}._fp")
+    both = anchors.alias("a").join(anchors.alias("b"), F.col("a._anchor") == F.col("b._anchor"))
+    return both.where((key("a") < key("b")) & reachable(similarity)).select(*pair_columns()).distinct()
+
+
+def attach_side(pairs: DataFrame, table: DataFrame, side: str, *columns: str) -> DataFrame:
+    """Add columns of the table of sets to one side of each pair; hot sets are spread by their partners."""
+    other = "b" if side == "a" else "a"
+    named = table.select(*[F.col(c).alias(f"{side}{c}") for c in ("_sid", "_fp", *columns)])
+    dealt = pairs.withColumn("_run", F.pmod(F.xxhash64(f"{other}_sid"), F.lit(RUNS)).cast("int"))
+    return attach(dealt, named, [f"{side}_sid", f"{side}_fp"]).drop("_run")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """Edges (a, b) of the pairs whose Jaccard similarity reaches the threshold.
+
+    Parities first drop pairs that differ in too many shingles for certain; whole sets are made for the rest only.
+    """
+    signs = attach_side(attach_side(pairs, sets, "a", "_size", "_parity"), sets, "b", "_size", "_parity")
+    apart = F.expr("aggregate(zip_with(a_parity, b_parity, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    close = signs.where(apart * (1 + similarity) <= (1 - similarity) * (F.col("a_size") + F.col("b_size")) + 1e-6)
+    close = materialize(close.select("a_sid", "a_fp", "b_sid", "b_fp"), "close")
+    sides = [close.select(F.col(f"{s}_sid").alias("_sid"), F.col(f"{s}_fp").alias("_fp")) for s in "ab"]
+    picked = sides[0].unionByName(sides[1]).distinct().join(sets, ["_sid", "_fp"]).select("_sid", "_fp", "_best.*")
+    picked = broadcast_if_small(materialize(picked, "picked"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(text, width).tobytes() for text in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.binary())], ["_sid", "_fp", "_set"])
+
+    # A repeated row is one body: rows of a key are equal in all columns.
+    rows = row_keys(docs, id_col, F.col(text_col).cast("binary").alias("_text")).join(picked, ["_id", "_row"])
+    bodies = rows.select("_sid", "_fp", "_text").mapInArrow(whole, "_sid bigint, _fp bigint, _set binary")
+    bodies = materialize(bodies.dropDuplicates(["_sid", "_fp"]), "bodies")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(4), batch.column(5)):
+                a, b = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in (a, b))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
+            kept = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.columns[:4], ["a_id", "a_fp", "b_id", "b_fp"])
+
+    full = attach_side(attach_side(close, bodies, "a", "_set"), bodies, "b", "_set")
+    links = full.select("a_sid", "a_fp", "b_sid", "b_fp", "a_set", "b_set").mapInArrow(compare, EDGE)
+    return as_edges(materialize(links, "links"))
 
 
 def near_duplicates(
@@ -367,45 +452,23 @@ def near_duplicates(
     text_col: str = "text",
     width: int = WIDTH,
     similarity: float = SIMILARITY,
-    radius: int = NEAR_RADIUS,
     group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """(_id, _row, _rows, _keep): every distinct row, how often it occurs, and whether it stays.
 
     Rows link when the Jaccard similarity of their word shingles reaches the threshold; of each connected group the row
-    with the smallest id stays, and one row where it is repeated. Texts without words are one group. Candidates are sets that
-    share one of their rarest sketched shingles and whose fingerprints differ in at most ``radius`` bits; each candidate
-    group is verified exactly, in blocks of ``group_rows`` sets against each other.
+    with the smallest id stays, and one row where it is repeated. Texts without words are one group. Candidates are all
+    pairs of sets that share a shingle of their prefixes, so that no link is lost; each candidate is verified exactly.
     """
-    features = materialize(shingle_features(docs, id_col, text_col, width), "features")
+    written = materialize(shingle_features(docs, id_col, text_col, width), "features")
+    features = written.where("_slice IS NULL")
     best = F.min(F.struct("_id", "_row")).alias("_best")
-    sets = features.groupBy("_sid", "_fp", "_size").agg(best, F.first("_sketch").alias("_sketch"))
+    sets = features.groupBy("_sid", "_fp", "_size").agg(best, F.first("_parity").alias("_parity"))
     sets = materialize(sets, "sets")
-    groups = materialize(candidate_groups(sets, radius), "groups")
-    # Whole shingle sets are made for one row of each candidate set only.
-    picked = groups.join(sets, ["_sid", "_fp"]).select("_sid", "_fp", "_root", F.col("_best._id").alias("_id"), F.col("_best._row").alias("_row"))
-    picked = broadcast_if_small(materialize(picked, "picked"))
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for text in batch.column(3):
-                parts = shingles(text.as_buffer().to_pybytes(), width) if text.is_valid else []
-                found.append(np.unique(hashes(parts).astype(np.uint64)).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], ["_sid", "_fp", "_root", "_set"])
-
-    root = "_root struct<id:bigint,fp:bigint>"
-    rows = row_keys(docs, id_col, F.col(text_col).cast("binary").alias("_text")).join(picked, ["_id", "_row"])
-    bodies = rows.select("_sid", "_fp", "_root", "_text").mapInArrow(whole, f"_sid bigint, _fp bigint, {root}, _set binary")
-    blocks = groups.groupBy("_root").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("_blocks"))
-    dealt = (
-        bodies.join(blocks, "_root")
-        .withColumn("_mine", F.pmod(F.xxhash64("_sid", "_fp"), F.col("_blocks")))
-        .withColumn("_other", F.explode(F.expr("sequence(0, _blocks - 1)")))
-        .select("_root", F.least("_mine", "_other").alias("_low"), F.greatest("_mine", "_other").alias("_high"), "_sid", "_fp", "_set")
-    )
-    links = dealt.groupBy("_root", "_low", "_high").applyInPandas(lambda frame: similar_sets(frame, similarity), EDGE)
-    found = components(as_edges(links)).select(
+    anchors = materialize(prefix_anchors(docs, text_col, width, similarity, shingle_tally(written)), "anchors")
+    check = lambda pairs: verified(materialize(pairs, "pairs"), sets, docs, id_col, text_col, width, similarity)
+    links = check(prefix_pairs(anchors, similarity))
+    found = components(links).select(
         F.col("node.id").alias("_sid"), F.col("node.fp").alias("_fp"), F.col("root").alias("_group")
     )
     own = F.struct(F.col("_sid").alias("id"), F.col("_fp").alias("fp"))

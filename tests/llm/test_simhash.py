@@ -140,3 +140,38 @@ def test_near_duplicates_of_repeated_rows_nulls_and_no_rows(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, _keep string")
     kept = simhash.drop_near_duplicates(df)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [4, 5]
+
+
+def at_the_threshold(seed=5):
+    """Pairs of similarity 0.8: short ones with distant fingerprints, long ones whose smallest shingle hashes differ."""
+    rng = np.random.default_rng(seed)
+    sets = lambda text: np.unique(simhash.hashes(simhash.shingles(text.encode(), 5)).astype(np.uint64))
+    out = []
+    while len(out) < 2:
+        words = [f"s{x}" for x in rng.integers(10**9, size=9)]
+        pair = " ".join(words), " ".join(words[:8])
+        if (simhash.majority(sets(pair[0])) ^ simhash.majority(sets(pair[1]))).bit_count() > 20:
+            out.append(pair)
+    while len(out) < 4:
+        words = [f"l{x}" for x in rng.integers(10**9, size=1004)]
+        pair = " ".join(words), " ".join(words[:804])
+        if np.isin(sets(pair[0])[:24], sets(pair[1])).sum() <= 14:
+            out.append(pair)
+    return out
+
+
+def test_no_pair_at_the_threshold_is_lost(spark):
+    texts = [t for pair in at_the_threshold() for t in pair]
+    assert all(jaccard(shingle_set(a), shingle_set(b)) == 0.8 for a, b in zip(texts[::2], texts[1::2]))
+    kept = simhash.drop_near_duplicates(docs(spark, texts))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, len(texts), 2))
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 9, 40, 333):
+        tally = rng.integers(0, 4, simhash.TALLY)
+        whole = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        part = np.sort(rng.permutation(whole)[: int(np.ceil(0.8 * n))])
+        assert len(np.intersect1d(simhash.prefix(whole, tally, 0.8), simhash.prefix(part, tally, 0.8)))
+        assert (np.bitwise_count(np.array(simhash.parity(whole)) ^ np.array(simhash.parity(part))).sum()) <= n - len(part)
