@@ -393,11 +393,56 @@ def pair_columns() -> list[Column]:
     return [F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "ab" for c in ("_sid", "_fp")]
 
 
-def prefix_pairs(anchors: DataFrame, similarity: float) -> DataFrame:
-    """(a_sid, a_fp, b_sid, b_fp): different pairs of sets that share an anchor and can be similar."""
-    key = lambda s: F.struct(f"{s}._sid", f"{s}._fp")
-    both = anchors.alias("a").join(anchors.alias("b"), F.col("a._anchor") == F.col("b._anchor"))
-    return both.where((key("a") < key("b")) & reachable(similarity)).select(*pair_columns()).distinct()
+def smaller_first(pairs: DataFrame) -> DataFrame:
+    """(a_sid, a_fp, b_sid, b_fp): the different pairs of a join of sets a and b, each once."""
+    lo, hi = F.least("a", "b"), F.greatest("a", "b")
+    return pairs.select(lo.alias("a"), hi.alias("b")).select(*pair_columns()).distinct()
+
+
+def star_pairs(anchors: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of each set with the first set of each of its anchors: at most one a row of ``anchors``.
+
+    Sets come in the order of their hash under every anchor, so that near-copies meet the same few first sets.
+    """
+    first = anchors.groupBy("_anchor").agg(F.min(F.struct("_sid", "_fp", "_size", "_at")).alias("b"))
+    first = broadcast_if_small(materialize(first, "first"))
+    both = anchors.select("_anchor", F.struct("_sid", "_fp", "_size", "_at").alias("a")).join(first, "_anchor")
+    return smaller_first(key_pairs(both.where((F.col("a._sid") != F.col("b._sid")) | (F.col("a._fp") != F.col("b._fp"))).where(reachable(similarity))))
+
+
+def key_pairs(both: DataFrame) -> DataFrame:
+    key = lambda s: F.struct(F.col(f"{s}._sid").alias("_sid"), F.col(f"{s}._fp").alias("_fp")).alias(s)
+    return both.select(key("a"), key("b"))
+
+
+def open_rows(anchors: DataFrame, classes: DataFrame, group_rows: int) -> DataFrame:
+    """Rows of the anchors that hold sets of several classes: (_anchor, _set, _class, _minor, _cells).
+
+    ``classes`` has (_sid, _fp, _class) of the sets that are not alone. Rows outside an anchor's largest class are minor;
+    an anchor's rows make cells of about ``group_rows``.
+    """
+    key = F.struct(F.col("_sid").alias("id"), F.col("_fp").alias("fp"))
+    classes = broadcast_if_small(classes)
+    labelled = anchors.join(classes, ["_sid", "_fp"], "left").select(
+        "_anchor", F.struct("_sid", "_fp", "_size", "_at").alias("_set"), F.coalesce("_class", key).alias("_class")
+    )
+    labelled = materialize(labelled, "labelled")
+    sizes = labelled.groupBy("_anchor", "_class").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("_anchor").agg(
+        F.count(F.lit(1)).alias("_classes"), F.max(F.struct("n", "_class"))["_class"].alias("_major"), F.ceil(F.sum("n") / group_rows).cast("int").alias("_cells")
+    )
+    mixed = broadcast_if_small(materialize(mixed.where("_classes > 1").drop("_classes"), "mixed"))
+    rows = labelled.join(mixed, "_anchor").withColumn("_minor", F.col("_class") != F.col("_major")).drop("_major")
+    return materialize(rows, "open")
+
+
+def open_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """All pairs across the classes of each anchor: minor rows are sent to every cell, the others never leave theirs."""
+    a = rows.where("_minor").select("_anchor", F.col("_set").alias("a"), F.col("_class").alias("_own"), F.explode(F.expr("sequence(0, _cells - 1)")).alias("_cell"))
+    cell = F.pmod(F.xxhash64("_set"), F.col("_cells")).cast("int").alias("_cell")
+    b = rows.select("_anchor", F.col("_set").alias("b"), F.col("_class").alias("_other"), F.col("_minor").alias("_both"), cell)
+    both = a.join(b, ["_anchor", "_cell"]).where("_own != _other AND (NOT _both OR a < b)").where(reachable(similarity))
+    return smaller_first(key_pairs(both))
 
 
 def attach_side(pairs: DataFrame, table: DataFrame, side: str, *columns: str) -> DataFrame:
@@ -457,8 +502,9 @@ def near_duplicates(
     """(_id, _row, _rows, _keep): every distinct row, how often it occurs, and whether it stays.
 
     Rows link when the Jaccard similarity of their word shingles reaches the threshold; of each connected group the row
-    with the smallest id stays, and one row where it is repeated. Texts without words are one group. Candidates are all
-    pairs of sets that share a shingle of their prefixes, so that no link is lost; each candidate is verified exactly.
+    with the smallest id stays, and one row where it is repeated. Texts without words are one group. Candidates are the
+    pairs of sets that share a shingle of their prefixes, so that no link is lost; each is verified exactly. The first set of
+    every anchor is compared first, then only pairs of sets that this has not brought into one class.
     """
     written = materialize(shingle_features(docs, id_col, text_col, width), "features")
     features = written.where("_slice IS NULL")
@@ -467,10 +513,12 @@ def near_duplicates(
     sets = materialize(sets, "sets")
     anchors = materialize(prefix_anchors(docs, text_col, width, similarity, shingle_tally(written)), "anchors")
     check = lambda pairs: verified(materialize(pairs, "pairs"), sets, docs, id_col, text_col, width, similarity)
-    links = check(prefix_pairs(anchors, similarity))
-    found = components(links).select(
-        F.col("node.id").alias("_sid"), F.col("node.fp").alias("_fp"), F.col("root").alias("_group")
+    classes = lambda links, name: components(links).select(
+        F.col("node.id").alias("_sid"), F.col("node.fp").alias("_fp"), F.col("root").alias(name)
     )
+    stars = check(star_pairs(anchors, similarity))
+    rest = check(open_pairs(open_rows(anchors, classes(stars, "_class"), group_rows), similarity))
+    found = classes(stars.unionByName(rest), "_group")
     own = F.struct(F.col("_sid").alias("id"), F.col("_fp").alias("fp"))
     grouped = sets.join(found, ["_sid", "_fp"], "left").withColumn("_group", F.coalesce("_group", own)).select("_group", "_best")
     keepers = grouped.groupBy("_group").agg(F.min("_best").alias("_best")).select("_best._id", "_best._row", F.lit(True).alias("_keep"))

@@ -175,3 +175,23 @@ def test_prefixes_of_similar_sets_meet():
         part = np.sort(rng.permutation(whole)[: int(np.ceil(0.8 * n))])
         assert len(np.intersect1d(simhash.prefix(whole, tally, 0.8), simhash.prefix(part, tally, 0.8)))
         assert (np.bitwise_count(np.array(simhash.parity(whole)) ^ np.array(simhash.parity(part))).sum()) <= n - len(part)
+
+
+def test_hot_group_of_near_copies_makes_few_pairs(spark):
+    rng = np.random.default_rng(4)
+    words = [f"t{i}" for i in range(120)]
+    texts = [" ".join(edited(rng, words, 1)) for _ in range(200)] + [" ".join(words[:70]) + f" other{i}" for i in range(5)]
+    df = docs(spark, texts)
+    tally = simhash.shingle_tally(simhash.shingle_features(df, "doc_id", "text", 5))
+    anchors = simhash.materialize(simhash.prefix_anchors(df, "text", 5, 0.8, tally), "anchors")
+    first = simhash.star_pairs(anchors, 0.8).count()
+    assert 0 < first < 10 * len(texts)
+    every = {(r["_sid"], r["_fp"]) for r in anchors.select("_sid", "_fp").collect()}
+    least = min(every)
+    same = spark.createDataFrame([(s, f, least) for s, f in every if (s, f) != least], "_sid bigint, _fp bigint, _class struct<id:bigint,fp:bigint>")
+    assert simhash.open_rows(anchors, same, 16).count() == 0
+    alone = simhash.open_rows(anchors, same.limit(0), 16)
+    cells = alone.groupBy("_anchor", simhash.F.pmod(simhash.F.xxhash64("_set"), simhash.F.col("_cells"))).count()
+    assert cells.agg({"count": "max"}).first()[0] < 48 < alone.groupBy("_anchor").count().agg({"count": "max"}).first()[0]
+    kept = simhash.drop_near_duplicates(df, group_rows=16)
+    assert sorted(r["doc_id"] for r in kept.collect()) == kept_by_brute_force(texts)
