@@ -9,19 +9,18 @@ never all pairs. The forests are joined by connected components.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.llm.common import attach, with_runs
 from fleetpulse.llm.graph import components
-from fleetpulse.plans.tables import broadcast_if_small, materialize
+from fleetpulse.plans.tables import materialize
 
 RADIUS = 2
 # A shard with more fingerprints is split further; trees are fitted on at most SAMPLE fingerprints a round.
@@ -68,7 +67,7 @@ def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, id_type: str = "bigint") -> DataFrame:
     """(_id, _fp) of every row; null and empty texts have fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,8 +78,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 found.append(signed(majority(hashes(parts))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["_id", "_fp"])
 
-    plain = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-    return plain.mapInArrow(run, "_id bigint, _fp bigint")
+    plain = docs.select(F.col(id_col).cast(id_type).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
+    return plain.mapInArrow(run, f"_id {id_type}, _fp bigint")
 
 
 def best_split(distances: np.ndarray, radius: int) -> tuple[int, float]:
@@ -270,270 +269,33 @@ def simhash_components(
     )
 
 
-# Near-duplicates on word shingles. At similarity 0.8 fingerprints differ in some ten bits, where a triangle
-# bound no longer prunes anything; candidates are therefore pairs that share a shingle of their prefixes, which no
-# pair of that similarity can lack, and exact set similarity decides.
-WIDTH = 5
-SIMILARITY = 0.8
-GROUP_ROWS = 2048
-# Shingles are tallied by hash in so many cells, sent in SLICES parts; any tally gives a valid order.
-TALLY = 1 << 18
-SLICES = 16
-PARITY_BITS = 1024
-
-
-def shingle_set(text: pa.Scalar, width: int) -> np.ndarray:
-    """Sorted hashes of the different shingles of a text."""
-    return np.unique(hashes(shingles(text.as_buffer().to_pybytes(), width) if text.is_valid else []).astype(np.uint64))
-
-
-def parity(found: np.ndarray) -> list[int]:
-    """Whether each of PARITY_BITS cells holds an odd number of shingles.
-
-    Parities of two sets differ in at most as many cells as the sets differ in shingles.
-    """
-    odd = np.bincount((found >> np.uint64(40)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
-
-
-FEATURES = "_id bigint, _row bigint, _sid bigint, _fp bigint, _size int, _parity array<bigint>, _slice int, _tally binary"
-
-
-def shingle_features(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(_id, _row, _sid, _fp, _size, _parity) of every row; and the shingle tallies of each task, as SLICES rows with a _slice."""
-    names = [c.split()[0] for c in FEATURES.split(", ")]
-    types = [*[pa.int64()] * 4, pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
-    table = lambda columns, n: pa.RecordBatch.from_arrays(
-        [pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(names, types)], names
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, any_rows = np.zeros(TALLY, dtype=np.int64), False
-        for batch in batches:
-            out = {c: [] for c in names[2:6]}
-            for text in batch.column(2):
-                found = shingle_set(text, width)
-                out["_sid"].append(signed(xxhash.xxh64_intdigest(found.tobytes(), 7)))
-                out["_fp"].append(signed(majority(found)))
-                out["_size"].append(len(found))
-                out["_parity"].append(parity(found))
-                np.add.at(tally, (found % np.uint64(TALLY)).astype(np.int64), 1)
-            any_rows |= len(batch) > 0
-            yield table({"_id": batch.column(0).to_pylist(), "_row": batch.column(1).to_pylist(), **out}, len(batch))
-        if any_rows:
-            parts = [zlib.compress(x.tobytes(), 1) for x in np.split(tally, SLICES)]
-            yield table({"_slice": list(range(SLICES)), "_tally": parts}, SLICES)
-
-    return row_keys(docs, id_col, F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, FEATURES)
-
-
-def shingle_tally(features: DataFrame) -> np.ndarray:
-    """How many rows hold the shingles of each cell, over all rows: TALLY numbers."""
-
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(x), dtype=np.int64) for x in frame["_tally"])
-        return pd.DataFrame({"_slice": [int(frame["_slice"].iloc[0])], "_tally": [total.tobytes()]})
-
-    parts = features.where("_slice IS NOT NULL").select("_slice", "_tally").groupBy("_slice").applyInPandas(add, "_slice int, _tally binary")
-    found = sorted(parts.collect())  # SLICES rows
-    return np.concatenate([np.frombuffer(r["_tally"], dtype=np.int64) for r in found]) if found else np.zeros(TALLY, dtype=np.int64)
-
-
 def row_keys(docs: DataFrame, id_col: str, *more) -> DataFrame:
     """Id (null is the largest number) and hash of all columns of each row."""
     key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("_id")
     return docs.select(key, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *more)
 
 
-def prefix(found: np.ndarray, tally: np.ndarray, similarity: float) -> np.ndarray:
-    """The n - ceil(similarity n) + 1 rarest shingles of a set, rarest first.
-
-    Two sets of at least this similarity share one, since all sets are ordered by the same tally and hash.
-    """
-    n = len(found)
-    order = np.lexsort((found, tally[(found % np.uint64(TALLY)).astype(np.int64)]))
-    return found[order[: n - int(np.ceil(similarity * n - 1e-9)) + 1]] if n else found
-
-
-def prefix_anchors(docs: DataFrame, text_col: str, width: int, similarity: float, tally: np.ndarray) -> DataFrame:
-    """(_anchor, _sid, _fp, _size, _at): prefix shingles that different sets share, and their place in the order."""
-    shared_tally = docs.sparkSession.sparkContext.broadcast(tally)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, anchors = {}, []
-            for text in batch.column(0):
-                found = shingle_set(text, width)
-                key = signed(xxhash.xxh64_intdigest(found.tobytes(), 7)), signed(majority(found)), len(found)
-                if key not in keys:
-                    anchors.append(prefix(found, shared_tally.value, similarity).view(np.int64))
-                    keys[key] = len(anchors[-1])
-            lens = np.fromiter(keys.values(), dtype=np.int64, count=len(keys))
-            sids, fps, sizes = (np.repeat(np.array([k[i] for k in keys], dtype=np.int64), lens) for i in range(3))
-            places = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([*anchors, np.zeros(0, dtype=np.int64)])), pa.array(sids), pa.array(fps), pa.array(sizes.astype(np.int32)), pa.array(places.astype(np.int32))],
-                ["_anchor", "_sid", "_fp", "_size", "_at"],
-            )
-
-    plain = docs.select(F.col(text_col).cast("binary").alias("_text"))
-    every = materialize(plain.mapInArrow(run, "_anchor bigint, _sid bigint, _fp bigint, _size int, _at int"), "prefixes")
-    shared = every.groupBy("_anchor").agg(F.min("_sid").alias("lo"), F.max("_sid").alias("hi")).where("lo != hi").select("_anchor")
-    shared = broadcast_if_small(materialize(shared, "shared"))
-    return every.join(shared, "_anchor").distinct()
-
+def keepers(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int, cap: int) -> DataFrame:
+    """(_id, _row) of the row that stays of each component: the smallest id, then the smallest hash of all columns."""
+    keyed = row_keys(docs, id_col, F.col(text_col).alias("_text"))
+    prints = fingerprints(keyed.select(F.struct("_id", "_row").alias("_key"), "_text"), "_key", "_text", width, "struct<_id:bigint,_row:bigint>")
+    nodes = materialize(prints.groupBy("_fp").agg(F.min("_id").alias("_best")), "nodes")
+    found = components(hamming_links(nodes.select(F.col("_best._id").alias("_id"), "_fp"), radius, cap))
+    moved = found.select(F.col("node.fp").alias("_fp"), F.col("root.fp").alias("_root"))
+    rooted = nodes.join(moved, "_fp", "left").select(F.coalesce("_root", "_fp").alias("_root"), "_best")
+    return rooted.groupBy("_root").agg(F.min("_best").alias("_best")).select("_best._id", "_best._row")
 
-def reachable(similarity: float) -> Column:
-    """Whether a pair can be similar whose first common shingle is at the given places (or a later one is)."""
-    left = F.least(F.col("a._size") - F.col("a._at"), F.col("b._size") - F.col("b._at"))
-    return left * (1 + similarity) >= similarity * (F.col("a._size") + F.col("b._size")) - 1e-6
 
-
-def pair_columns() -> list[Column]:
-    return [F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "ab" for c in ("_sid", "_fp")]
-
-
-def smaller_first(pairs: DataFrame) -> DataFrame:
-    """(a_sid, a_fp, b_sid, b_fp): the different pairs of a join of sets a and b, each once."""
-    lo, hi = F.least("a", "b"), F.greatest("a", "b")
-    return pairs.select(lo.alias("a"), hi.alias("b")).select(*pair_columns()).distinct()
-
-
-def star_pairs(anchors: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of each set with the first set of each of its anchors: at most one a row of ``anchors``.
-
-    Sets come in the order of their hash under every anchor, so that near-copies meet the same few first sets.
-    """
-    first = anchors.groupBy("_anchor").agg(F.min(F.struct("_sid", "_fp", "_size", "_at")).alias("b"))
-    first = broadcast_if_small(materialize(first, "first"))
-    both = anchors.select("_anchor", F.struct("_sid", "_fp", "_size", "_at").alias("a")).join(first, "_anchor")
-    return smaller_first(key_pairs(both.where((F.col("a._sid") != F.col("b._sid")) | (F.col("a._fp") != F.col("b._fp"))).where(reachable(similarity))))
-
-
-def key_pairs(both: DataFrame) -> DataFrame:
-    key = lambda s: F.struct(F.col(f"{s}._sid").alias("_sid"), F.col(f"{s}._fp").alias("_fp")).alias(s)
-    return both.select(key("a"), key("b"))
-
-
-def open_rows(anchors: DataFrame, classes: DataFrame, group_rows: int) -> DataFrame:
-    """Rows of the anchors that hold sets of several classes: (_anchor, _set, _class, _minor, _cells).
-
-    ``classes`` has (_sid, _fp, _class) of the sets that are not alone. Rows outside an anchor's largest class are minor;
-    an anchor's rows make cells of about ``group_rows``.
-    """
-    key = F.struct(F.col("_sid").alias("id"), F.col("_fp").alias("fp"))
-    classes = broadcast_if_small(classes)
-    labelled = anchors.join(classes, ["_sid", "_fp"], "left").select(
-        "_anchor", F.struct("_sid", "_fp", "_size", "_at").alias("_set"), F.coalesce("_class", key).alias("_class")
-    )
-    labelled = materialize(labelled, "labelled")
-    sizes = labelled.groupBy("_anchor", "_class").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("_anchor").agg(
-        F.count(F.lit(1)).alias("_classes"), F.max(F.struct("n", "_class"))["_class"].alias("_major"), F.ceil(F.sum("n") / group_rows).cast("int").alias("_cells")
-    )
-    mixed = broadcast_if_small(materialize(mixed.where("_classes > 1").drop("_classes"), "mixed"))
-    rows = labelled.join(mixed, "_anchor").withColumn("_minor", F.col("_class") != F.col("_major")).drop("_major")
-    return materialize(rows, "open")
-
-
-def open_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """All pairs across the classes of each anchor: minor rows are sent to every cell, the others never leave theirs."""
-    a = rows.where("_minor").select("_anchor", F.col("_set").alias("a"), F.col("_class").alias("_own"), F.explode(F.expr("sequence(0, _cells - 1)")).alias("_cell"))
-    cell = F.pmod(F.xxhash64("_set"), F.col("_cells")).cast("int").alias("_cell")
-    b = rows.select("_anchor", F.col("_set").alias("b"), F.col("_class").alias("_other"), F.col("_minor").alias("_both"), cell)
-    both = a.join(b, ["_anchor", "_cell"]).where("_own != _other AND (NOT _both OR a < b)").where(reachable(similarity))
-    return smaller_first(key_pairs(both))
-
-
-def attach_side(pairs: DataFrame, table: DataFrame, side: str, *columns: str) -> DataFrame:
-    """Add columns of the table of sets to one side of each pair; hot sets are spread by their partners."""
-    other = "b" if side == "a" else "a"
-    named = table.select(*[F.col(c).alias(f"{side}{c}") for c in ("_sid", "_fp", *columns)])
-    dealt = pairs.withColumn("_run", F.pmod(F.xxhash64(f"{other}_sid"), F.lit(RUNS)).cast("int"))
-    return attach(dealt, named, [f"{side}_sid", f"{side}_fp"]).drop("_run")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
-    """Edges (a, b) of the pairs whose Jaccard similarity reaches the threshold.
-
-    Parities first drop pairs that differ in too many shingles for certain; whole sets are made for the rest only.
-    """
-    signs = attach_side(attach_side(pairs, sets, "a", "_size", "_parity"), sets, "b", "_size", "_parity")
-    apart = F.expr("aggregate(zip_with(a_parity, b_parity, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
-    close = signs.where(apart * (1 + similarity) <= (1 - similarity) * (F.col("a_size") + F.col("b_size")) + 1e-6)
-    close = materialize(close.select("a_sid", "a_fp", "b_sid", "b_fp"), "close")
-    sides = [close.select(F.col(f"{s}_sid").alias("_sid"), F.col(f"{s}_fp").alias("_fp")) for s in "ab"]
-    picked = sides[0].unionByName(sides[1]).distinct().join(sets, ["_sid", "_fp"]).select("_sid", "_fp", "_best.*")
-    picked = broadcast_if_small(materialize(picked, "picked"))
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_set(text, width).tobytes() for text in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.binary())], ["_sid", "_fp", "_set"])
-
-    # A repeated row is one body: rows of a key are equal in all columns.
-    rows = row_keys(docs, id_col, F.col(text_col).cast("binary").alias("_text")).join(picked, ["_id", "_row"])
-    bodies = rows.select("_sid", "_fp", "_text").mapInArrow(whole, "_sid bigint, _fp bigint, _set binary")
-    bodies = materialize(bodies.dropDuplicates(["_sid", "_fp"]), "bodies")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(4), batch.column(5)):
-                a, b = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in (a, b))
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
-            kept = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays(kept.columns[:4], ["a_id", "a_fp", "b_id", "b_fp"])
-
-    full = attach_side(attach_side(close, bodies, "a", "_set"), bodies, "b", "_set")
-    links = full.select("a_sid", "a_fp", "b_sid", "b_fp", "a_set", "b_set").mapInArrow(compare, EDGE)
-    return as_edges(materialize(links, "links"))
-
-
-def near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    width: int = WIDTH,
-    similarity: float = SIMILARITY,
-    group_rows: int = GROUP_ROWS,
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = RADIUS, cap: int = SHARD_ROWS
 ) -> DataFrame:
-    """(_id, _row, _rows, _keep): every distinct row, how often it occurs, and whether it stays.
+    """One row of each component of near-duplicates, with the columns of ``docs``.
 
-    Rows link when the Jaccard similarity of their word shingles reaches the threshold; of each connected group the row
-    with the smallest id stays, and one row where it is repeated. Texts without words are one group. Candidates are the
-    pairs of sets that share a shingle of their prefixes, so that no link is lost; each is verified exactly. The first set of
-    every anchor is compared first, then only pairs of sets that this has not brought into one class.
+    Rows link as in ``simhash_components``; of each component the row with the smallest id stays, and one row where it is
+    repeated. Null ids lose to others. All texts without words are one component. Repeated rows are combined
+    before they travel, then rows meet the keepers by id and hash: the texts are shuffled once.
     """
-    written = materialize(shingle_features(docs, id_col, text_col, width), "features")
-    features = written.where("_slice IS NULL")
-    best = F.min(F.struct("_id", "_row")).alias("_best")
-    sets = features.groupBy("_sid", "_fp", "_size").agg(best, F.first("_parity").alias("_parity"))
-    sets = materialize(sets, "sets")
-    anchors = materialize(prefix_anchors(docs, text_col, width, similarity, shingle_tally(written)), "anchors")
-    check = lambda pairs: verified(materialize(pairs, "pairs"), sets, docs, id_col, text_col, width, similarity)
-    classes = lambda links, name: components(links).select(
-        F.col("node.id").alias("_sid"), F.col("node.fp").alias("_fp"), F.col("root").alias(name)
-    )
-    stars = check(star_pairs(anchors, similarity))
-    rest = check(open_pairs(open_rows(anchors, classes(stars, "_class"), group_rows), similarity))
-    found = classes(stars.unionByName(rest), "_group")
-    own = F.struct(F.col("_sid").alias("id"), F.col("_fp").alias("fp"))
-    grouped = sets.join(found, ["_sid", "_fp"], "left").withColumn("_group", F.coalesce("_group", own)).select("_group", "_best")
-    keepers = grouped.groupBy("_group").agg(F.min("_best").alias("_best")).select("_best._id", "_best._row", F.lit(True).alias("_keep"))
-    rows = features.groupBy("_id", "_row").agg(F.count(F.lit(1)).alias("_rows"))
-    return rows.join(keepers, ["_id", "_row"], "left").withColumn("_keep", F.coalesce("_keep", F.lit(False)))
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each group of near-duplicates, with the columns of ``docs``."""
-    rows = materialize(near_duplicates(docs, id_col, text_col, **options), "decided")
-    key = ["_id", "_row"]
     names = [f"`{c}`" for c in docs.columns]
-    keyed = row_keys(docs, id_col, F.struct(*names).alias("_doc"))
-    gone = broadcast_if_small(materialize(rows.where("NOT _keep OR _rows > 1").select(*key), "gone"))
-    again = broadcast_if_small(materialize(rows.where("_keep AND _rows > 1").select(*key), "again"))
-    once = keyed.join(gone, key, "left_anti").select("_doc.*")
-    repeated = keyed.join(again, key, "left_semi").dropDuplicates(key).select("_doc.*")
-    return once.unionByName(repeated)
+    rows = row_keys(docs, id_col, F.struct(*names).alias("_doc")).dropDuplicates(["_id", "_row"])
+    kept = materialize(keepers(docs, id_col, text_col, width, radius, cap), "keepers")
+    return rows.join(kept, ["_id", "_row"], "left_semi").select("_doc.*")
