@@ -19,7 +19,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group linked by five-word shingles with a similarity of 0.8 or more."""
+    """One row of each component of fingerprints (three-word shingles) that differ in two bits at most."""
     return simhash.drop_near_duplicates(docs)
 
 
