@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetpulse.llm import decontam, exact, fim, katz, langid, licenses, mixing, pii, secrets, sharding, simhash
+from fleetpulse.llm import collocations, decontam, exact, fim, katz, langid, licenses, mixing, pii, repeats, secrets, sharding, simhash
 from fleetpulse.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,13 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix
 )
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.fim_report(read_table(spark, sf_dir, "documents"))
+
+
+@query("op11_prefix_free_repeats")
+def op11_prefix_free_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats_report(read_table(spark, sf_dir, "documents"))
+
+
+@query("op13_toivonen_collocations")
+def op13_toivonen_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
