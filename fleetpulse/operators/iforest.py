@@ -1,4 +1,4 @@
-"""Isolation forest: trees are grown in parallel from hash samples, rows scored in Arrow batches.
+"""Isolation forest: trees are grown in parallel from hash samples, rows walk them in column expressions.
 
 The score is that of the published method: ``2 ** (-E[path length] / c(sample size))``.
 """
@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetpulse.operators.trees import FlatTrees, with_features
 from fleetpulse.plans.prefix import exact_percentiles
 from fleetpulse.plans.tables import materialize
 
@@ -130,9 +131,14 @@ class IsolationForest:
         return score
 
     def score(self, df: DataFrame, out: str = "iso_score") -> DataFrame:
-        """Add the isolation score, in (0, 1), higher is worse."""
-        inputs = F.struct(*[F.col(f).cast("double").alias(f) for f in self.features])
-        return df.withColumn(out, self.scorer()(inputs))
+        """Add the isolation score, in (0, 1), higher is worse; null and NaN features count as 0.
+
+        The node arrays hold at most trees x 2 x max_samples entries and are part of the plan.
+        """
+        rows = self.nodes.select("tree", "node", "feature", "threshold", "left", "right", "path").collect()
+        flat = FlatTrees.of(map(tuple, rows))
+        norm = max(expected_path(self.sample_size), 1e-12) * max(len(flat.roots), 1)
+        return df.withColumn(out, F.pow(F.lit(2.0), -with_features(self.features, flat.total) / F.lit(norm)))
 
     def register(self, name: str = "isolation_score") -> None:
         """Make the scorer callable from SQL on a struct of the features, in their order."""
