@@ -1,103 +1,86 @@
-"""Local outlier factor in novelty mode against a capped reference sample."""
+"""Local outlier factor in novelty mode over all training rows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetpulse.operators.neighbours import nearest
 from fleetpulse.operators.sampling import hash_sample
 from fleetpulse.plans.prefix import exact_percentiles
-from fleetpulse.plans.tables import materialize
-
-# The method fits on a sample of at most this many rows, which bounds everything shared with tasks.
-REFERENCE_CAP = 20_000
-
-
-def nearest(points: np.ndarray, reference: np.ndarray, k: int, own: np.ndarray | None = None):
-    """Distances and positions of the ``k`` nearest reference rows of each point; ``own`` is excluded."""
-    # At most 8 million differences are held at a time.
-    block = max(1, 8_000_000 // max(reference.size, 1))
-    dists, places = np.empty((len(points), k)), np.empty((len(points), k), dtype=np.int64)
-    for lo in range(0, len(points), block):
-        rows = points[lo : lo + block]
-        gap = np.sqrt(((rows[:, None, :] - reference[None, :, :]) ** 2).sum(axis=2))
-        if own is not None:
-            gap[np.arange(len(rows)), own[lo : lo + block]] = np.inf
-        near = np.argpartition(gap, k - 1, axis=1)[:, :k]
-        near_gap = np.take_along_axis(gap, near, axis=1)
-        order = np.argsort(near_gap, axis=1, kind="stable")
-        places[lo : lo + block] = np.take_along_axis(near, order, axis=1)
-        dists[lo : lo + block] = np.take_along_axis(near_gap, order, axis=1)
-    return dists, places
+from fleetpulse.plans.tables import broadcast_if_small, materialize
+
+
+def with_point(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Add ``_x``, the features as finite doubles; null, NaN and infinite ones count as 0, and -0.0 as 0.0."""
+    value = lambda f: F.col(f).cast("double")
+    finite = lambda f: value(f).isNotNull() & ~F.isnan(value(f)) & (F.abs(value(f)) < F.lit(1e150))
+    return df.withColumn("_x", F.array(*[F.when(finite(f), value(f) + F.lit(0.0)).otherwise(F.lit(0.0)) for f in features]))
+
+
+def different_points(df: DataFrame, tag: str) -> DataFrame:
+    """(_id, _x, _n): every different point once, with a number of its own and how many rows lie on it."""
+    counted = df.groupBy("_x").agg(F.count(F.lit(1)).alias("_n"))
+    numbered = materialize(counted.withColumn("_id", F.monotonically_increasing_id()), tag)
+    return numbered.select("_id", "_x", "_n")
+
+
+def density(found: DataFrame, reach: DataFrame) -> DataFrame:
+    """(_q, _density): inverse of the mean reachability distance of the neighbours."""
+    far = F.greatest("_d", "_reach") * F.col("_n")
+    return found.join(reach, "_o").groupBy("_q").agg((1 / (F.sum(far) / F.sum("_n") + F.lit(1e-10))).alias("_density"))
+
+
+def factor(found: DataFrame, own: DataFrame, densities: DataFrame) -> DataFrame:
+    """(_q, lof): mean density of the neighbours over the own one."""
+    around = found.join(densities.select(F.col("_q").alias("_o"), F.col("_density").alias("_near")), "_o")
+    mean = around.groupBy("_q").agg((F.sum(F.col("_near") * F.col("_n")) / F.sum("_n")).alias("_mean"))
+    return mean.join(own, "_q").select("_q", (F.col("_mean") / F.col("_density")).alias("lof"))
 
 
 @dataclass
 class LocalOutlierFactor:
-    points: np.ndarray
-    reach: np.ndarray
-    density: np.ndarray
+    """Different training points, the distance to their k-th neighbour and their densities, all as written tables."""
+
+    points: DataFrame
+    reach: DataFrame
+    densities: DataFrame
+    train_scores: DataFrame
     k: int
     features: list[str]
-    train_scores: DataFrame
+    seed: int
 
     @staticmethod
-    def fit(df: DataFrame, features: Sequence[str], k: int = 20, cap: int = REFERENCE_CAP, key=("event_id",), seed: int = 42):
-        """Sample at most ``cap`` rows, find their neighbours in parallel, then their local densities."""
-        features = list(features)
-        spark = df.sparkSession
-        sample = materialize(
-            hash_sample(df, cap, key, seed).select(*key, *[F.col(f).cast("double").alias(f) for f in features]), "reference"
-        )
-        # At most `cap` rows by construction.
-        points = sample.orderBy(*key).toPandas()[features].to_numpy(float)
-        n = len(points)
-        k = min(k, n - 1)
-        shared = spark.sparkContext.broadcast(points)
-
-        def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ref = shared.value
-            for b in batches:
-                i = b["id"].to_numpy()
-                d, p = nearest(ref[i], ref, k, own=i)
-                yield pd.DataFrame({"id": i, "dist": list(d), "near": list(p)})
-
-        tasks = max(1, min(n // 64, spark.sparkContext.defaultParallelism * 4))
-        found = (
-            spark.range(0, n, 1, tasks)
-            .mapInPandas(neighbours, "id long, dist array<double>, near array<long>")
-            .toPandas()  # cap x k numbers
-            .sort_values("id")
-        )
-        dist, near = np.vstack(found["dist"]), np.vstack(found["near"])
-        reach = dist[:, -1]
-        density = 1.0 / (np.maximum(dist, reach[near]).mean(axis=1) + 1e-10)
-        own = density[near].mean(axis=1) / density
-        scores = spark.createDataFrame(pd.DataFrame({"lof": own}), "lof double")
-        return LocalOutlierFactor(points, reach, density, k, features, scores)
-
-    def score(self, df: DataFrame, out: str = "lof") -> DataFrame:
-        """Add the factor: mean density of the nearest reference rows over the row's own density.
+    def fit(df: DataFrame, features: Sequence[str], k: int = 20, cap: int | None = None, key=("event_id",), seed: int = 42):
+        """Neighbours and densities of all training rows; an optional ``cap`` fits on that many of them.
 
-        Each batch is compared with the shared sample inside one task; no pairs leave it.
+        Nothing but pivots and cell sizes passes the driver.
         """
-        k = self.k
-        shared = df.sparkSession.sparkContext.broadcast((self.points, self.reach, self.density))
-
-        @F.pandas_udf("double")
-        def factor(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-            ref, reach, density = shared.value
-            for b in batches:
-                d, p = nearest(b.to_numpy(float), ref, k)
-                own = 1.0 / (np.maximum(d, reach[p]).mean(axis=1) + 1e-10)
-                yield pd.Series(density[p].mean(axis=1) / own)
+        features = list(features)
+        train = hash_sample(df, cap, key, seed) if cap else df
+        points = different_points(with_point(train, features).select("_x"), "reference")
+        total = points.agg(F.sum("_n")).first()[0] or 0
+        k = max(1, min(k, total - 1))
+        found = materialize(nearest(points, points, k, alone=True, seed=seed), "neighbours")
+        reach = materialize(found.groupBy("_q").agg(F.max("_d").alias("_reach")).withColumnRenamed("_q", "_o"), "reach")
+        densities = materialize(density(found, reach), "densities")
+        own = factor(found, densities, densities).join(points.select(F.col("_id").alias("_q"), "_n"), "_q")
+        scores = materialize(own.select("lof", "_n"), "factors")
+        return LocalOutlierFactor(points, reach, densities, scores, k, features, seed)
 
-        return df.withColumn(out, factor(F.struct(*[F.col(f).cast("double").alias(f) for f in self.features])))
+    def score(self, df: DataFrame, out: str = "lof") -> DataFrame:
+        """Add the factor: mean density of the nearest training rows over the row's own density; null without training rows."""
+        asked = with_point(df, self.features)
+        queries = different_points(asked.select("_x"), "queries")
+        found = materialize(nearest(queries, self.points, self.k, seed=self.seed), "neighbours")
+        scored = factor(found, density(found, self.reach), self.densities)
+        labelled = materialize(queries.join(scored.withColumnRenamed("_q", "_id"), "_id").select("_x", F.col("lof").alias("_lof")), "scored")
+        kept = [c for c in df.columns if c != out]
+        return asked.join(broadcast_if_small(labelled), "_x", "left").select(*[F.col(f"`{c}`") for c in kept], F.col("_lof").alias(out))
 
     def threshold(self, contamination: float) -> DataFrame:
-        """One row ``lof_threshold``: the factor that leaves ``contamination`` of the sample above it."""
-        return exact_percentiles(self.train_scores, [], "lof", {"lof_threshold": 1.0 - contamination})
+        """One row ``lof_threshold``: the factor that leaves ``contamination`` of the training rows above it."""
+        return exact_percentiles(self.train_scores, [], "lof", {"lof_threshold": 1.0 - contamination}, weight="_n")

@@ -57,12 +57,14 @@ def cumulative_counts(
     )
 
 
-def exact_percentiles(df: DataFrame, by: Sequence[str], value: str, qs: dict[str, float]) -> DataFrame:
-    """Linearly interpolated percentiles per group, exact, for groups of any size."""
+def exact_percentiles(df: DataFrame, by: Sequence[str], value: str, qs: dict[str, float], weight: str | None = None) -> DataFrame:
+    """Linearly interpolated percentiles per group, exact, for groups of any size.
+
+    A row counts as often as its ``weight`` says.
+    """
     by = list(by)
-    ranked = cumulative_counts(
-        df.where(is_number(value)), by, value, {"cnt": F.count(F.lit(1))}
-    )
+    times = F.sum(weight) if weight else F.count(F.lit(1))
+    ranked = cumulative_counts(df.where(is_number(value)), by, value, {"cnt": times})
     totals = ranked.groupBy(*by).agg(F.sum("cnt").alias("_n"))
     if by:
         ranked = null_safe_join(ranked, totals, by)

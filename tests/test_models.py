@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse import fixtures as fx
 from fleetpulse.functions import decisions as dec
-from fleetpulse.operators import evaluate, feedback, retrain, sampling, sweep
+from fleetpulse.operators import evaluate, feedback, neighbours, retrain, sampling, sweep
 from fleetpulse.operators.baselines import build_baselines
 from fleetpulse.operators.classifier import CauseClassifier, p_of
 from fleetpulse.operators.iforest import IsolationForest, expected_path, flag_over
@@ -81,6 +81,60 @@ def test_lof_matches_brute_force(spark, cloud):
     assert [got[i] for i in range(500, 800)] == pytest.approx(want.tolist())
 
 
+def brute_nearest(a, b, weights, k, alone):
+    """Per row of a: sorted distances to the k nearest of b, points counted by weight."""
+    out = []
+    for i, x in enumerate(a):
+        d = np.sqrt(((x - b) ** 2).sum(1))
+        times = weights - (np.arange(len(b)) == i) if alone else weights
+        out.append(np.sort(np.repeat(d, times))[:k])
+    return out
+
+
+@pytest.mark.parametrize("alone", [True, False])
+@pytest.mark.parametrize("dims,block", [(2, 4096), (3, 16), (20, 64)])
+def test_neighbour_join_equals_brute_force(spark, monkeypatch, alone, dims, block):
+    monkeypatch.setattr(neighbours, "CELL_POINTS", 12)
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    rng = np.random.default_rng(dims)
+    b = np.unique(np.round(np.vstack([rng.normal(0, 1, (150, dims)), rng.normal(8, 0.1, (60, dims)), np.zeros((1, dims))]), 2), axis=0)
+    weights = rng.choice([1, 1, 1, 4, 40], len(b))
+    a = b if alone else np.vstack([rng.normal(3, 5, (70, dims)), b[:5]])
+    frame = lambda x, *more: materialize(spark.createDataFrame([(i, [float(v) for v in p], *[int(m[i]) for m in more]) for i, p in enumerate(x)], "_id bigint, _x array<double>" + ", _n bigint" * len(more)))
+    reference = frame(b, weights)
+    found = neighbours.nearest(reference if alone else frame(a), reference, 7, alone).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r["_q"], []).extend([r["_d"]] * r["_n"])
+    want = brute_nearest(a, b, weights, 7, alone)
+    assert len(got) == len(a) and all(np.allclose(sorted(got[i]), want[i], atol=1e-12) for i in range(len(a)))
+
+
+def test_neighbour_bounds_spare_far_cells(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL_POINTS", 10)
+    rng = np.random.default_rng(9)
+    x = np.vstack([rng.normal(c, 0.01, (40, 2)) for c in rng.uniform(-100, 100, (25, 2))])
+    df = materialize(spark.createDataFrame([(i, [float(v) for v in p], 1) for i, p in enumerate(x)], "_id bigint, _x array<double>, _n bigint"))
+    asked = []
+    inner = neighbours.compare_blocks
+    monkeypatch.setattr(neighbours, "compare_blocks", lambda visits, *a: asked.append(visits.count()) or inner(visits, *a))
+    neighbours.nearest(df, df, 5, True)
+    assert asked[0] == 1000 and asked[1] < 6000  # 100 cells: all pairs would be 99,000 visits
+
+
+def test_lof_with_copies_nulls_and_tiny_training_sets(spark):
+    rows = [(i, float(i % 5), 0.0) for i in range(40)] + [(100, None, float("nan")), (101, -0.0, 0.0), (102, 50.0, 50.0)]
+    df = materialize(spark.createDataFrame(rows, "event_id long, a double, b double"))
+    model = LocalOutlierFactor.fit(df.where("event_id < 100"), ["a", "b"], k=3)
+    got = {r["event_id"]: r["lof"] for r in model.score(df.withColumn("lof", F.lit("old"))).collect()}
+    assert len(got) == len(rows) and got[100] == got[101] == got[0] and got[102] > 1000
+    assert model.threshold(0.1).first()[0] == pytest.approx(1.0)
+    alone = LocalOutlierFactor.fit(df.limit(1), ["a", "b"])
+    assert alone.score(df).count() == len(rows)
+    none = LocalOutlierFactor.fit(df.limit(0), ["a", "b"])
+    assert none.score(df).where("lof IS NOT NULL").count() == 0 and none.threshold(0.1).count() <= 1
+
+
 def test_reconstruction_error_matches_projection(spark, cloud):
     df, points = cloud
     model = Reconstruction.fit(df, ABC, k=2)
@@ -139,11 +193,10 @@ def test_per_class_tuning_matches_plain_search(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("boosted", [False, True])
-def test_cause_classifier(spark, cloud, tmp_path, boosted):
+def test_cause_classifier(spark, cloud, tmp_path):
     df, _ = cloud
     named = df.withColumn("cause", F.when(F.col("label") == 0, "normal").when(F.col("a") > 0, "spike").otherwise("leak")).withColumn("weight", F.lit(2.0))
-    model = CauseClassifier.fit(named, ABC, weight="weight", trees=8, depth=4, boosted=boosted)
+    model = CauseClassifier.fit(named, ABC, weight="weight", trees=8, depth=4)
     assert model.classes == ["leak", "normal", "spike"]
     out = model.probabilities(named)
     assert out.columns == [*named.columns, "probs"]
