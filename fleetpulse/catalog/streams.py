@@ -4,14 +4,15 @@ from pyspark.sql import functions as F
 
 from fleetpulse import fixtures as fx
 from fleetpulse.catalog.registry import baseline_ctes, fallback_join, query, r6, z_sql
+from fleetpulse.catalog.serving import ANOMALY_SQL, LIKELY_SQL, saved_bundle, served_sql
 from fleetpulse.catalog.trends import _ROLL
 from fleetpulse.functions.numbers import r6 as R
 from fleetpulse.operators import baselines as bl
 from fleetpulse.operators import rolling
 from fleetpulse.plans.tables import materialize, new_path
-from fleetpulse.schemas import METRICS
+from fleetpulse.schemas import METRIC_FEED_SCHEMA, METRICS
 from fleetpulse.sources.store import read_predictions
-from fleetpulse.streaming import cycle, history, online, windows
+from fleetpulse.streaming import cycle, history, online, ticks, windows
 
 
 def stream(spark, sf):
@@ -21,9 +22,9 @@ def stream(spark, sf):
     return windows.with_event_time(source.selectExpr(*fx.READING_EXPRS))
 
 
-def drained(spark, df, mode="append"):
-    out = new_path(spark, "stream")
-    windows.run_available(df, out, new_path(spark, "offsets"), mode)
+def drained(spark, df, mode="append", out=None, offsets=None):
+    out = out or new_path(spark, "stream")
+    windows.run_available(df, out, offsets or new_path(spark, "offsets"), mode)
     return spark.read.schema(df.schema).parquet(out)
 
 
@@ -112,50 +113,97 @@ def stream_online_baselines(spark, sf):
 FEED = METRICS
 # The feed rounds to two decimals; load_avg has four, whose ties round alike as decimal numbers.
 _ROUNDED = "CAST(round(CAST(load_avg AS DECIMAL(18, 6)), 2) AS DOUBLE) AS load_avg"
+SLICES = 4
+DELAYED = 40  # seconds by which some values come in the slice after their own
 
 
-def run_cycle(spark, sf, with_log=False):
-    base = bl.build_baselines(fx.windowed(spark, sf), FEED)
-    edges = materialize(fx.topology(spark, sf), "edges")
+def sliced_feed(spark, sf):
+    """Long metric values as a stream of four micro-batches whose borders cut ticks in two.
+
+    Values of ``load_avg`` that fall into the last seconds of a slice come with the next one.
+    """
     values = ", ".join(f"struct('{m}' AS metric, {m} AS value)" for m in FEED)
-    feed = stream(spark, sf).selectExpr("machine", "type", "event_time AS ts", f"inline(array({values}))")
+    feed = fx.readings(spark, sf).selectExpr("machine", "type", "CAST(timestamp AS TIMESTAMP) AS ts", f"inline(array({values}))")
+    first, last = feed.agg(F.min("ts").cast("double"), F.max("ts").cast("double")).first()
+    width = (last - first) / SLICES
+    seconds = F.col("ts").cast("double") - F.lit(first) + F.when(F.col("metric") == "load_avg", F.lit(float(DELAYED))).otherwise(F.lit(0.0))
+    number = F.least(F.floor(seconds / F.lit(width)).cast("int"), F.lit(SLICES - 1))
+    written = materialize(feed.withColumn("slice", number), "feed")
+    path = new_path(spark, "slices")
+    for i in range(SLICES):
+        written.where(F.col("slice") == i).select(METRIC_FEED_SCHEMA.fieldNames()).coalesce(1).write.mode("append").parquet(path)
+    return cycle.metric_feed(spark, path)
+
+
+def run_cycle(spark, sf, model, with_log=False, twice=False):
+    """Published rows and log of a cycle; ``twice`` runs a second cycle on the same paths from the start."""
+    edges = materialize(fx.topology(spark, sf), "edges")
     out, log = new_path(spark, "published"), new_path(spark, "log")
-    body = cycle.detection_cycle(base, edges, out, log if with_log else None, metrics=FEED)
-    cycle.run_cycle(feed, body, new_path(spark, "offsets")).awaitTermination()
+    feed = sliced_feed(spark, sf)
+    for _ in range(1 + twice):
+        body = cycle.detection_cycle(model, edges, out, log if with_log else None, metrics=FEED)
+        cycle.run_cycle(feed, body, new_path(spark, "offsets"), metrics=FEED).awaitTermination()
     return out, log
 
 
-_TICKS = f"""{baseline_ctes('windowed', FEED)},
-k AS (SELECT * REPLACE ({_ROUNDED}), time_bucket(INTERVAL 30 SECOND, timestamp) AS tick FROM windowed),
-l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY machine, type, tick ORDER BY timestamp DESC) AS rn FROM k) WHERE rn = 1),
+_WHOLE = f"""k AS (SELECT * REPLACE ({_ROUNDED}), time_bucket(INTERVAL 30 SECOND, timestamp) AS tick FROM windowed),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY machine, tick ORDER BY timestamp DESC) AS rn FROM k)
+WHERE rn = 1 AND tick + INTERVAL 30 SECOND <= (SELECT max(timestamp) FROM k) - INTERVAL 1 MINUTE)"""
+_TICKS = f"""{baseline_ctes('windowed', FEED)}, {_WHOLE},
 z AS (SELECT r.tick, r.machine, r.type, r."window", greatest({', '.join(f'abs({z_sql(m)})' for m in FEED)}) AS score FROM {fallback_join('l')})"""
+_ROLES = f"""c AS (SELECT tick, count(*) AS n FROM a GROUP BY tick),
+d AS (SELECT x.tick, t.router AS machine, count(*) AS down FROM a x JOIN topology t ON t.machine = x.machine JOIN a y ON y.tick = x.tick AND y.machine = t.router GROUP BY 1, 2)
+SELECT a.tick, a.machine, a.type, {r6('a.score')} AS score, a.likely_cause, CASE WHEN c.n = 1 THEN 'isolated' WHEN d.down > 0 THEN 'likely_root_cause' WHEN a.machine IN (SELECT router FROM topology) THEN 'isolated'
+WHEN u.machine IS NOT NULL THEN 'downstream_effect' ELSE 'isolated' END AS role, c.n AS n_anomalous
+FROM a JOIN c ON c.tick = a.tick LEFT JOIN d ON d.tick = a.tick AND d.machine = a.machine LEFT JOIN topology t ON t.machine = a.machine LEFT JOIN a u ON u.tick = a.tick AND u.machine = t.router"""
+
+
+def published(spark, out):
+    rows = cycle.read_published(spark, out).withColumns({**naive("tick"), "score": R("score")})
+    return rows.select("tick", "machine", "type", "score", "likely_cause", "role", "n_anomalous")
+
+
+@query(
+    "stream_ticks",
+    f"""WITH {_WHOLE} SELECT tick, machine, type, {', '.join(FEED)} FROM l""",
+    ["windowed"],
+)
+def stream_ticks(spark, sf):
+    """Ticks split over four micro-batches, put together again."""
+    out = drained(spark, ticks.assemble_ticks(sliced_feed(spark, sf), FEED))
+    return out.where("whole").withColumns(naive("tick")).select("tick", "machine", "type", *FEED)
 
 
 @query(
     "stream_detection_cycle",
-    f"""WITH {_TICKS}, a AS (SELECT * FROM z WHERE score > 3), c AS (SELECT tick, count(*) AS n FROM a GROUP BY tick),
-d AS (SELECT x.tick, t.router AS machine, count(*) AS down FROM a x JOIN topology t ON t.machine = x.machine JOIN a y ON y.tick = x.tick AND y.machine = t.router GROUP BY 1, 2)
-SELECT a.tick, a.machine, a.type, {r6('a.score')} AS score, CASE WHEN c.n = 1 THEN 'isolated' WHEN d.down > 0 THEN 'likely_root_cause' WHEN a.machine IN (SELECT router FROM topology) THEN 'isolated'
-WHEN u.machine IS NOT NULL THEN 'downstream_effect' ELSE 'isolated' END AS role, c.n AS n_anomalous
-FROM a JOIN c ON c.tick = a.tick LEFT JOIN d ON d.tick = a.tick AND d.machine = a.machine LEFT JOIN topology t ON t.machine = a.machine LEFT JOIN a u ON u.tick = a.tick AND u.machine = t.router""",
+    f"WITH {_TICKS}, a AS (SELECT *, CAST(NULL AS VARCHAR) AS likely_cause FROM z WHERE score > 3), {_ROLES}",
     ("windowed", "topology"),
 )
 def stream_detection_cycle(spark, sf):
     """Long metric feed to scored ticks with root-cause roles."""
-    out, _ = run_cycle(spark, sf)
-    rows = spark.read.parquet(out).withColumns({**naive("tick"), "score": R("score")})
-    return rows.select("tick", "machine", "type", "score", "role", "n_anomalous")
+    return published(spark, run_cycle(spark, sf, bl.build_baselines(fx.windowed(spark, sf), FEED))[0])
+
+
+@query(
+    "stream_served_cycle",
+    f"""{served_sql(_WHOLE + ', q AS (SELECT *, false AS rolled, CAST([] AS DOUBLE[]) AS roll, machine || tick AS event_id FROM (SELECT * EXCLUDE (event_id) FROM l))')},
+a AS (SELECT q.tick, q.machine, q.type, round(iso_score, 4) AS score, {LIKELY_SQL} AS likely_cause FROM v JOIN q USING (event_id) WHERE {ANOMALY_SQL}), {_ROLES}""",
+    ("windowed", "topology"),
+)
+def stream_served_cycle(spark, sf):
+    """The cycle with a saved bundle: classifier, isolation forest and OR gate."""
+    return published(spark, run_cycle(spark, sf, saved_bundle(spark, sf))[0])
 
 
 @query(
     "stream_prediction_log",
-    f"""WITH {_TICKS} SELECT machine, "window" AS time_window, count(*) AS n, CAST(sum(CASE WHEN score > 3 THEN 1 ELSE 0 END) AS BIGINT) AS flagged FROM z GROUP BY 1, 2""",
+    f"""WITH {_TICKS} SELECT machine, "window" AS time_window, CAST(tick AS DATE) AS day, 2 * count(*) AS n, CAST(2 * sum(CASE WHEN score > 3 THEN 1 ELSE 0 END) AS BIGINT) AS flagged FROM z GROUP BY 1, 2, 3""",
     ["windowed"],
 )
 def stream_prediction_log(spark, sf):
-    """The cycle's prediction log, summed up."""
-    _, log = run_cycle(spark, sf, with_log=True)
+    """The prediction log of two cycles on one path, summed up by machine, window and day of the tick."""
+    _, log = run_cycle(spark, sf, bl.build_baselines(fx.windowed(spark, sf), FEED), with_log=True, twice=True)
     rows = read_predictions(spark, log)
-    return rows.groupBy("machine", "time_window").agg(
+    return rows.groupBy("machine", "time_window", F.to_date("timestamp").alias("day")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("final_is_anomaly").cast("bigint")).alias("flagged")
     )

@@ -7,9 +7,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fleetpulse.schemas import PREDICTION_SCHEMA, RUN_SCHEMA
+from fleetpulse.sources.commits import append_once, read_committed
 
 log = logging.getLogger(__name__)
 
@@ -23,13 +23,16 @@ def load_baselines(spark: SparkSession, root: str, version: str) -> DataFrame:
     return spark.read.parquet(f"{root}/model_version={version}")
 
 
-def to_predictions(scored: DataFrame, metrics: Sequence[str], model_version: str, threshold: float) -> DataFrame:
-    """Log rows of scored readings: generated id, current time, features and raw metrics as JSON."""
+def to_predictions(scored: DataFrame, metrics: Sequence[str], model_version: str, threshold: float, at: str | None = None) -> DataFrame:
+    """Log rows of scored readings: generated id, time, features and raw metrics as JSON.
+
+    The time is that of the column ``at`` where given, such as the tick, so that a retry logs the same one; else the clock's.
+    """
     opt = lambda name, kind: (F.col(name) if name in scored.columns else F.lit(None)).cast(kind)
     pack = lambda prefix: F.to_json(F.create_map(*[x for m in metrics for x in (F.lit(m), F.col(f"{prefix}{m}"))]))
     return scored.select(
         F.uuid().alias("id"),
-        F.current_timestamp().alias("timestamp"),
+        (F.col(at).cast("timestamp") if at else F.current_timestamp()).alias("timestamp"),
         "machine",
         opt("type", "string").alias("machine_type"),
         opt("window", "string").alias("time_window"),
@@ -48,18 +51,13 @@ def to_predictions(scored: DataFrame, metrics: Sequence[str], model_version: str
     )
 
 
-def log_predictions(predictions: DataFrame, path: str, best_effort: bool = True, batch: int | None = None) -> bool:
-    """Add to the log, partitioned by day. A failing log must not stop scoring.
+def log_predictions(predictions: DataFrame, path: str, best_effort: bool = True, query: str | None = None, batch: int = 0) -> bool:
+    """Add a batch to the log, partitioned by day. A failing log must not stop scoring.
 
-    With ``batch``, the number of a micro-batch, writing it again replaces what it wrote before.
+    With ``query`` and ``batch`` the batch is logged once however often it is written; without, every call counts.
     """
     try:
-        rows = predictions.withColumns({"day": F.to_date("timestamp"), "batch": F.lit(batch if batch is not None else -1).cast("bigint")})
-        writer = rows.write.partitionBy("day", "batch")
-        if batch is None:
-            writer.mode("append").parquet(path)
-        else:
-            writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+        append_once(predictions.withColumn("day", F.to_date("timestamp")), path, query, batch, by=("day",))
         return True
     except Exception as error:  # noqa: BLE001 - any storage failure counts as "not logged"
         if not best_effort:
@@ -69,8 +67,7 @@ def log_predictions(predictions: DataFrame, path: str, best_effort: bool = True,
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    shape = T.StructType([*PREDICTION_SCHEMA.fields, T.StructField("day", T.DateType()), T.StructField("batch", T.LongType())])
-    return spark.read.schema(shape).parquet(path).drop("day", "batch")
+    return read_committed(spark, path, PREDICTION_SCHEMA, by=("day",)).drop("day")
 
 
 def save_run(

@@ -3,9 +3,9 @@ from pyspark.sql import functions as F
 from fleetpulse import fixtures as fx
 from fleetpulse.operators import baselines as bl
 from fleetpulse.operators import rolling
-from fleetpulse.operators.rootcause import tick_roles
 from fleetpulse.schemas import METRIC_FEED_SCHEMA
-from fleetpulse.streaming import cycle, history, online, windows
+from fleetpulse.sources import store
+from fleetpulse.streaming import cycle, history, online, ticks, windows
 
 
 def in_files(df, path, n):
@@ -75,28 +75,71 @@ def test_online_baselines_over_batches(spark, sf, tmp_path):
         assert g["n"] == r["n"] and abs(g["cpu_mean"] - r["cpu_mean"]) < 1e-9 and abs(g["cpu_std"] - r["cpu_std"]) < 1e-9
 
 
-def test_cycle_over_ticks(spark, tmp_path):
-    """Two feed files, one tick each: a cascade and a lone anomaly."""
-    train = spark.createDataFrame(
-        [(m, "web" if m.startswith("web") else "router", "night", v) for m in ("web-01", "web-02", "router-01") for v in (9.0, 10.0, 11.0)],
-        "machine string, type string, window string, cpu double",
-    )
-    base = bl.build_baselines(train, ["cpu"])
-    edges = spark.createDataFrame([("web-01", "router-01"), ("web-02", "router-01")], "machine string, router string")
-    ticks = [
-        [("web-01", 90.0), ("web-02", 10.0), ("router-01", 95.0)],
-        [("web-01", 10.0), ("web-02", 80.0), ("router-01", 10.5)],
-    ]
-    path = str(tmp_path / "feed")
-    for i, values in enumerate(ticks):
-        rows = [("cpu", m, "router" if m.startswith("router") else "web", f"2026-01-01 03:00:{i * 30:02d}", v) for m, v in values]
+FLEET = ("web-01", "web-02", "router-01")
+
+
+def fleet_base(spark):
+    rows = [(m, "web" if m.startswith("web") else "router", "night", v, v) for m in FLEET for v in (9.0, 10.0, 11.0)]
+    return bl.build_baselines(spark.createDataFrame(rows, "machine string, type string, window string, cpu double, ram double"), ["cpu", "ram"])
+
+
+def feed_files(spark, path, files):
+    """One file and micro-batch per list of (metric, machine, seconds, value)."""
+    for values in files:
+        rows = [(metric, m, "router" if m.startswith("router") else "web", f"2026-01-01 03:{s // 60:02d}:{s % 60:02d}", v) for metric, m, s, v in values]
         df = spark.createDataFrame(rows, "metric string, machine string, type string, ts string, value double").withColumn("ts", F.to_timestamp("ts"))
         df.coalesce(1).write.mode("append").parquet(path)
-    feed = cycle.metric_feed(spark, path)
+    return cycle.metric_feed(spark, path)
+
+
+# Two ticks: a cascade and a lone anomaly; web-02 lacks a value in the second, a value comes a tick too late, another far too late.
+TICK_ONE = [("cpu", "web-01", 1, 90.0), ("cpu", "web-02", 2, 10.0), ("cpu", "router-01", 3, 95.0), ("ram", "web-01", 4, 10.0), ("ram", "web-02", 5, 10.0), ("ram", "router-01", 6, 10.0)]
+TICK_TWO = [("cpu", "web-01", 31, 10.0), ("cpu", "web-02", 32, 80.0), ("cpu", "router-01", 33, 85.0), ("ram", "web-01", 34, 10.0), ("ram", "router-01", 35, 10.0), ("cpu", "web-01", 36, 11.0)]
+AFTER = [("cpu", "web-01", 200, 10.0)]
+EXPECTED = {(0, "router-01"): "likely_root_cause", (0, "web-01"): "downstream_effect", (30, "router-01"): "isolated"}
+
+
+def roles(spark, files, tmp_path, tag):
+    edges = spark.createDataFrame([("web-01", "router-01"), ("web-02", "router-01")], "machine string, router string")
+    feed = feed_files(spark, str(tmp_path / f"feed-{tag}"), files)
     assert feed.schema == METRIC_FEED_SCHEMA
-    out, log = str(tmp_path / "out"), str(tmp_path / "log")
-    body = cycle.detection_cycle(base, edges, out, log, metrics=["cpu"])
-    cycle.run_cycle(feed, body, str(tmp_path / "cp")).awaitTermination()
-    got = {(r["tick"].second, r["machine"]): r["role"] for r in spark.read.parquet(out).collect()}
-    assert got == {(0, "router-01"): "likely_root_cause", (0, "web-01"): "downstream_effect", (30, "web-02"): "isolated"}
-    assert spark.read.parquet(log).count() == 6
+    out, log = str(tmp_path / f"out-{tag}"), str(tmp_path / f"log-{tag}")
+    body = cycle.detection_cycle(fleet_base(spark), edges, out, log, metrics=["cpu", "ram"])
+    query = cycle.run_cycle(feed, body, str(tmp_path / f"cp-{tag}"), metrics=["cpu", "ram"])
+    query.awaitTermination()
+    got = {(r["tick"].second, r["machine"]): r["role"] for r in cycle.read_published(spark, out).collect()}
+    assert store.read_predictions(spark, log).count() == 5  # three whole machines, then two
+    return got, query, (feed, body, out, log)
+
+
+def test_ticks_split_over_micro_batches_equal_one_batch(spark, tmp_path):
+    whole, _, _ = roles(spark, [TICK_ONE + TICK_TWO, AFTER], tmp_path, "one")
+    # Four micro-batches cut both ticks; the last ram value of the first tick comes after the second tick began.
+    files = [TICK_ONE[:2], TICK_ONE[2:5] + TICK_TWO[:3], TICK_ONE[5:] + TICK_TWO[3:], AFTER]
+    split, _, _ = roles(spark, files, tmp_path, "four")
+    assert whole == split == EXPECTED
+
+
+def test_values_behind_the_watermark_are_counted_not_scored(spark, tmp_path):
+    late = [("ram", "web-02", 36, 10.0)]
+    got, query, _ = roles(spark, [TICK_ONE + TICK_TWO, AFTER, [("cpu", "web-01", 400, 10.0)], late], tmp_path, "late")
+    assert got == EXPECTED and windows.dropped_late(query) == 1
+
+
+def test_rerun_batches_and_second_cycles_count_once_each(spark, tmp_path):
+    _, _, (feed, body, out, log) = roles(spark, [TICK_ONE + TICK_TWO, AFTER], tmp_path, "again")
+    # A restart from the same checkpoint adds nothing, a cycle with a checkpoint of its own adds its rows.
+    cycle.run_cycle(feed, body, str(tmp_path / "cp-again"), metrics=["cpu", "ram"]).awaitTermination()
+    assert cycle.read_published(spark, out).count() == 3 and store.read_predictions(spark, log).count() == 5
+    cycle.run_cycle(feed, body, str(tmp_path / "cp-other"), metrics=["cpu", "ram"]).awaitTermination()
+    assert cycle.read_published(spark, out).count() == 6 and store.read_predictions(spark, log).count() == 10
+    days = store.read_predictions(spark, log).select(F.to_date("timestamp").cast("string")).distinct().collect()
+    assert [d[0] for d in days] == ["2026-01-01"]
+
+
+def test_odd_values_and_types_in_ticks(spark, tmp_path):
+    values = [("cpu", "m", 1, 1.0), ("cpu", "m", 3, float("nan")), ("cpu", "m", 2, 2.005), ("cpu", "m", 2, 1.0), ("ram", "m", 9, None), ("disk", "m", 9, 1.0), ("ram", "n", 9, 3.0)]
+    feed = feed_files(spark, str(tmp_path / "feed"), [values, AFTER])
+    query = windows.run_available(ticks.assemble_ticks(feed, ["cpu", "ram"]), str(tmp_path / "out"), str(tmp_path / "cp"))
+    found = {r["machine"]: (r["cpu"], r["ram"], r["found"], r["whole"]) for r in spark.read.parquet(str(tmp_path / "out")).where("second(tick) = 0").collect()}
+    assert found == {"m": (2.01, None, 1, False), "n": (None, 3.0, 1, False)} and query.exception() is None
