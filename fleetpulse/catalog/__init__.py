@@ -4,7 +4,7 @@ from importlib import import_module
 
 from fleetpulse.catalog.registry import ORACLES, QUERIES
 
-MODULES = ("scans", "baselining", "trends", "quality", "causes", "decisions", "samples", "verdicts", "models", "bulk", "streams")
+MODULES = ("scans", "baselining", "trends", "quality", "causes", "decisions", "samples", "verdicts", "models", "serving", "bulk", "streams", "inputs")
 
 
 def load() -> tuple[dict, dict]:

@@ -90,6 +90,20 @@ def select_top_per_machine(df: DataFrame, metrics: Sequence[str], by: str = "mac
     return out
 
 
+def select_all_per_machine(df: DataFrame, metrics: Sequence[str], by: str = "machine") -> DataFrame:
+    """Every machine's own non-constant metrics in order: the first three as cpu, ram and network, the others under their
+    names, NULL where a machine's are constant or among its first three."""
+    kept = variances(df, metrics, [by]).where("variance > 0").groupBy(by).agg(F.collect_set("metric").alias("_varying"))
+    # One row per machine; its metrics in the order of the columns.
+    names = F.array(*[F.lit(m) for m in metrics])
+    kept = kept.select(by, F.filter(names, lambda m: F.array_contains("_varying", m)).alias("_kept"))
+    values = F.create_map(*[x for m in metrics for x in (F.lit(m), F.col(m).cast("double"))])
+    joined = df.join(kept, by, "left").withColumn("_values", values)
+    first = [F.try_element_at("_values", F.get("_kept", F.lit(i))).alias(n) for i, n in enumerate(("cpu", "ram", "network"))]
+    rest = [F.when(F.array_position("_kept", m) > 3, F.col(m)).alias(m) for m in metrics]
+    return joined.select(*[c for c in df.columns if c not in metrics], *first, *rest)
+
+
 def synthetic_minutes(df: DataFrame, by: Sequence[str], order: Sequence[str], start: str, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
     """Add ``timestamp = start + i minutes`` for the i-th row (from 0) of each key."""
     indexed = row_index(df, by, order, "_i", chunk_rows)

@@ -9,8 +9,10 @@ from fleetpulse.operators import feedback as fb
 from fleetpulse.operators.zscore import z_threshold, zscore
 from fleetpulse.plans.tables import broadcast_if_small, few_rows, materialize, shared_dir
 from fleetpulse.schemas import METRICS, PREDICTION_SCHEMA, READING_SCHEMA
+from fleetpulse.sources import commits, metrictext
 from fleetpulse.sources import readings as src
 from fleetpulse.sources import store
+from fleetpulse.streaming import windows
 
 
 def test_csv_scan_is_typed_and_nan_is_null(spark, tmp_path):
@@ -57,6 +59,68 @@ def test_matrix_lines_meet_their_labels(spark, tmp_path, block):
     assert {r["machine"] for r in rows} == {"1-1", "2-4"}
 
 
+def matrix_folder(tmp_path, files):
+    for name, rows in files.items():
+        for kind, pick in (("data", slice(0, -1)), ("labels", slice(-1, None))):
+            target = tmp_path / kind / f"{name}.txt"
+            target.parent.mkdir(parents=True, exist_ok=True)
+            target.write_text("\n".join(",".join(map(str, r[pick])) for r in rows if r[pick] != ("",)) + "\n")
+    return str(tmp_path / "data"), str(tmp_path / "labels")
+
+
+def test_matrix_metrics_per_machine(spark, tmp_path):
+    files = {
+        "machine-a": [(5, i, 10 * i, 0.1 * i, i % 2) for i in range(6)],
+        "machine-b": [(i, 7, 0.1 * i, 3 * i, 0) for i in range(4)],
+    }
+    data, labels = matrix_folder(tmp_path, files)
+    top = src.read_matrix(spark, data, labels, 4, "top3", per_machine=True)
+    found = {(r["machine"], r["line_no"]): (r["cpu"], r["ram"], r["network"]) for r in top.collect()}
+    assert found["a", 2] == (20.0, 2.0, 0.2) and found["b", 2] == (6.0, 2.0, 0.2)
+    every = src.read_matrix(spark, data, labels, 4, "all", per_machine=True)
+    rows = {(r["machine"], r["line_no"]): r for r in every.collect()}
+    assert tuple(rows["a", 2][c] for c in ("cpu", "ram", "network")) == (2.0, 20.0, 0.2)
+    assert tuple(rows["b", 2][c] for c in ("cpu", "ram", "network")) == (2.0, 0.2, 6.0)
+    assert all(rows["a", 2][f"col_{i}"] is None for i in range(4)) and len(rows) == 10
+
+
+def test_matrix_lines_without_label_and_equal_names(spark, tmp_path):
+    files = {"x/machine-1": [(i, i * i, 3 - i, "") if i == 3 else (i, i * i, 3 - i, 1) for i in range(4)], "y/machine-1": [(9 + i, i, -i, 0) for i in range(2)]}
+    data, labels = matrix_folder(tmp_path, files)
+    df = src.read_matrix(spark, f"{data}/*", f"{labels}/*", 3, "first3", folders=1)
+    got = {(r["machine"], r["line_no"]): (r["cpu"], r["label"]) for r in df.collect()}
+    assert got == {("x/1", 0): (0.0, 1), ("x/1", 1): (1.0, 1), ("x/1", 2): (2.0, 1), ("x/1", 3): (3.0, None), ("y/1", 0): (9.0, 0), ("y/1", 1): (10.0, 0)}
+
+
+def test_metric_text(spark, tmp_path):
+    lines = [
+        "# HELP sim_cpu_percent load", 'sim_cpu_percent{machine="web-01",type="web"} 12.5 1772000000123', 'sim_ram_percent{ type="db", machine="d,b}1" } 4e1',
+        'sim_load_avg{machine="x"} NaN 5', 'sim_load_avg{machine="x"} +Inf', "sim_load_avg 3", 'other{machine="x"} 1', 'sim_load_avg{machine="x"} 0.5 1000', "", "broken{",
+    ]
+    (tmp_path / "snap").mkdir()
+    (tmp_path / "snap" / "a.txt").write_text("\n".join(lines))
+    text = spark.read.text(str(tmp_path / "snap")).select("value", F.col("_metadata.file_modification_time").alias("_modified"))
+    got = {(r["metric"], r["machine"], r["type"], r["value"]) for r in metrictext.parse_lines(text).collect()}
+    assert got == {("cpu", "web-01", "web", 12.5), ("ram", "d,b}1", "db", 40.0), ("load_avg", "x", "unknown", 0.5)}
+    times = {r["metric"]: r["ts"] for r in metrictext.parse_lines(text).selectExpr("metric", "unix_millis(ts) AS ts").collect()}
+    assert times["cpu"] == 1772000000123 and times["load_avg"] == 1000 and times["ram"] > 1_700_000_000_000
+    feed = metrictext.parse_lines(text)
+    assert sorted(map(tuple, metrictext.parse_lines(metrictext.as_lines(feed).withColumn("_modified", F.current_timestamp())).where("metric <> 'ram'").collect())) == sorted(
+        map(tuple, feed.where("metric <> 'ram'").collect())
+    )
+
+
+def test_restarted_text_feed_takes_every_snapshot_once(spark, tmp_path):
+    path, out, cp = tmp_path / "snap", str(tmp_path / "out"), str(tmp_path / "cp")
+    path.mkdir()
+    for i in range(7):
+        (path / f"{i}.txt").write_text(f'sim_cpu_percent{{machine="m{i}",type="web"}} {i} {1000 * i}\n')
+        if i in (2, 6):
+            query = windows.run_available(metrictext.metric_text_feed(spark, str(path), 2), out, cp)
+            assert max(p["numInputRows"] for p in query.recentProgress) <= 2
+    assert sorted(r["machine"] for r in spark.read.parquet(out).collect()) == [f"m{i}" for i in range(7)]
+
+
 def test_graph_document(spark, tmp_path):
     doc = {"depends_on": {"web-01": "router-01", "db-01": "router-02"}, "routers": ["router-01", "router-02"], "downstream_of": {"router-01": ["web-01"]}}
     (tmp_path / "graph.json").write_text(json.dumps(doc, indent=2))
@@ -115,17 +179,35 @@ def test_broadcast_only_within_the_bound(spark):
     assert few_rows(spark.range(10), 5).count() == 10 and few_rows(spark.range(3), 5).count() == 3
 
 
-def test_a_batch_logged_twice_is_logged_once(spark, tmp_path):
-    from pyspark.sql import functions as F
-
-    from fleetpulse.schemas import PREDICTION_SCHEMA
-    from fleetpulse.sources.store import log_predictions, read_predictions
-
-    values = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != "timestamp" else F.lit("2025-03-07 10:00:00").cast(f.dataType).alias(f.name) for f in PREDICTION_SCHEMA.fields]
-    rows = spark.range(5).select(*values)
-    path = str(tmp_path / "log")
-    for batch in (0, 1, 1, 0):
-        assert log_predictions(rows, path, best_effort=False, batch=batch)
-    assert read_predictions(spark, path).count() == 10
-    assert log_predictions(rows, path, best_effort=False)
-    assert read_predictions(spark, path).count() == 15
+def log_rows(spark, n=5, at="2025-03-07 23:59:50"):
+    values = [F.lit(at if f.name == "timestamp" else None).cast(f.dataType).alias(f.name) for f in PREDICTION_SCHEMA.fields]
+    return spark.range(n).select(*values)
+
+
+def test_every_batch_counts_once_per_query(spark, tmp_path):
+    rows, path = log_rows(spark), str(tmp_path / "log")
+    assert store.read_predictions(spark, path).count() == 0
+    for query, batch in (("a", 0), ("a", 1), ("a", 1), ("b", 0), ("a", 0), ("b", 0)):
+        assert store.log_predictions(rows, path, best_effort=False, query=query, batch=batch)
+    assert store.read_predictions(spark, path).count() == 15
+    assert store.log_predictions(rows, path, best_effort=False) and store.log_predictions(rows, path, best_effort=False)
+    assert store.read_predictions(spark, path).count() == 25
+    # A retry after midnight is the same batch, whatever day its rows now carry.
+    store.log_predictions(log_rows(spark, at="2025-03-08 00:00:10"), path, best_effort=False, query="b", batch=0)
+    days = store.read_predictions(spark, path).select(F.to_date("timestamp").cast("string")).distinct().collect()
+    assert [d[0] for d in days] == ["2025-03-07"]
+
+
+def test_attempts_that_were_not_committed_are_invisible(spark, tmp_path, monkeypatch):
+    rows, path = log_rows(spark), str(tmp_path / "log")
+    store.log_predictions(rows, path, query="a", batch=0)
+    torn = rows.withColumns({"query": F.lit("a"), "batch": F.lit(1).cast("bigint"), "attempt": F.lit("torn"), "day": F.to_date("timestamp")})
+    torn.write.mode("append").partitionBy("query", "batch", "attempt", "day").parquet(f"{path}/rows")
+    assert store.read_predictions(spark, path).count() == 5
+    assert commits.append_once(rows.withColumn("day", F.to_date("timestamp")), path, "a", 1, ("day",))
+    assert store.read_predictions(spark, path).count() == 10
+    # Two writers that both got through: the earlier entry is the batch.
+    monkeypatch.setattr(commits, "manifest", lambda *a: spark.createDataFrame([], commits.MANIFEST))
+    assert commits.append_once(log_rows(spark, 50).withColumn("day", F.to_date("timestamp")), path, "a", 1, ("day",))
+    monkeypatch.undo()
+    assert store.read_predictions(spark, path).count() == 10
