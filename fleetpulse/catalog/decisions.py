@@ -10,16 +10,18 @@ from fleetpulse.schemas import SAFETY_NET_CAUSE
 
 PER_CLASS = {"cpu_spike": 0.3, "memory_leak": 0.25, "network_flood": 0.2, "disk_saturation": 0.35, "silent_failure": 0.4}
 
-_SINGLE = """pn AS (SELECT event_id, p FROM class_probs WHERE cause = 'normal'),
-tp AS (SELECT event_id, cause, row_number() OVER (PARTITION BY event_id ORDER BY p DESC, cause) AS k FROM class_probs WHERE cause <> 'normal'),
-one AS (SELECT pn.event_id, pn.p AS p_normal, CASE WHEN pn.p < {t} THEN 1 ELSE 0 END AS clf_is_anomaly,
-CASE WHEN pn.p < {t} THEN cause ELSE 'normal' END AS clf_cause FROM pn JOIN tp ON tp.event_id = pn.event_id AND k = 1)"""
+_ORDER = sorted(range(1, len(fx.CLASSES)), key=lambda i: fx.CLASSES[i])
+_TOP = f"greatest({', '.join(f'w{i}' for i in _ORDER)})"
+_LIKELIEST = "CASE " + " ".join(f"WHEN w{i} = {_TOP} THEN '{fx.CLASSES[i]}'" for i in _ORDER) + " END"
+_TOTAL = " + ".join(f"w{i}" for i in range(len(fx.CLASSES)))
+_SINGLE = f"""one AS (SELECT event_id, label, CASE WHEN CAST(w0 AS DOUBLE) / ({_TOTAL}) < {{t}} THEN 1 ELSE 0 END AS clf_is_anomaly,
+CASE WHEN CAST(w0 AS DOUBLE) / ({_TOTAL}) < {{t}} THEN {_LIKELIEST} ELSE 'normal' END AS clf_cause FROM class_weights)"""
 
 
 @query(
     "decide_single_threshold",
     f"WITH {_SINGLE.format(t='CAST(0.15 AS DOUBLE)')} SELECT event_id, clf_is_anomaly, clf_cause FROM one",
-    ["class_probs"],
+    ["class_weights"],
 )
 def decide_single_threshold(spark, sf):
     return dec.decide(fx.class_probs(spark, sf), threshold=0.15).select("event_id", "clf_is_anomaly", "clf_cause")
@@ -55,13 +57,13 @@ def probability_margins(spark, sf):
     return long.join(bars, "cause", "left").where(margin >= 0).select("event_id", "cause", R(margin).alias("margin"))
 
 
-_GATE = f"""WITH {_SINGLE.format(t='CAST(0.1 AS DOUBLE)')}, v AS (SELECT one.*, CASE WHEN r.cpu > 150 THEN 1 ELSE 0 END AS iso FROM one JOIN readings r ON r.event_id = one.event_id)"""
+_GATE = f"""WITH {_SINGLE.format(t='CAST(0.1 AS DOUBLE)')}, v AS (SELECT *, label AS iso FROM one)"""
 
 
 @query(
     "or_gate",
     f"""{_GATE} SELECT event_id, greatest(clf_is_anomaly, iso) AS is_anomaly, CASE WHEN clf_is_anomaly = 1 THEN clf_cause WHEN iso = 1 THEN '{SAFETY_NET_CAUSE}' END AS likely_cause FROM v""",
-    ["readings", "class_probs"],
+    ["class_weights"],
 )
 def or_gate(spark, sf):
     df = dec.decide(fx.class_probs(spark, sf), threshold=0.1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.plans.chunks import seconds_of
+from fleetpulse.plans.scalars import value_of
 from fleetpulse.schemas import WINDOWS
 
 
@@ -55,13 +55,8 @@ def resolve_window(df: DataFrame, hour: str = "hour", ts: str = "timestamp") ->
 
 
 def first_days(df: DataFrame, days: int, ts: str = "timestamp") -> DataFrame:
-    """Rows before ``min(ts) + days``."""
-    start = df.agg(F.min(ts).alias("_start"))  # one row
-    return (
-        df.crossJoin(F.broadcast(start))
-        .where(F.col(ts) < F.col("_start") + F.make_dt_interval(F.lit(days)))
-        .drop("_start")
-    )
+    """Rows before ``min(ts) + days``. The bound is a literal, so the scan prunes by it."""
+    return df.where(F.col(ts) < value_of(df, F.min(ts) + F.make_dt_interval(F.lit(days))))
 
 
 def every_nth_hour(df: DataFrame, step: int = 4, ts: str = "timestamp") -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetpulse.plans.scalars import value_of
+
 
 def fleet_summary(df: DataFrame) -> DataFrame:
     """Rows, machines and anomaly ratio per type and for the whole fleet (type NULL)."""
@@ -52,17 +54,12 @@ def detection_vs_truth(detected: DataFrame, truth: DataFrame, tick: str = "tick"
 
 
 def latest_tick_metrics(df: DataFrame, tick: str = "tick") -> DataFrame:
-    """Anomaly count, average cpu and load, and true anomalies of the newest tick."""
-    last = df.agg(F.max(tick).alias("_last"))  # one row
-    return (
-        df.crossJoin(F.broadcast(last))
-        .where(F.col(tick) == F.col("_last"))
-        .agg(
-            F.sum(F.col("pred").cast("bigint")).alias("anomaly_count"),
-            F.avg("cpu").alias("avg_cpu"),
-            F.avg("load_avg").alias("avg_load"),
-            F.sum(F.col("label").cast("bigint")).alias("ground_truth"),
-        )
+    """Anomaly count, average cpu and load, and true anomalies of the newest tick, found first and filtered as a literal."""
+    return df.where(F.col(tick) == value_of(df, F.max(tick))).agg(
+        F.sum(F.col("pred").cast("bigint")).alias("anomaly_count"),
+        F.avg("cpu").alias("avg_cpu"),
+        F.avg("load_avg").alias("avg_load"),
+        F.sum(F.col("label").cast("bigint")).alias("ground_truth"),
     )
 
 

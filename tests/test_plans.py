@@ -1,7 +1,9 @@
 """Helpers that keep hot keys parallel, against brute force; and the plans themselves."""
 
+import datetime as dt
 import hashlib
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -10,9 +12,11 @@ from pyspark.sql import functions as F
 
 from fleetpulse import fixtures as fx
 from fleetpulse.operators import baselines as bl
-from fleetpulse.operators import evaluate, replay, rolling, sampling
+from fleetpulse.functions import timefeat
+from fleetpulse.operators import dashboard, evaluate, replay, rolling, sampling
 from fleetpulse.operators.zscore import zscore
 from fleetpulse.plans import chunks, prefix
+from fleetpulse.plans.scalars import value_of
 from fleetpulse.plans.tables import materialize
 from fleetpulse.schemas import METRICS
 
@@ -195,3 +199,22 @@ def test_point_adjust_of_ordinary_keys_shuffles_once(spark, sf):
     df = materialize(fx.readings(spark, sf).withColumn("pred", F.col("label")).withColumn("score", F.col("cpu")), "facts")
     plan = plan_of(evaluate.point_adjust(df))
     assert len([l for l in plan.splitlines() if "hashpartitioning(" in l]) == 1 and "Join" not in plan
+
+
+def pushed(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"PushedFilters: \[([^\]]*)\]", plan)
+
+
+def test_bounds_of_a_first_pass_reach_the_scan(spark, sf, tmp_path):
+    df = materialize(fx.readings(spark, sf).withColumn("pred", F.lit(1)), "readings")
+    early = timefeat.first_days(df, 5)
+    low = df.agg(F.min("timestamp")).first()[0]
+    want = [r["event_id"] for r in df.collect() if r["timestamp"] < low + dt.timedelta(days=5)]
+    assert sorted(r["event_id"] for r in early.collect()) == sorted(want) and 0 < len(want) < df.count()
+    assert any("LessThan(timestamp" in f for f in pushed(early))
+    newest = dashboard.latest_tick_metrics(df, "timestamp")
+    assert any("EqualTo(timestamp" in f for f in pushed(newest)) and newest.first()["anomaly_count"] == 1
+    none = dashboard.latest_tick_metrics(df.where("event_id < 0"), "timestamp").first()
+    assert none["anomaly_count"] is None and timefeat.first_days(df.where("event_id < 0"), 5).count() == 0
+    assert df.select(value_of(df, F.max("cpu")).alias("v")).first()["v"] == df.agg(F.max("cpu")).first()[0]
