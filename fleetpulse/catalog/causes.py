@@ -7,6 +7,7 @@ from fleetpulse.catalog.registry import query, r6
 from fleetpulse.functions.numbers import r6 as R
 from fleetpulse.operators import dashboard
 from fleetpulse.operators import rootcause as rc
+from fleetpulse.plans.tables import materialize
 
 DAY = ("day_anomalies", "topology")
 
@@ -104,6 +105,22 @@ def likely_root_causes(spark, sf):
     return out.withColumn("likely_root_causes", F.array_join("likely_root_causes", ","))
 
 
+@query(
+    "top_root_causes",
+    f"""WITH {_scored('day_anomalies')}, k AS (SELECT *, row_number() OVER (PARTITION BY tick ORDER BY root_cause_score DESC, machine) AS rank,
+CASE WHEN role = 'likely_root_cause' THEN row_number() OVER (PARTITION BY tick, role ORDER BY root_cause_score DESC, machine) END AS likely FROM sc),
+l AS (SELECT tick, coalesce(string_agg(CASE WHEN likely <= 2 THEN machine END, ',' ORDER BY likely), '') AS first_two FROM k GROUP BY tick)
+SELECT k.tick, machine, rank, {r6('root_cause_score')} AS root_cause_score, first_two FROM k JOIN l ON l.tick = k.tick WHERE rank <= 3""",
+    DAY,
+)
+def top_root_causes(spark, sf):
+    """The three strongest anomalies of each tick beside its first two likely root causes."""
+    scored = materialize(rc.score_root_causes(day(spark, sf), fx.topology(spark, sf)), "scored")
+    likely = rc.likely_root_causes(scored, k=2).select("tick", F.array_join("likely_root_causes", ",").alias("first_two"))
+    top = rc.top_root_causes(scored, 3).select("tick", "machine", F.col("rank").cast("bigint").alias("rank"), R("root_cause_score").alias("root_cause_score"))
+    return top.join(likely, "tick")
+
+
 @query(
     "tick_rule",
     f"""WITH {_scored('hour_anomalies')}, c AS (SELECT tick, count(*) AS n FROM hour_anomalies GROUP BY tick)

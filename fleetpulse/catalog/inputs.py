@@ -3,15 +3,17 @@
 from pyspark.sql import functions as F
 
 from fleetpulse import fixtures as fx
-from fleetpulse.catalog.registry import query, r6
+from fleetpulse.catalog.registry import baseline_ctes, query, r6
 from fleetpulse.catalog.streams import drained
 from fleetpulse.functions.numbers import r6 as R
+from fleetpulse.operators import baselines as bl
 from fleetpulse.operators import evaluate
 from fleetpulse.plans.tables import materialize, new_path
 from fleetpulse.schemas import METRICS, READING_SCHEMA
-from fleetpulse.sources import metrictext, store
+from fleetpulse.sources import documents, metrictext, store
 from fleetpulse.sources import readings as src
 
+_STATS = [f"{m}_{s}" for m in METRICS for s in ("mean", "std")]
 _COLUMNS = ", ".join(f.name for f in READING_SCHEMA.fields if f.name != "anomaly_type")
 
 
@@ -128,3 +130,25 @@ def saved_runs(spark, sf):
     runs = store.read_runs(spark, path)
     measure = lambda m: R(F.col("metrics")[m]).alias(m)
     return runs.select("run_id", measure("precision"), measure("recall"), F.col("features")[0].alias("feature"), F.col("params")["limit"].alias("limit"))
+
+
+_LEVELS = " UNION ALL ".join(
+    f"SELECT '{level}' AS level, {machine} AS machine, {kind} AS type, {window} AS \"window\", {', '.join(f'{r6(c)} AS {c}' for c in _STATS)} FROM {source}"
+    for level, machine, kind, window, source in (
+        ("machine+window", "machine", "NULL", '"window"', "b_mw"),
+        ("machine", "machine", "NULL", "NULL", "b_m"),
+        ("type", "NULL", "type", "NULL", "b_t"),
+        ("global", "NULL", "NULL", "NULL", "b_g"),
+    )
+)
+
+
+@query("read_baseline_document", f"WITH {baseline_ctes('windowed', METRICS)} {_LEVELS}", ["windowed"])
+def read_baseline_document(spark, sf):
+    """Baselines written as one keyed document and read back."""
+    readings = fx.windowed(spark, sf)
+    path = new_path(spark, "document")
+    text = documents.baseline_document(bl.build_baselines(readings, METRICS), bl.known_machines(readings), METRICS)
+    text.coalesce(1).write.text(path)
+    rows, _, order = documents.read_baseline_document(spark, path)
+    return rows.select("level", "machine", "type", "window", *[R(f"{m}_{s}").alias(f"{m}_{s}") for m in order for s in ("mean", "std")])

@@ -91,16 +91,35 @@ def stream_rolling(spark, sf):
     return out.select("event_id", "machine", *[R(n).alias(n) for n in rolling.rolling_names()])
 
 
+_CUT = "(SELECT min(timestamp) + (max(timestamp) - min(timestamp)) / 2 FROM readings)"
+
+
+@query("stream_rolling_seeded", f"SELECT * FROM (SELECT event_id, machine, timestamp, {_ROLL} FROM readings) WHERE timestamp >= {_CUT}".replace("SELECT *", "SELECT * EXCLUDE (timestamp)"))
+def stream_rolling_seeded(spark, sf):
+    """The later half of the readings as a stream whose state starts from the stored earlier half."""
+    events = fx.readings(spark, sf)
+    first, last = events.agg(F.min("timestamp").cast("timestamp").cast("double"), F.max("timestamp").cast("timestamp").cast("double")).first()
+    later = F.col("event_time").cast("double") >= F.lit(first + (last - first) / 2)
+    stored = materialize(windows.with_event_time(events).where(~later), "stored")
+    with history.rocksdb_state(spark):
+        out = drained(spark, history.rolling_stream(stream(spark, sf).where(later), stored=stored))
+    return out.select("event_id", "machine", *[R(n).alias(n) for n in rolling.rolling_names()])
+
+
+PARTS = 7  # micro-batches of the online baselines, enough for two merged files
 _STATS = ", ".join(f"{r6(f'{m}_{s}')} AS {m}_{s}" for m in METRICS for s in ("mean", "std"))
 
 
 @query("stream_online_baselines", f'WITH {baseline_ctes("windowed", METRICS)} SELECT machine, "window", n, {_STATS} FROM b_mw', ["windowed"])
 def stream_online_baselines(spark, sf):
     """Moments of every micro-batch, merged into current baselines."""
-    root = new_path(spark, "moments")
+    root, path = new_path(spark, "moments"), new_path(spark, "parts")
+    parts = materialize(fx.readings(spark, sf).withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(PARTS))), "dealt")
+    for i in range(PARTS):
+        parts.where(F.col("part") == i).coalesce(1).write.mode("append").parquet(path)
     query_ = (
-        stream(spark, sf)
-        .writeStream.foreachBatch(online.update_body(root, METRICS))
+        windows.stream_parquet(spark, path, parts.schema, 1)
+        .writeStream.foreachBatch(online.update_body(root, METRICS, fan=3))
         .option("checkpointLocation", new_path(spark, "offsets"))
         .trigger(availableNow=True)
         .start()

@@ -94,8 +94,20 @@ def rank_root_causes(scored: DataFrame, by: str = "tick", chunk_rows: int | None
     return rank_within(scored, [by], [F.desc("root_cause_score"), F.asc("machine")], "rank", chunk_rows)
 
 
-def likely_root_causes(scored: DataFrame, by: str = "tick") -> DataFrame:
-    """Per tick: number of anomalies and the machines that are likely root causes, best first."""
+def top_root_causes(scored: DataFrame, k: int, by: str = "tick") -> DataFrame:
+    """The first ``k`` rows of ``rank_root_causes`` per tick. Every task keeps ``k`` rows of a tick before they travel,
+    so a tick of any size costs ``k`` rows per task."""
+    order = f"row_number() OVER (PARTITION BY `{by}` ORDER BY root_cause_score DESC, machine)"
+    return scored.withColumn("rank", F.expr(order)).where(F.col("rank") <= k)
+
+
+def likely_root_causes(scored: DataFrame, by: str = "tick", k: int | None = None) -> DataFrame:
+    """Per tick: number of anomalies and the machines that are likely root causes, best first; with ``k`` at most so many."""
+    if k is not None:
+        best = top_root_causes(scored.where("role = 'likely_root_cause'"), k, by)
+        named = best.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "machine"))), lambda e: e["machine"]).alias("_named"))
+        counts = scored.groupBy(by).agg(F.count(F.lit(1)).alias("input_count")).join(named, by, "left")
+        return counts.select(by, "input_count", F.coalesce("_named", F.array().cast("array<string>")).alias("likely_root_causes"))
     likely = F.when(F.col("role") == "likely_root_cause", F.struct((-F.col("root_cause_score")).alias("s"), "machine"))
     return scored.groupBy(by).agg(
         F.count(F.lit(1)).alias("input_count"),

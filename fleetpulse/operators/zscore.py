@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.operators.baselines import LEVELS, with_keys
-from fleetpulse.plans.tables import BROADCAST_ROWS
+from fleetpulse.plans.tables import fits_broadcast
 from fleetpulse.schemas import Z_THRESHOLD
 
 
@@ -45,7 +45,7 @@ def attach_baselines(
     row = f"struct({', '.join(f'`{s}`' for s in stats)})"
     # One small row per level.
     sizes = {r["level"]: r["count"] for r in baselines.groupBy("level").count().collect()}
-    side = lambda table, *names: F.broadcast(table) if max(sizes.get(n, 0) for n in names) <= BROADCAST_ROWS else table
+    side = lambda table, *names: F.broadcast(table) if fits_broadcast(max(sizes.get(n, 0) for n in names), table.schema) else table
     df = with_keys(df)
     steps = []
     if "machine+window" in levels or "machine" in levels:

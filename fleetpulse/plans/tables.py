@@ -9,9 +9,13 @@ from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A broadcast side never exceeds this many rows (a few hundred bytes each).
+# A broadcast side never exceeds this many rows, nor this many bytes by the widths of its columns.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 128 << 20
+# Bytes counted for a value of a type of no fixed width, and elements of an array or a map.
+TEXT_BYTES, ELEMENTS = 40, 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,13 +60,28 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
+def width_of(kind: T.DataType) -> int:
+    """Bytes a value of a type is counted as."""
+    if isinstance(kind, T.StructType):
+        return 8 + sum(width_of(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return 8 + ELEMENTS * width_of(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return 8 + ELEMENTS * (width_of(kind.keyType) + width_of(kind.valueType))
+    return TEXT_BYTES if isinstance(kind, (T.StringType, T.BinaryType)) else 8
+
+
+def fits_broadcast(rows: int, schema: T.StructType, max_rows: int = BROADCAST_ROWS) -> bool:
+    return rows <= max_rows and rows * width_of(schema) <= BROADCAST_BYTES
+
+
 def broadcast_if_small(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when the written ``table`` is within the bound.
+    """Hint a broadcast only when the written ``table`` is within the bounds.
 
-    The count reads Parquet footers. Beyond the bound the join is left to Catalyst: a shuffle join
+    The count reads Parquet footers. Beyond the bounds the join is left to Catalyst: a shuffle join
     whose hot keys adaptive execution splits.
     """
-    return F.broadcast(table) if table.count() <= max_rows else table
+    return F.broadcast(table) if fits_broadcast(table.count(), table.schema, max_rows) else table
 
 
 def few_rows(df: DataFrame, max_rows: int = 1_000) -> DataFrame:

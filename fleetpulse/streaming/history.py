@@ -8,6 +8,7 @@ from contextlib import contextmanager
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -39,14 +40,21 @@ def output_schema(metrics: Sequence[str] = ROLLING_METRICS) -> T.StructType:
 
 
 class RollingHistory(StatefulProcessor):
-    """Keeps ``n - 1`` earlier readings per machine and emits the rolling features of each new one."""
+    """Keeps ``n - 1`` earlier readings per machine and emits the rolling features of each new one.
 
-    def __init__(self, metrics: Sequence[str] = ROLLING_METRICS, n: int = ROLLING_N):
-        self.metrics, self.n = list(metrics), n
+    State may start from stored readings, and that of a machine silent for ``ttl_ms`` is dropped.
+    """
+
+    def __init__(self, metrics: Sequence[str] = ROLLING_METRICS, n: int = ROLLING_N, ttl_ms: int | None = None):
+        self.metrics, self.n, self.ttl_ms = list(metrics), n, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         shape = T.StructType([T.StructField(m, T.DoubleType()) for m in self.metrics])
-        self.earlier = handle.getListState("earlier", shape)
+        self.earlier = handle.getListState("earlier", shape, self.ttl_ms)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        stored = initialState.sort_values(["event_time", "event_id"], kind="stable")[self.metrics].to_numpy(float)
+        self.earlier.put([tuple(map(float, r)) for r in stored[-(self.n - 1) :]])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # A micro-batch holds one trigger's rows of a machine; maxFilesPerTrigger bounds it.
@@ -68,12 +76,30 @@ class RollingHistory(StatefulProcessor):
         pass
 
 
-def rolling_stream(df: DataFrame, metrics: Sequence[str] = ROLLING_METRICS, n: int = ROLLING_N) -> DataFrame:
-    """Streaming counterpart of the batch rolling features; start it inside ``rocksdb_state``."""
+def last_readings(stored: DataFrame, n: int = ROLLING_N) -> DataFrame:
+    """The newest ``n - 1`` readings of every machine; no task sorts more than these of a machine once it has seen them."""
+    newest = "row_number() OVER (PARTITION BY machine ORDER BY event_time DESC, event_id DESC)"
+    return stored.withColumn("_back", F.expr(newest)).where(F.col("_back") < n).drop("_back")
+
+
+def rolling_stream(
+    df: DataFrame, metrics: Sequence[str] = ROLLING_METRICS, n: int = ROLLING_N, stored: DataFrame | None = None, ttl_ms: int | None = None
+) -> DataFrame:
+    """Streaming counterpart of the batch rolling features; start it inside ``rocksdb_state``.
+
+    ``stored`` (machine, event_time, event_id and the metrics) seeds the state when the stream first starts: the first streamed reading of a
+    machine then has a full window. ``ttl_ms`` bounds the state of machines that fell silent, by the clock; such a query never
+    runs out of batches, so it wants a processing-time trigger rather than ``availableNow``.
+    """
+    kept = ["machine", "event_time", "event_id", *metrics]
     return (
-        df.select("machine", "event_time", "event_id", *metrics)
+        df.select(*kept)
         .groupBy("machine")
         .transformWithStateInPandas(
-            RollingHistory(metrics, n), outputStructType=output_schema(metrics), outputMode="Append", timeMode="None"
+            RollingHistory(metrics, n, ttl_ms),
+            outputStructType=output_schema(metrics),
+            outputMode="Append",
+            timeMode="ProcessingTime" if ttl_ms else "None",
+            initialState=last_readings(stored.select(*kept), n).groupBy("machine") if stored is not None else None,
         )
     )

@@ -10,7 +10,7 @@ from fleetpulse.operators.classifier import CauseClassifier, p_of
 from fleetpulse.operators.iforest import IsolationForest, expected_path, flag_over
 from fleetpulse.operators.lof import LocalOutlierFactor
 from fleetpulse.operators.reconstruction import Reconstruction
-from fleetpulse.operators.rootcause import rank_root_causes
+from fleetpulse.operators.rootcause import likely_root_causes, rank_root_causes, top_root_causes
 from fleetpulse.plans.tables import materialize
 from fleetpulse.schemas import METRICS
 
@@ -258,3 +258,17 @@ def test_ranks_of_hot_ticks_match_the_window(spark):
     df = spark.range(200).selectExpr("id % 2 AS tick", "CAST(id AS STRING) AS machine", "CAST(id % 13 AS DOUBLE) AS root_cause_score")
     take = lambda n: {(r["tick"], r["machine"]): r["rank"] for r in rank_root_causes(df, chunk_rows=n).collect()}
     assert take(10) == take(None)
+
+
+def test_top_causes_are_the_first_ranks(spark):
+    df = spark.range(300).selectExpr(
+        "id % 3 AS tick", "CAST(id AS STRING) AS machine", "CAST(id % 13 AS DOUBLE) AS root_cause_score", "IF(id % 2 = 0, 'likely_root_cause', 'isolated') AS role"
+    )
+    want = {(r["tick"], r["machine"], r["rank"]) for r in rank_root_causes(df).where("rank <= 4").collect()}
+    top = top_root_causes(df, 4)
+    assert {(r["tick"], r["machine"], r["rank"]) for r in top.collect()} == want
+    assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+    whole = {r["tick"]: (r["input_count"], r["likely_root_causes"][:5]) for r in likely_root_causes(df).collect()}
+    assert {r["tick"]: (r["input_count"], r["likely_root_causes"]) for r in likely_root_causes(df, k=5).collect()} == whole
+    none = likely_root_causes(df.withColumn("role", F.lit("isolated")), k=5).first()
+    assert none["likely_root_causes"] == [] and none["input_count"] == 100

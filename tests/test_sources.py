@@ -9,7 +9,7 @@ from fleetpulse.operators import feedback as fb
 from fleetpulse.operators.zscore import z_threshold, zscore
 from fleetpulse.plans.tables import broadcast_if_small, few_rows, materialize, shared_dir
 from fleetpulse.schemas import METRICS, PREDICTION_SCHEMA, READING_SCHEMA
-from fleetpulse.sources import commits, metrictext
+from fleetpulse.sources import commits, documents, metrictext
 from fleetpulse.sources import readings as src
 from fleetpulse.sources import store
 from fleetpulse.streaming import windows
@@ -121,6 +121,27 @@ def test_restarted_text_feed_takes_every_snapshot_once(spark, tmp_path):
     assert sorted(r["machine"] for r in spark.read.parquet(out).collect()) == [f"m{i}" for i in range(7)]
 
 
+def test_baseline_document(spark, tmp_path):
+    doc = {
+        'we"b|1|night': {"cpu": [1.5, 0.5], "ram": [2, 1e-8]}, 'we"b|1': {"cpu": [1.0, 2.0], "ram": [3.0, 4.0], "__type__": "web"}, "db": {"cpu": [7.0, 1.0]},
+        "__type__web": {"cpu": [1, 1], "ram": [1, 1]}, "__global__": {"cpu": [5, 1.0], "ram": [6, 1.0]},
+        "__feature_order__": ["cpu", "ram"], "__windows__": ["night"], "__has_windows__": True,
+    }
+    (tmp_path / "b.json").write_text(json.dumps(doc, indent=2))
+    rows, machines, order = documents.read_baseline_document(spark, str(tmp_path / "b.json"))
+    assert order == ["cpu", "ram"] and {tuple(r) for r in machines.collect()} == {('we"b|1', "web"), ("db", None)}
+    got = {(r["level"], r["machine"], r["type"], r["window"]): (r["cpu_mean"], r["cpu_std"], r["ram_mean"], r["ram_std"]) for r in rows.collect()}
+    assert got == {
+        ("machine+window", 'we"b|1', None, "night"): (1.5, 0.5, 2.0, 1e-8), ("machine", 'we"b|1', None, None): (1.0, 2.0, 3.0, 4.0),
+        ("machine", "db", None, None): (7.0, 1.0, None, None), ("type", None, "web", None): (1.0, 1.0, 1.0, 1.0), ("global", None, None, None): (5.0, 1.0, 6.0, 1.0),
+    }
+    text = documents.baseline_document(rows, machines, order).first()["value"]
+    assert json.loads(text) == {**doc, "__windows__": ["night", "morning", "afternoon", "evening"]}
+    readings = spark.createDataFrame([("db", "db", "night", 9.0, 8.0)], "machine string, type string, window string, cpu double, ram double")
+    z = zscore(readings, materialize(rows), order).first()
+    assert (z["z_cpu"], z["z_ram"], z["baseline_used"]) == (2.0, 2.0, "machine")
+
+
 def test_graph_document(spark, tmp_path):
     doc = {"depends_on": {"web-01": "router-01", "db-01": "router-02"}, "routers": ["router-01", "router-02"], "downstream_of": {"router-01": ["web-01"]}}
     (tmp_path / "graph.json").write_text(json.dumps(doc, indent=2))

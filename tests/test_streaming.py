@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from fleetpulse import fixtures as fx
@@ -61,18 +63,102 @@ def test_repeats_in_later_batches_are_dropped(spark, sf, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 100
 
 
-def test_online_baselines_over_batches(spark, sf, tmp_path):
+def parts_of(df, n):
+    return [df.where(F.col("event_id") % n == i) for i in range(n)]
+
+
+def rows_by_key(df):
+    return {(r["machine"], r["window"]): r for r in df.collect()}
+
+
+def test_online_baselines_merge_by_levels_and_equal_one_shot(spark, sf, tmp_path):
+    root, metrics = str(tmp_path / "moments"), ["cpu", "ram"]
     df = fx.readings(spark, sf)
-    path = in_files(df, str(tmp_path / "in"), 3)
-    source = windows.stream_parquet(spark, path, df.schema, 1)
-    body = online.update_body(str(tmp_path / "moments"), ["cpu"])
-    source.writeStream.foreachBatch(body).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    got = {(r["machine"], r["window"]): r for r in online.current_baselines(spark, str(tmp_path / "moments"), ["cpu"]).collect()}
-    want = bl.build_baselines(fx.windowed(spark, sf), ["cpu"], levels=("machine+window",)).collect()
+    body = online.update_body(root, metrics, name="q", fan=3)
+    for i, part in enumerate(parts_of(df, 14)):
+        body(part, i)
+        body(part, i)  # a retry adds nothing
+    (version, entries), = online.snapshots(spark, root).values()
+    assert version == 14 and [(e.level, e.first, e.last) for e in entries] == [(2, 0, 8), (1, 9, 11), (0, 12, 12), (0, 13, 13)]
+    got = rows_by_key(online.current_baselines(spark, root, metrics))
+    want = bl.build_baselines(fx.windowed(spark, sf), metrics, levels=("machine+window",)).collect()
     assert len(got) == len(want)
     for r in want:
         g = got[(r["machine"], r["window"])]
-        assert g["n"] == r["n"] and abs(g["cpu_mean"] - r["cpu_mean"]) < 1e-9 and abs(g["cpu_std"] - r["cpu_std"]) < 1e-9
+        assert g["n"] == r["n"] and all(abs(g[f"{m}_{s}"] - r[f"{m}_{s}"]) < 1e-9 for m in metrics for s in ("mean", "std"))
+    # A second query adds its batches beside the first; a batch without rows changes nothing.
+    other = online.update_body(root, metrics, name="other", fan=3)
+    other(df, 0)
+    other(df.limit(0), 1)
+    doubled = rows_by_key(online.current_baselines(spark, root, metrics))
+    assert all(doubled[k]["n"] == 2 * got[k]["n"] and abs(doubled[k]["cpu_std"] - got[k]["cpu_std"]) < 1e-9 for k in got)
+
+
+def test_a_failed_update_leaves_the_last_snapshot(spark, sf, tmp_path, monkeypatch):
+    root = str(tmp_path / "moments")
+    df = fx.readings(spark, sf)
+    body = online.update_body(root, ["cpu"], name="q", fan=2)
+    body(df.where("event_id % 2 = 0"), 0)
+    before = rows_by_key(online.current_baselines(spark, root, ["cpu"]))
+    monkeypatch.setattr(online, "merged", lambda *a: 1 / 0)
+    try:
+        body(df.where("event_id % 2 = 1"), 1)
+    except ZeroDivisionError:
+        pass
+    monkeypatch.undo()
+    assert rows_by_key(online.current_baselines(spark, root, ["cpu"])) == before
+    body(df.where("event_id % 2 = 1"), 1)
+    assert sum(r["n"] for r in online.current_baselines(spark, root, ["cpu"]).collect()) == df.count()
+
+
+def test_faded_baselines_equal_weighted_moments(spark, tmp_path):
+    root = str(tmp_path / "moments")
+    make = lambda day, values: spark.createDataFrame([(f"2026-01-{day:02d} 12:00:00", "m", "web", v) for v in values], "ts string, machine string, type string, cpu double").withColumn("timestamp", F.to_timestamp_ntz("ts"))
+    days = {1: [1.0, 3.0], 2: [10.0], 4: [4.0, 6.0, 8.0]}
+    body = online.update_body(root, ["cpu"], name="q", half_life=86400.0, fan=2)
+    for i, (day, values) in enumerate(days.items()):
+        body(make(day, values), i)
+    got = online.current_baselines(spark, root, ["cpu"], half_life=86400.0).first()
+    pairs = [(v, 0.5 ** (4 - day)) for day, values in days.items() for v in values]
+    total = sum(w for _, w in pairs)
+    mean = sum(v * w for v, w in pairs) / total
+    std = (sum(w * (v - mean) ** 2 for v, w in pairs) / total) ** 0.5
+    assert abs(got["n"] - total) < 1e-9 and abs(got["cpu_mean"] - mean) < 1e-9 and abs(got["cpu_std"] - std) < 1e-9
+
+
+def test_seeded_history_gives_the_first_reading_a_full_window(spark, sf, tmp_path):
+    df = windows.with_event_time(fx.readings(spark, sf).where("event_id < 600"))
+    cut = sorted(r[0] for r in df.select("event_time").collect())[300]
+    stored, later = df.where(F.col("event_time") < F.lit(cut)), df.where(F.col("event_time") >= F.lit(cut))
+    path = in_files(later, str(tmp_path / "in"), 3)
+    source = windows.stream_parquet(spark, path, later.schema, 1)
+    with history.rocksdb_state(spark):
+        windows.run_available(history.rolling_stream(source, stored=stored), str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = {r["event_id"]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {r["event_id"]: r for r in rolling.add_rolling(fx.readings(spark, sf).where("event_id < 600")).collect() if r["event_id"] in got}
+    assert len(got) == later.count()
+    assert all(abs(want[i][n] - got[i][n]) < 1e-7 for i in got for n in rolling.rolling_names())
+
+
+def test_state_of_silent_machines_expires(spark, tmp_path):
+    row = lambda i: spark.createDataFrame([("m", f"2026-01-01 00:00:{i:02d}", i, 10.0 + i, 1.0, 1.0)], "machine string, ts string, event_id long, cpu double, ram double, load_avg double").withColumn("event_time", F.to_timestamp("ts")).drop("ts")
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    row(0).coalesce(1).write.mode("append").parquet(path)
+    source = windows.stream_parquet(spark, path, row(0).schema, 1)
+    found = lambda: {r["event_id"]: r["cpu_rolling_mean"] for r in spark.read.schema(history.output_schema()).parquet(out).collect()}
+    with history.rocksdb_state(spark):
+        query = history.rolling_stream(source, ttl_ms=4000).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+        try:
+            for i in (0, 1):
+                if i:
+                    time.sleep(6)
+                    row(1).coalesce(1).write.mode("append").parquet(path)
+                until = time.time() + 90
+                while not ((tmp_path / "out" / "_spark_metadata").exists() and i in found()) and time.time() < until:
+                    time.sleep(0.5)
+        finally:
+            query.stop()
+    assert found() == {0: 10.0, 1: 11.0}  # the first reading was forgotten
 
 
 FLEET = ("web-01", "web-02", "router-01")
