@@ -1,15 +1,16 @@
 """Phrase collocations by Toivonen's sampling: propose on a sample, count exactly on everything, expand until closed.
 
-A phrase can only be frequent if the phrases without its first and without its last word are. Phrases that are frequent in a
-sample, at a lowered threshold, are the generators; the full pass counts exactly every phrase whose two parts are generators,
-that is the proposed phrases and their negative border. A border phrase that turns out to be frequent is a failure: it
+A phrase can only be frequent if the phrases without its first and without its last word are. Words are counted first. Phrases
+of frequent words that are frequent in a sample, at a lowered threshold, are proposed; the full pass counts exactly every
+phrase whose two parts are frequent words or proposed, that is the proposed phrases and their negative border, first by a
+short key that can only count too much, and by the words themselves where that reaches the threshold. A border phrase that turns out to be frequent is a failure: it
 becomes a generator and a further pass counts what is newly in reach, until no pass finds a failure. Generators reach
 the tasks as a filter of fixed size that only ever lets too many phrases be counted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,10 @@ UNKNOWN = "und"
 # Every SAMPLE-th document by hash; a phrase is proposed at SLACK of the share of LEAST that falls to the sample.
 SAMPLE = 8
 SLACK = 0.6
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 CHUNK = 1 << 20
 RANKS = 21  # a chunk has fewer than 2 ** RANKS words
+KEY_BITS = 40
 RUNS = 64
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -48,23 +50,24 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 
 def phrase_keys(columns: list[np.ndarray]) -> np.ndarray:
-    """Hash of each phrase given as columns of word numbers, 0 where it has ended."""
+    """Hash of each phrase given as columns of word numbers, below its length: phrases of different lengths never share one."""
     key = np.zeros(len(columns[0]), dtype=np.uint64)
     for column in columns:
-        word = column.astype(np.int64).view(np.uint64)
-        key = np.where(word == 0, key, mixed(key * BASE + word))
-    return key.view(np.int64)
+        key = mixed(key * BASE + column)
+    return ((key >> np.uint64(64 - KEY_BITS)) | np.uint64(len(columns) << KEY_BITS)).view(np.int64)
 
 
 class Tokens:
     """Words of a stream of texts as 64-bit numbers that hold for one language, with piece and language of each."""
 
     def __init__(self):
-        powers = np.full(SEGMENT, BASE, dtype=np.uint64)
-        self.powers = np.cumprod(powers)
-        self.inverse = np.cumprod(np.full(SEGMENT, np.uint64(pow(int(BASE), -1, 1 << 64)), dtype=np.uint64))
+        self.grow(SEGMENT)
         self.langs, self.names, self.piece = {}, [], 0
 
+    def grow(self, size: int) -> None:
+        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+        self.powers, self.inverse = (np.cumprod(np.full(size, x, dtype=np.uint64)) for x in (BASE, inverse))
+
     def lang(self, name: str) -> int:
         if name not in self.langs:
             self.langs[name] = len(self.names)
@@ -74,7 +77,7 @@ class Tokens:
     def lang_hash(self) -> np.ndarray:
         return np.array([xxhash.xxh3_64_intdigest(x.encode(), 5) | 1 for x in self.names], dtype=np.uint64)
 
-    def segments(self, texts: list[bytes], langs: list[str]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+    def segments(self, texts: Iterable[bytes], langs: Iterable[str]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
         """(bytes, starts of documents, their languages) of about SEGMENT bytes; texts are only cut where a word starts or ends."""
         parts, at, starts, kinds = [], 0, [], []
         for text, name in zip(texts, langs):
@@ -112,29 +115,27 @@ class Tokens:
         pieces = self.piece + upto[begin]
         self.piece += int(upto[-1])
         lang = kinds[np.searchsorted(starts, begin, "right") - 1]
-        if len(codes) <= SEGMENT:
-            sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * self.powers[: len(codes)])])
-            number = (sums[end] - sums[begin]) * self.inverse[begin]
-        else:  # holds a word longer than a segment
-            number = np.array([xxhash.xxh3_64_intdigest(segment[a:b]) for a, b in zip(begin.tolist(), end.tolist())], dtype=np.uint64)
+        if len(codes) > len(self.powers):  # holds a word longer than a segment
+            self.grow(len(codes))
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * self.powers[: len(codes)])])
+        number = (sums[end] - sums[begin]) * self.inverse[begin]
         seed = self.lang_hash()[lang] if len(begin) else np.zeros(0, dtype=np.uint64)
         number = mixed(mixed(number + (end - begin).astype(np.uint64)) * BASE + seed)
         return np.where(number == 0, np.uint64(1), number), pieces, lang, begin, end
 
 
 def reachable(
-    words: np.ndarray, pieces: np.ndarray, owned: int, now: np.ndarray | None, before: np.ndarray | None, widest: int
-) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """(word columns, times) of the phrases that start before ``owned`` and come into reach with the filter ``now``.
+    words: np.ndarray, pieces: np.ndarray, owned: int, now: np.ndarray, before: np.ndarray | None, widest: int, again: np.ndarray | None = None
+) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """(word columns, keys, times) of the phrases that start before ``owned`` and come into reach with the filter ``now``.
 
-    A phrase is in reach of a filter if both its parts are in reach and may be held by it; single words always are. Phrases in
-    reach of ``before`` were counted by an earlier pass. Without ``now`` only single words are counted.
+    A phrase of two words or more is in reach of a filter if both its parts are in reach and may be held by it; single words
+    always are. Phrases in reach of ``before`` were counted by an earlier pass and are only given if ``again`` may hold them.
     """
-    holds = lambda held, columns: np.zeros(len(columns[0]), dtype=bool) if held is None else keyfilter.may_hold(held, phrase_keys(columns))
-    unique, first, rank = np.unique(words, return_index=True, return_inverse=True)
-    if before is None:
-        yield [unique], np.bincount(rank[:owned], minlength=len(unique))
-    new, old = holds(now, [unique])[rank], holds(before, [unique])[rank]
+    holds = lambda held, keys: np.zeros(len(keys), dtype=bool) if held is None else keyfilter.may_hold(held, keys)
+    unique, rank = np.unique(words, return_inverse=True)
+    keys = phrase_keys([unique])
+    new, old = holds(now, keys)[rank], holds(before, keys)[rank]
     word_rank, phrase_rank = rank.astype(np.int64), rank.astype(np.int64)
     for n in range(2, widest + 1):
         if len(words) < n:
@@ -144,21 +145,16 @@ def reachable(
         at = np.flatnonzero(both)
         unique, first, rank = np.unique((phrase_rank[at] << RANKS) | word_rank[at + n - 1], return_index=True, return_inverse=True)
         columns = [words[at[first] + j] for j in range(n)]
+        keys = phrase_keys(columns)
+        held = holds(now, keys)
         times = np.bincount(rank[at < owned], minlength=len(unique))
-        fresh = ~counted[at[first]]
-        yield [c[fresh] for c in columns], times[fresh]
+        given = (times > 0) & (~counted[at[first]] | holds(again, keys))
+        yield [c[given] for c in columns], keys[given], times[given]
         phrase_rank = np.zeros(len(both), dtype=np.int64)
         phrase_rank[at] = rank
         new, old = np.zeros(len(both), dtype=bool), np.zeros(len(both), dtype=bool)
-        new[at] = holds(now, columns)[rank]
-        old[at] = holds(before, columns)[rank] & counted[at]
-
-
-def phrase_batch(columns: list[np.ndarray], times: np.ndarray) -> pa.RecordBatch:
-    seen = times > 0
-    filled = [c[seen].view(np.int64) for c in columns]
-    filled += [np.zeros(int(seen.sum()), dtype=np.int64)] * (WIDEST - len(filled))
-    return pa.RecordBatch.from_arrays([*map(pa.array, filled), pa.array(times[seen])], [*WORDS, "times"])
+        new[at] = held[rank]
+        old[at] = holds(before, keys)[rank] & counted[at]
 
 
 def texts_of(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -166,82 +162,132 @@ def texts_of(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return docs.select(text.alias("_text"), F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("_lang"))
 
 
-def raw_texts(batch: pa.RecordBatch) -> tuple[list[bytes], list[str]]:
-    return [x.as_buffer().to_pybytes() for x in batch.column(0)], batch.column(1).to_pylist()
+def raw_texts(batch: pa.RecordBatch) -> tuple[Iterator[bytes], list[str]]:
+    return (x.as_buffer().to_pybytes() for x in batch.column(0)), batch.column(1).to_pylist()
 
 
-def count_phrases(texts: DataFrame, now: Broadcast | None, before: Broadcast | None, widest: int) -> DataFrame:
-    """(w1 .. w4, times): exact counts over all texts of the phrases that come into reach with ``now``."""
+def in_chunks(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
+    """``work`` (words, pieces, owned) over chunks of words; the last words of a chunk go on to the next one, which counts the
+    phrases that start with them."""
+    tokens, chunk, size = Tokens(), [], 0
+    for batch in batches:
+        for segment in tokens.segments(*raw_texts(batch)):
+            chunk.append(tokens.words(*segment)[:2])
+            size += len(chunk[-1][0])
+            if size >= CHUNK:
+                words, pieces = (np.concatenate(x) for x in zip(*chunk))
+                owned = max(0, size - WIDEST + 1)
+                chunk, size = [(words[owned:], pieces[owned:])], size - owned
+                yield from work(words, pieces, owned)
+    if size:
+        yield from work(*(np.concatenate(x) for x in zip(*chunk)), size)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, held = Tokens(), [x.value if x else None for x in (now, before)]
-        chunk, size = [], 0
-
-        def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            # The last words go on to the next chunk, where phrases that start with them are counted.
-            nonlocal chunk, size
-            words, pieces = (np.concatenate(x) for x in zip(*chunk))
-            owned = len(words) if last else max(0, len(words) - WIDEST + 1)
-            for columns, times in reachable(words, pieces, owned, *held, widest):
-                yield phrase_batch(columns, times)
-            chunk, size = [(words[owned:], pieces[owned:])], len(words) - owned
 
+def count_words(texts: DataFrame) -> DataFrame:
+    """(w1 .. w4, lang, times) of all words; w2 to w4 are 0, lang is the hash of the language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
         for batch in batches:
+            chunk = [[np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]]
             for segment in tokens.segments(*raw_texts(batch)):
-                chunk.append(tokens.words(*segment)[:2])
-                size += len(chunk[-1][0])
-                if size >= CHUNK:
-                    yield from flush(False)
-        if size:
-            yield from flush(True)
+                number, _, lang, _, _ = tokens.words(*segment)
+                chunk[0].append(number)
+                chunk[1].append(lang)
+            unique, first, times = np.unique(np.concatenate(chunk[0]), return_index=True, return_counts=True)
+            hashed = tokens.lang_hash()[np.concatenate(chunk[1])[first]] if len(unique) else unique
+            yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(hashed.view(np.int64)), pa.array(times)], ["w1", "lang", "times"])
+
+    rows = texts.mapInArrow(run, "w1 bigint, lang bigint, times bigint")
+    counted = rows.groupBy("w1").agg(F.min("lang").alias("lang"), F.sum("times").alias("times"))
+    return counted.select("w1", *[F.lit(0).cast("bigint").alias(w) for w in WORDS[1:]], "lang", "times")
+
+
+def count_keys(texts: DataFrame, now: Broadcast, before: Broadcast | None, widest: int) -> DataFrame:
+    """(key, times) of the phrases that come into reach with ``now``: never less than the occurrences of a phrase, and more
+    only where keys of two phrases meet. A row is a third of the phrase itself."""
+
+    def work(words: np.ndarray, pieces: np.ndarray, owned: int) -> Iterator[pa.RecordBatch]:
+        for _, keys, times in reachable(words, pieces, owned, now.value, before.value if before else None, widest):
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(times)], ["key", "times"])
+
+    return texts.mapInArrow(lambda batches: in_chunks(batches, work), "key bigint, times bigint").groupBy("key").agg(F.sum("times").alias("times"))
+
+
+def count_exactly(texts: DataFrame, now: Broadcast, before: Broadcast, again: Broadcast | None, widest: int) -> DataFrame:
+    """(key, w1 .. w4, times): occurrences of the phrases that ``again`` may hold or that come into reach with ``now``, told apart
+    by their words."""
 
-    rows = texts.mapInArrow(run, ", ".join(f"{w} bigint" for w in [*WORDS, "times"]))
-    return rows.groupBy(*WORDS).agg(F.sum("times").alias("times"))
+    def work(words: np.ndarray, pieces: np.ndarray, owned: int) -> Iterator[pa.RecordBatch]:
+        for columns, keys, times in reachable(words, pieces, owned, now.value, before.value, widest, again.value if again else None):
+            filled = [c.view(np.int64) for c in columns] + [np.zeros(len(times), dtype=np.int64)] * (WIDEST - len(columns))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, filled), pa.array(times)], ["key", *WORDS, "times"])
 
+    rows = texts.mapInArrow(lambda batches: in_chunks(batches, work), ", ".join(f"{w} bigint" for w in ["key", *WORDS, "times"]))
+    return rows.groupBy(*WORDS).agg(F.first("key").alias("key"), F.sum("times").alias("times"))
 
-def filter_of(phrases: DataFrame) -> Broadcast:
-    """Filter over phrases of up to WIDEST - 1 words."""
 
+def word_keys(words: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(phrase_keys([c.to_numpy(zero_copy_only=False) for c in batch.columns]))], ["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(phrase_keys([batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)]))], ["key"])
 
-    return keyfilter.fit(phrases.where("w4 = 0").select(*WORDS).mapInArrow(run, "key bigint"))
+    return words.select("w1").mapInArrow(run, "key bigint")
 
 
-def failures(frequent: DataFrame, held: Broadcast | None) -> DataFrame:
-    """Frequent phrases of up to WIDEST - 1 words that are no generators yet."""
+def failures(frequent: DataFrame, held: Broadcast) -> DataFrame:
+    """Frequent keys that are no generators yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            strange = np.ones(len(batch), dtype=bool) if held is None else ~keyfilter.may_hold(held.value, phrase_keys(columns))
-            yield batch.filter(pa.array(strange))
+            yield batch.filter(pa.array(~keyfilter.may_hold(held.value, batch.column(0).to_numpy(zero_copy_only=False))))
 
-    return frequent.where("w4 = 0").select(*WORDS).mapInArrow(run, ", ".join(f"{w} bigint" for w in WORDS))
+    return frequent.mapInArrow(run, "key bigint")
 
 
-def mine(texts: DataFrame, least: int, proposed: DataFrame | None, widest: int, tag: str) -> DataFrame:
-    """(w1 .. w4, times) of all phrases of up to ``widest`` words that occur ``least`` times; w1 is never 0.
+def new_generators(frequent: DataFrame, now: Broadcast, widest: int, tag: str) -> DataFrame:
+    """Written keys of the border failures of a pass: frequent phrases that can be parts of others and were no generators."""
+    return materialize(failures(frequent.select("key").where(F.shiftright("key", KEY_BITS) < widest), now), f"{tag}-failures")
 
-    Starts from the proposed generators and adds border failures until a pass finds none.
-    """
-    before, now, generators, found = None, None, proposed, None
-    if proposed is not None:
-        now = filter_of(proposed)
+
+def propose(sample: DataFrame, least: int, words: DataFrame, tag: str = "proposed") -> DataFrame:
+    """Keys of the phrases of up to WIDEST - 1 words that the sample proposes, level by level from the given words."""
+    widest, before, now, generators = WIDEST - 1, None, keyfilter.fit(words), words
     while True:
-        frequent = materialize(count_phrases(texts, now, before, widest).where(F.col("times") >= least), tag)
-        found = frequent if found is None else found.unionByName(frequent)
-        failed = frequent.where("FALSE") if widest == 1 else failures(frequent.where(f"w{widest} = 0"), now)
-        failed = materialize(failed.select(*WORDS), f"{tag}-failures")
+        frequent = materialize(count_keys(sample, now, before, widest).where(F.col("times") >= least).select("key"), tag)
+        failed = new_generators(frequent, now, widest, tag)
+        generators = generators.unionByName(frequent)
         if before:
-            before.unpersist()
-        # An absent filter means that words were not counted yet; an empty one that nothing else was in reach.
-        before = now or filter_of(frequent.where("FALSE"))
+            before.destroy()
+        if failed.isEmpty():
+            now.destroy()
+            return generators
+        before, now = now, keyfilter.fit(generators)
+
+
+def mine(texts: DataFrame, least: int, generators: DataFrame, tag: str = "phrases") -> DataFrame:
+    """(w1 .. w4, times) of all phrases of 2 to WIDEST words that occur ``least`` times.
+
+    The first full pass counts keys of what the generators reach. The second counts exactly what reached the threshold, and
+    with it what the failures of the first bring into reach; further passes only count that, until one finds no failure.
+    """
+    start = keyfilter.fit(generators)
+    frequent = materialize(count_keys(texts, start, None, WIDEST).where(F.col("times") >= least).select("key"), tag)
+    again, before, found = keyfilter.fit(frequent), start, None
+    failed = new_generators(frequent, start, WIDEST, tag)
+    while True:
+        generators = generators.unionByName(failed)
+        now = keyfilter.fit(generators)
+        exact = materialize(count_exactly(texts, now, before, again, WIDEST).where(F.col("times") >= least), tag)
+        found = exact if found is None else found.unionByName(exact)
+        failed = new_generators(exact, now, WIDEST, tag)
+        before.destroy()
+        if again:
+            again.destroy()
         if failed.isEmpty():
-            return found
-        generators = failed if generators is None else generators.select(*WORDS).unionByName(failed)
-        now = filter_of(generators)
+            now.destroy()
+            return found.drop("key")
+        before, again = now, None
 
 
 def part(first: int, last: int) -> list[Column]:
@@ -320,22 +366,25 @@ def collocations(
     texts = texts_of(docs, text_col, lang_col)
     drawn = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(sample)) == 0)
     lowered = max(2, int(SLACK * least / sample))
-    proposed = mine(texts_of(drawn, text_col, lang_col), lowered, None, WIDEST - 1, "proposed") if sample > 1 else None
-    counts = mine(texts, least, proposed, WIDEST, "phrases")
+    words = materialize(count_words(texts).where(F.col("times") >= least), "frequent-words")
+    generators = materialize(word_keys(words), "word-keys")
+    if sample > 1:
+        generators = propose(texts_of(drawn, text_col, lang_col), lowered, generators)
+    counts = words.drop("lang").unionByName(mine(texts, least, generators))
     kept = materialize(scored(counts), "scored")
-    used = kept.select(F.explode(F.array(*WORDS)).alias("w")).where("w != 0").distinct()
-    wanted = keyfilter.fit(used)
-    names = materialize(word_names(texts, wanted), "names")
-    wanted.unpersist()
-    totals = names.where("w IS NULL").groupBy("lang").agg(F.sum("words").alias("n"))
-    words = materialize(names.where("w IS NOT NULL").groupBy("w").agg(F.min("lang").alias("lang"), F.min("word").cast("string").alias("word")), "words")
     dealt = kept.withColumn("_run", F.pmod(F.xxhash64(*WORDS), F.lit(RUNS)).cast("int"))
-    spoken = attach(dealt, words.select(F.col("w").alias("w1"), "lang"), ["w1"])
+    spoken = attach(dealt, words.select("w1", F.col("lang").alias("_lang")), ["w1"])
     # Ties of score and occurrences at the last place stay until the phrases are spelled.
-    strong = spoken.withColumn("place", F.expr("rank() OVER (PARTITION BY lang ORDER BY score DESC, a DESC)")).where(F.col("place") <= top)
-    strong = materialize(strong.drop("place", "_run"), "strong")
+    strong = spoken.withColumn("place", F.expr("rank() OVER (PARTITION BY _lang ORDER BY score DESC, a DESC)")).where(F.col("place") <= top)
+    strong = materialize(strong.drop("place", "_run", "_lang"), "strong")
+    wanted = keyfilter.fit(strong.select(F.explode(F.array(*WORDS)).alias("w")).where("w != 0").distinct())
+    names = materialize(word_names(texts, wanted), "names")
+    wanted.destroy()
+    totals = names.where("w IS NULL").groupBy("lang").agg(F.sum("words").alias("n"))
+    spelling = materialize(names.where("w IS NOT NULL").groupBy("w").agg(F.min("lang").alias("lang"), F.min("word").cast("string").alias("word")), "spelling")
+    strong = strong.join(spelling.select(F.col("w").alias("w1"), "lang"), "w1")
     for w in WORDS:
-        spelled = words.select(F.col("w").alias(w), F.col("word").alias(f"_{w}"))
+        spelled = spelling.select(F.col("w").alias(w), F.col("word").alias(f"_{w}"))
         strong = strong.join(spelled, w, "left")
     phrase = F.concat_ws(" ", *[f"_{w}" for w in WORDS]).alias("phrase")
     rows = strong.select("lang", phrase, "a", "l", "r", "score").join(totals, "lang")

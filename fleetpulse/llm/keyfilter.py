@@ -22,7 +22,9 @@ SLICES = 64
 
 def places(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
     """PROBES bit numbers of each hashed key."""
-    mixed = keys.astype(np.int64).view(np.uint64)
+    mixed = keys.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    mixed ^= mixed >> np.uint64(29)
     step = (mixed >> np.uint64(32)) | np.uint64(1)
     for i in range(PROBES):
         yield (mixed + np.uint64(i) * step) % np.uint64(bits)

@@ -73,12 +73,13 @@ def test_border_failures_add_passes_until_closed(spark, monkeypatch):
     rows = [(i, "alpha beta gamma delta" if i % 4 else "other words here", "en") for i in range(80)]
     table = spark.createDataFrame(rows, SCHEMA)
     passes = []
-    count = collocations.count_phrases
-    monkeypatch.setattr(collocations, "count_phrases", lambda *a: passes.append(a[1] is not None) or count(*a))
+    for name in ("count_keys", "count_exactly"):
+        count = getattr(collocations, name)
+        monkeypatch.setattr(collocations, name, lambda *a, name=name, count=count: passes.append(name) or count(*a))
     got = found(table, sample=10**9)  # nothing is drawn, nothing proposed
     assert got == brute([r[1:] for r in rows]) and len(got) > 0
-    # the empty sample, the full pass with an empty filter, then one pass each for pairs, triples and quadruples
-    assert len(passes) == 5
+    # the empty sample, the full pass (pairs), then one pass each for triples (pairs again, exactly) and quadruples
+    assert passes == ["count_keys"] * 2 + ["count_exactly"] * 2
 
 
 def test_chunks_and_segments_lose_and_repeat_nothing(spark, monkeypatch):
@@ -94,19 +95,34 @@ def test_chunks_and_segments_lose_and_repeat_nothing(spark, monkeypatch):
     spelled = [s[0][b:e] for s, c in zip(segments, cut) for b, e in zip(c[3], c[4])]
     assert spelled == [w.encode() for t in texts for p in pieces(t) for w in p]
     assert np.concatenate([c[1] for c in cut]).tolist() == whole[1].tolist()
-    pairs = lambda n, p, owned: {}
+    assert np.concatenate([c[0] for c in cut]).tolist() == whole[0].tolist()  # also beside words longer than a segment
     counts = Counter()
     kept, left = np.concatenate([c[0] for c in cut]), np.concatenate([c[1] for c in cut])
     every = np.full(1 << 10, 255, dtype=np.uint8)
     total = Counter()
-    for columns, times in collocations.reachable(kept, left, len(kept), every, None, 4):
+    for columns, keys, times in collocations.reachable(kept, left, len(kept), every, None, 4):
+        assert len(set(keys.tolist())) == len(keys)
         total.update(dict(zip(zip(*columns), times.tolist())))
     for start in range(0, len(kept), 50):
         stop = min(len(kept), start + 53)
         owned = 50 if start + 50 < len(kept) else stop - start
-        for columns, times in collocations.reachable(kept[start:stop], left[start:stop], owned, every, None, 4):
-            counts.update({k: v for k, v in zip(zip(*columns), times.tolist()) if v})
-    assert counts == total and pairs(0, 0, 0) == {}
+        for columns, _, times in collocations.reachable(kept[start:stop], left[start:stop], owned, every, None, 4):
+            counts.update(dict(zip(zip(*columns), times.tolist())))
+    assert counts == total
+
+
+def test_keys_that_meet_never_count_too_little(monkeypatch):
+    monkeypatch.setattr(collocations, "KEY_BITS", 4)  # 16 keys for all phrases of a length
+    rng = np.random.default_rng(2)
+    words, pieces = rng.integers(1, 12, 3000).astype(np.uint64), np.sort(rng.integers(0, 300, 3000))
+    every = np.full(1 << 10, 255, dtype=np.uint8)
+    by_key, exact = Counter(), []
+    for columns, keys, times in collocations.reachable(words, pieces, len(words), every, None, 4):
+        for key, n in zip(keys.tolist(), times.tolist()):
+            by_key[key] += n
+        exact += list(zip(keys.tolist(), times.tolist()))
+        assert {k >> 4 for k in keys.tolist()} == {len(columns)}
+    assert len(by_key) <= 48 and all(by_key[k] >= n for k, n in exact)
 
 
 def test_counts_are_exact_beyond_64_bit_products(spark):
