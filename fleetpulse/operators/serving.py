@@ -163,7 +163,7 @@ def score(readings: DataFrame, bundle: Bundle) -> DataFrame:
         use = F.col("rolling_features_used")
         either = {c: F.when(use, F.col(f"_rich_{i}")).otherwise(F.col(c)) for i, c in enumerate(("probs", "clf_is_anomaly", "clf_cause"))}
         scored = scored.withColumns(either).drop("_rich_0", "_rich_1", "_rich_2")
-    scored = bundle.forest.score(scored).withColumn("iso_is_anomaly", (F.col("iso_score") > F.lit(bundle.iso_threshold)).cast("int"))
+    scored = bundle.forest.score_in_plan(scored).withColumn("iso_is_anomaly", (F.col("iso_score") > F.lit(bundle.iso_threshold)).cast("int"))
     gated = dec.or_gate(scored).withColumns({"p_normal": p_of("probs", "normal"), "model_version": F.lit(bundle.version)})
     added = ["machine_known", "baseline_used", *z, "rolling_features_used", "probs", "p_normal", "clf_is_anomaly", "clf_cause"]
     added += ["iso_score", "iso_is_anomaly", "is_anomaly", "likely_cause", "model_version"]

@@ -1,12 +1,14 @@
-"""Decision trees as flat arrays that column expressions walk: no Python runs per row."""
+"""Decision trees as flat arrays that column expressions or whole Arrow batches walk: no Python runs per row."""
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Nothing a cleaned feature holds lies above it, so a leaf always steps to itself.
@@ -70,6 +72,34 @@ class FlatTrees:
         leaf = lambda root: F.aggregate(levels, root, step)
         return F.aggregate(constant(self.roots, "int"), F.lit(0.0), lambda upto, root: upto + value[leaf(root)])
 
+    def batched(self, spark: SparkSession):
+        """Arrow UDF over the cleaned features: the same sum as ``total``, added in the same order."""
+        arrays = (np.array(self.feature, np.int64), np.array(self.cut, float), np.array(self.child, np.int64), np.array(self.value, float))
+        shared = spark.sparkContext.broadcast((arrays, self.roots, self.depth))
+
+        @F.pandas_udf("double")
+        def total(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            for columns in batches:
+                yield pd.Series(walk(np.stack([c.to_numpy(float) for c in columns]), *shared.value))
+
+        return total
+
+
+def walk(x: np.ndarray, arrays: tuple[np.ndarray, ...], roots: Sequence[int], depth: int, block: int = 8192) -> np.ndarray:
+    """Sum over the trees of the leaf values of points, given as one line per feature; all points of a block step at once."""
+    feature, cut, child, value = arrays
+    out = np.zeros(x.shape[1])
+    for lo in range(0, x.shape[1], block):
+        part = np.ascontiguousarray(x[:, lo : lo + block])
+        n, points = part.shape[1], part.reshape(-1)
+        place, sums, line = np.arange(n), out[lo : lo + n], feature * n
+        for root in roots:
+            at = np.full(n, root, np.int64)
+            for _ in range(depth):
+                at = child.take(at) + (points.take(line.take(at) + place) > cut.take(at))
+            sums += value.take(at)
+    return out
+
 
 def constant(values: Sequence, kind: str) -> Column:
     """A constant array that the optimizer folds into one literal."""
@@ -79,10 +109,15 @@ def constant(values: Sequence, kind: str) -> Column:
     return F.split(F.lit(text), ",").cast(f"array<{kind}>")
 
 
+def cleaned_columns(features: Sequence[str]) -> list[Column]:
+    """Features as finite doubles; null and NaN count as 0."""
+    value = lambda f: F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0))
+    return [F.greatest(F.least(value(f), F.lit(TOP / 10)), F.lit(-TOP / 10)) for f in features]
+
+
 def cleaned(features: Sequence[str]) -> Column:
     """Features as an array of finite doubles; null and NaN count as 0."""
-    value = lambda f: F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0))
-    return F.array(*[F.greatest(F.least(value(f), F.lit(TOP / 10)), F.lit(-TOP / 10)) for f in features])
+    return F.array(*cleaned_columns(features))
 
 
 def with_features(features: Sequence[str], body) -> Column:
