@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -20,6 +20,11 @@ PIVOTS = 4096
 # A task compares at most about so many queries with so many points, whatever a cell holds.
 BLOCK = 4096
 DIFFERENCES = 4_000_000
+# Where bounds spare little, all pairs are compared in blocks of at most so many rows, in about so many tasks if blocks are smaller.
+WIDE_BLOCK = 32_768
+PAIRS = 64
+# Queries whose bounds tell which of both ways is cheaper.
+PROBES = 2_048
 FOUND = "_q bigint, _o bigint, _d double, _n bigint"
 
 
@@ -66,22 +71,77 @@ def in_cells(points: DataFrame, pivots: Broadcast) -> DataFrame:
     return points.mapInArrow(run, schema)
 
 
-def best_of(d: np.ndarray, ids: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Columns of the nearest points of every row that together stand for ``k`` (row numbers, column numbers)."""
-    last = min(k, d.shape[1]) - 1
-    rows, at = np.nonzero((d <= np.partition(d, last, axis=1)[:, last, None]) & np.isfinite(d))
-    order = np.lexsort((ids[at], d[rows, at], rows))
-    rows, at = rows[order], at[order]
+def candidates(a: np.ndarray, b: np.ndarray, wanted: int, hidden: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (rows of a, rows of b) among which are the ``wanted`` nearest of every row, ties included; ``hidden`` ones count as infinitely far.
+
+    Squared distances come from one matrix product. Its rounding error is bounded by the norms, and no pair is left out
+    that could be among the nearest within that bound.
+    """
+    if len(b) <= 2 * wanted:
+        return np.nonzero(np.ones((len(a), len(b)), dtype=bool) if hidden is None else ~hidden)
+    middle = b.mean(axis=0)
+    a, b = a - middle, b - middle
+    kind = np.float32 if max(np.abs(a).max(initial=0.0), np.abs(b).max()) < 1e15 else np.float64
+    slack = 4 * (a.shape[1] + 8) * float(np.finfo(kind).eps)
+    size_a, size_b = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    # At least the squared distance less size_a * (1 + slack), and at most 2 * slack * (size_a + size_b) above it.
+    upper = a.astype(kind) @ (-2.0 * b).astype(kind).T
+    upper += (size_b * (1 + slack)).astype(kind)
+    if hidden is not None:
+        upper[hidden] = np.inf
+    # The wanted-th smallest minimum of groups of columns is no smaller than the wanted-th smallest column.
+    lines = max(1, len(b) // (4 * wanted))
+    least = upper[:, : len(b) // lines * lines].reshape(len(a), lines, -1).min(axis=1)
+    limit = np.partition(least, wanted - 1, axis=1)[:, wanted - 1].astype(float)
+    limit += 2 * slack * size_a + 1e-12 * np.abs(limit + size_a) + 1e-36
+    upper -= (2 * slack * size_b).astype(kind)
+    hit = upper <= np.nextafter(limit.astype(kind), kind(np.inf))[:, None]
+    if hidden is not None:
+        hit &= ~hidden
+    return np.nonzero(hit)
+
+
+def best_of(a: np.ndarray, b: np.ndarray, ids: np.ndarray, counts: np.ndarray, k: int, hidden: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of a, rows of b, distances): the nearest of every row that together stand for ``k``, ties by id."""
+    rows, at = candidates(a, b, min(k, len(b)), hidden)
+    d = np.zeros(len(rows))
+    for i in range(a.shape[1]):
+        d += (a[rows, i] - b[at, i]) ** 2
+    d = np.sqrt(d)
+    order = np.lexsort((ids[at], d, rows))
+    rows, at, d = rows[order], at[order], d[order]
     upto = np.cumsum(counts[at]) - counts[at]
     kept = upto - upto[np.searchsorted(rows, rows)] < k
-    return rows[kept], at[kept]
+    return rows[kept], at[kept], d[kept]
+
+
+def compare_groups(left: DataFrame, right: DataFrame, on_left: list[str], on_right: list[str], k: int, alone: bool) -> DataFrame:
+    """(_q, _o, _d, _n) of queries (_q, _qx) and points (_id, _x, _n) that meet in a group; no group outgrows a task."""
+
+    def compare(queries: pa.Table, others: pa.Table) -> pa.Table:
+        found = [[np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0)], [np.zeros(0, dtype=np.int64)]]
+        if len(queries) and len(others):
+            column = lambda table, name: table.column(name).combine_chunks()
+            ids, counts, q = (column(t, n).to_numpy(zero_copy_only=False) for t, n in ((others, "_id"), (others, "_n"), (queries, "_q")))
+            a, b = matrix(column(queries, "_qx")), matrix(column(others, "_x"))
+            step = max(1, DIFFERENCES // len(b))
+            for lo in range(0, len(a), step):
+                part = q[lo : lo + step]
+                # Copies of the query itself stand one fewer.
+                hidden = (part[:, None] == ids[None, :]) & (counts == 1)[None, :] if alone else None
+                rows, at, d = best_of(a[lo : lo + step], b, ids, counts, k + alone, hidden)
+                mine = counts[at] - (part[rows] == ids[at]) if alone else counts[at]
+                for out, values in zip(found, (part[rows], ids[at], d, mine)):
+                    out.append(values)
+        return pa.table([pa.array(np.concatenate(out)) for out in found], names=["_q", "_o", "_d", "_n"])
+
+    return left.groupBy(*on_left).cogroup(right.groupBy(*on_right)).applyInArrow(compare, FOUND)
 
 
 def compare_blocks(visits: DataFrame, points: DataFrame, k: int, alone: bool) -> DataFrame:
     """(_q, _o, _d, _n): for each visit of a query to a cell, the cell's nearest points that stand for ``k``.
 
-    Cells are cut into blocks on both sides by their counts, so no group outgrows a task. With ``alone`` a point
-    does not count itself, only its copies.
+    Cells are cut into blocks on both sides by their counts. With ``alone`` a point does not count itself, only its copies.
     """
     blocks = lambda name: F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias(name)
     sizes = points.groupBy("_cell").agg(blocks("_points")).join(visits.groupBy("_cell").agg(blocks("_queries")), "_cell")
@@ -94,29 +154,18 @@ def compare_blocks(visits: DataFrame, points: DataFrame, k: int, alone: bool) ->
     asking = ["_at", "_with", "_as"]
     left = deal(visits, "_queries", "_points").select(*keys, "_id", "_x").toDF(*asking, "_q", "_qx")
     right = deal(points, "_points", "_queries").select(*keys, "_id", "_x", "_n")
+    return compare_groups(left, right, asking, keys, k, alone)
 
-    def compare(queries: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(others):
-            ids, counts, q = others["_id"].to_numpy(), others["_n"].to_numpy(), queries["_q"].to_numpy()
-            a, b = np.stack(queries["_qx"]), np.stack(others["_x"])
-            step = max(1, DIFFERENCES // len(b))
-            for lo in range(0, len(a), step):
-                d, part = gaps(a[lo : lo + step], b), q[lo : lo + step]
-                mine = counts
-                if alone:
-                    same = part[:, None] == ids[None, :]
-                    d = np.where(same & (counts[None, :] == 1), np.inf, d)
-                    # Copies of the query itself stand one fewer.
-                    rows, at = best_of(d, ids, counts, k + 1)
-                    mine = np.where(part[rows] == ids[at], counts[at] - 1, counts[at])
-                else:
-                    rows, at = best_of(d, ids, counts, k)
-                    mine = counts[at]
-                out.append(pd.DataFrame({"_q": part[rows], "_o": ids[at], "_d": d[rows, at], "_n": mine}))
-        return pd.concat(out) if out else pd.DataFrame({"_q": [], "_o": [], "_d": [], "_n": []}).astype({"_q": "int64", "_o": "int64", "_d": float, "_n": "int64"})
-
-    return left.groupBy(*asking).cogroup(right.groupBy(*keys)).applyInPandas(compare, FOUND)
+
+def compare_all(queries: DataFrame, points: DataFrame, k: int, alone: bool) -> DataFrame:
+    """(_q, _o, _d, _n): like ``compare_blocks`` for every block of queries with every block of points."""
+    asked, held = queries.count(), points.count()
+    size = min(WIDE_BLOCK, max(BLOCK, math.isqrt(asked * held // PAIRS)))
+    blocks, others = (max(1, -(-n // size)) for n in (asked, held))
+    dealt = lambda df, n, m: (F.pmod(F.xxhash64("_id"), F.lit(n)).cast("int").alias("_own"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("_other"))
+    left = queries.select(*dealt(queries, blocks, others), F.col("_id").alias("_q"), F.col("_x").alias("_qx")).withColumnsRenamed({"_own": "_as", "_other": "_with"})
+    right = points.select(*dealt(points, others, blocks), "_id", "_x", "_n")
+    return compare_groups(left, right, ["_with", "_as"], ["_own", "_other"], k, alone)
 
 
 def within_bounds(queries: DataFrame, pivots: Broadcast, stats: Broadcast, k: int) -> DataFrame:
@@ -127,7 +176,7 @@ def within_bounds(queries: DataFrame, pivots: Broadcast, stats: Broadcast, k: in
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, (radius, held) = pivots.value, stats.value
+        centres, (radius, held, _) = pivots.value, stats.value
         between = gaps(centres, centres)
         for batch in batches:
             x, own = matrix(batch.column("_x")), batch.column("_cell").to_numpy(zero_copy_only=False)
@@ -158,6 +207,19 @@ def within_bounds(queries: DataFrame, pivots: Broadcast, stats: Broadcast, k: in
     return queries.select("_id", "_x", "_cell", "_reach").mapInArrow(run, "_id bigint, _x array<double>, _cell int")
 
 
+def cells_pay(reached: DataFrame, points: DataFrame, pivots: Broadcast, stats: Broadcast, k: int, seed: int) -> bool:
+    """Whether visits to cells cost less than all pairs, told by the bounds of about ``PROBES`` queries.
+
+    A visit costs about as much as to compare another cell of points, which a row of its own and its findings make up.
+    """
+    total = reached.count()
+    share = F.pmod(F.xxhash64(F.lit(seed), F.lit("probe"), "_id"), F.lit(1 << 30)) < int(min(1.0, PROBES / max(total, 1)) * (1 << 30)) + 1
+    probes = materialize(reached.where(share), "probes")
+    visits = within_bounds(probes, pivots, stats, k).groupBy("_cell").count().collect()  # one row per pivot
+    cost = sum(v["count"] * (CELL_POINTS + int(stats.value[2][v["_cell"]])) for v in visits)
+    return cost <= probes.count() * points.count()
+
+
 def first_k(found: DataFrame, k: int) -> DataFrame:
     """The nearest points of every query that stand for exactly ``k``; ties go to the smaller id."""
     upto = "sum(_n) OVER (PARTITION BY _q ORDER BY _d, _o ROWS UNBOUNDED PRECEDING) - _n"
@@ -169,7 +231,8 @@ def nearest(queries: DataFrame, reference: DataFrame, k: int, alone: bool = Fals
 
     ``queries`` has (_id, _x), ``reference`` (_id, _x, _n) with different points; both are written tables with arrays of
     finite doubles of one length. With ``alone`` the queries are the reference points and none is its own neighbour. Two rounds:
-    the own cell gives a first reach, then the cells within bounds; the results are merged.
+    the own cell gives a first reach, then the cells within bounds; the results are merged. Where the bounds spare too little,
+    as among many independent features, all pairs are compared in large blocks instead: both ways are exact.
     """
     spark = reference.sparkSession
     pivots = spark.sparkContext.broadcast(draw_pivots(reference, seed))
@@ -177,13 +240,15 @@ def nearest(queries: DataFrame, reference: DataFrame, k: int, alone: bool = Fals
         return spark.createDataFrame([], FOUND)
     points = materialize(in_cells(reference, pivots), "points")
     asked = points.select("_id", "_x", "_cell", "_away") if alone else materialize(in_cells(queries.select("_id", "_x"), pivots), "asked")
-    cells = points.groupBy("_cell").agg(F.max("_away").alias("radius"), F.sum("_n").alias("held")).collect()  # one row per pivot
-    radius, held = np.zeros(len(pivots.value)), np.zeros(len(pivots.value), dtype=np.int64)
+    cells = points.groupBy("_cell").agg(F.max("_away").alias("radius"), F.sum("_n").alias("held"), F.count(F.lit(1)).alias("points")).collect()  # one row per pivot
+    radius, held, sizes = np.zeros(len(pivots.value)), np.zeros(len(pivots.value), dtype=np.int64), np.zeros(len(pivots.value), dtype=np.int64)
     for c in cells:
-        radius[c["_cell"]], held[c["_cell"]] = c["radius"], c["held"]
-    stats = spark.sparkContext.broadcast((radius, held))
+        radius[c["_cell"]], held[c["_cell"]], sizes[c["_cell"]] = c["radius"], c["held"], c["points"]
+    stats = spark.sparkContext.broadcast((radius, held, sizes))
     near = materialize(compare_blocks(asked, points, k, alone), "near")
     full = first_k(near, k).groupBy("_q").agg(F.when(F.sum("_n") >= k, F.max("_d")).alias("_reach"))
     reached = asked.join(full.withColumnRenamed("_q", "_id"), "_id", "left")
+    if not cells_pay(reached, points, pivots, stats, k, seed):
+        return first_k(compare_all(asked, points, k, alone), k)
     visits = materialize(within_bounds(reached, pivots, stats, k), "visits")
     return first_k(near.unionByName(compare_blocks(visits, points, k, False)), k)

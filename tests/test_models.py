@@ -272,3 +272,53 @@ def test_top_causes_are_the_first_ranks(spark):
     assert {r["tick"]: (r["input_count"], r["likely_root_causes"]) for r in likely_root_causes(df, k=5).collect()} == whole
     none = likely_root_causes(df.withColumn("role", F.lit("isolated")), k=5).first()
     assert none["likely_root_causes"] == [] and none["input_count"] == 100
+
+
+def test_neighbours_of_spread_points_meet_in_blocks(spark, monkeypatch):
+    """Bounds spare nothing among independent features: no visits per query, the same neighbours."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (400, 24))
+    monkeypatch.setattr(neighbours, "CELL_POINTS", 20)
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    monkeypatch.setattr(neighbours, "PAIRS", 9)
+    calls = []
+    inner = neighbours.compare_blocks
+    monkeypatch.setattr(neighbours, "compare_blocks", lambda visits, *a: calls.append(1) or inner(visits, *a))
+    df = materialize(spark.createDataFrame([(i, [float(v) for v in p], 1) for i, p in enumerate(x)], "_id bigint, _x array<double>, _n bigint"))
+    got = {}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # blocks must meet by their keys, not by chance
+    try:
+        for r in neighbours.nearest(df, df, 5, True).collect():
+            got.setdefault(r["_q"], []).append(r["_d"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = brute_nearest(x, x, np.ones(len(x), dtype=int), 5, True)
+    assert len(calls) == 1 and all(np.allclose(sorted(got[i]), want[i], atol=1e-12) for i in range(len(x)))
+
+
+@pytest.mark.parametrize("scale,shift", [(1.0, 0.0), (1e-25, 0.0), (1e-6, 1e6), (1e149, 0.0), (1.0, 1e12)])
+def test_candidates_keep_all_ties_at_any_scale(scale, shift):
+    rng = np.random.default_rng(4)
+    b = np.round(rng.normal(0, 1, (900, 3)), 1) * scale + shift
+    b[5] = 1e149
+    a, ids, counts = b[:80], rng.permutation(len(b)), rng.choice([1, 2, 9], len(b))
+    rows, at, d = neighbours.best_of(a, b, ids, counts, 12)
+    full = neighbours.gaps(a, b)
+    for i in range(len(a)):
+        order, want, got = np.lexsort((ids, full[i])), [], 0
+        for j in order:
+            if got >= 12:
+                break
+            want.append((j, full[i, j]))
+            got += counts[j]
+        assert list(zip(at[rows == i], d[rows == i])) == want
+
+
+def test_forest_scores_in_batches_equal_those_in_the_plan(spark, cloud):
+    df, _ = cloud
+    odd = df.select("event_id", "a", "b", F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).when(F.col("event_id") % 11 == 0, F.lit(float("inf"))).when(F.col("event_id") % 13 > 0, F.col("c")).alias("c"))
+    forest = IsolationForest.fit(df, ABC, trees=30)
+    both = forest.score_in_plan(forest.score(odd), "walked").collect()
+    assert len(both) == 800 and all(r["iso_score"] == r["walked"] for r in both)
+    plan = forest.score(odd)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" in plan and "aggregate(" not in plan  # not walked row by row
