@@ -133,6 +133,8 @@ FEED = METRICS
 # The feed rounds to two decimals; load_avg has four, whose ties round alike as decimal numbers.
 _ROUNDED = "CAST(round(CAST(load_avg AS DECIMAL(18, 6)), 2) AS DOUBLE) AS load_avg"
 SLICES = 4
+FILE_ROWS = 1_000_000
+SURE_ROWS = 10_000  # a file's share of a slice that no dealing in turns leaves empty
 DELAYED = 40  # seconds by which some values come in the slice after their own
 
 
@@ -148,10 +150,18 @@ def sliced_feed(spark, sf):
     seconds = F.col("ts").cast("double") - F.lit(first) + F.when(F.col("metric") == "load_avg", F.lit(float(DELAYED))).otherwise(F.lit(0.0))
     number = F.least(F.floor(seconds / F.lit(width)).cast("int"), F.lit(SLICES - 1))
     written = materialize(feed.withColumn("slice", number), "feed")
-    path = new_path(spark, "slices")
+    path, files = new_path(spark, "slices"), slice_files(written)
     for i in range(SLICES):
-        written.where(F.col("slice") == i).select(METRIC_FEED_SCHEMA.fieldNames()).coalesce(1).write.mode("append").parquet(path)
-    return cycle.metric_feed(spark, path)
+        part = written.where(F.col("slice") == i).select(METRIC_FEED_SCHEMA.fieldNames())
+        (part.repartition(files) if files > 1 else part.coalesce(1)).write.mode("append").parquet(path)
+    return cycle.metric_feed(spark, path, files)
+
+
+def slice_files(written):
+    """Files of every slice, all of which make one micro-batch: one per ``FILE_ROWS`` values, each sure to hold some."""
+    rows = {r["slice"]: r["count"] for r in written.groupBy("slice").count().collect()}  # one row per slice
+    least = min(rows.get(i, 0) for i in range(SLICES))
+    return max(1, min(-(-max(rows.values(), default=0) // FILE_ROWS), least // SURE_ROWS))
 
 
 def run_cycle(spark, sf, model, with_log=False, twice=False):
@@ -161,7 +171,8 @@ def run_cycle(spark, sf, model, with_log=False, twice=False):
     feed = sliced_feed(spark, sf)
     for _ in range(1 + twice):
         body = cycle.detection_cycle(model, edges, out, log if with_log else None, metrics=FEED)
-        cycle.run_cycle(feed, body, new_path(spark, "offsets"), metrics=FEED).awaitTermination()
+        with history.rocksdb_state(spark):  # a slice's ticks wait on disk, not in the executors' memory
+            cycle.run_cycle(feed, body, new_path(spark, "offsets"), metrics=FEED).awaitTermination()
     return out, log
 
 
@@ -189,7 +200,8 @@ def published(spark, out):
 )
 def stream_ticks(spark, sf):
     """Ticks split over four micro-batches, put together again."""
-    out = drained(spark, ticks.assemble_ticks(sliced_feed(spark, sf), FEED))
+    with history.rocksdb_state(spark):  # a slice's ticks wait on disk, not in the executors' memory
+        out = drained(spark, ticks.assemble_ticks(sliced_feed(spark, sf), FEED))
     return out.where("whole").withColumns(naive("tick")).select("tick", "machine", "type", *FEED)
 
 

@@ -229,3 +229,22 @@ def test_odd_values_and_types_in_ticks(spark, tmp_path):
     query = windows.run_available(ticks.assemble_ticks(feed, ["cpu", "ram"]), str(tmp_path / "out"), str(tmp_path / "cp"))
     found = {r["machine"]: (r["cpu"], r["ram"], r["found"], r["whole"]) for r in spark.read.parquet(str(tmp_path / "out")).where("second(tick) = 0").collect()}
     assert found == {"m": (2.01, None, 1, False), "n": (None, 3.0, 1, False)} and query.exception() is None
+
+
+def test_feed_slices_of_several_files_make_one_batch_on_disk(spark, sf, monkeypatch):
+    """More files a slice change neither batches nor rows, and waiting ticks are kept by the RocksDB state store."""
+    from fleetpulse.catalog import streams
+
+    seen = []
+    inner = streams.ticks.assemble_ticks
+    monkeypatch.setattr(streams.ticks, "assemble_ticks", lambda *a, **k: seen.append(spark.conf.get(history.PROVIDER_KEY)) or inner(*a, **k))
+    one = sorted(map(tuple, streams.stream_ticks(spark, sf).collect()))
+    monkeypatch.setattr(streams, "FILE_ROWS", 500)
+    monkeypatch.setattr(streams, "SURE_ROWS", 100)
+    files = []
+    feed = streams.cycle.metric_feed
+    monkeypatch.setattr(streams.cycle, "metric_feed", lambda spark, path, n=1: files.append((n, len(spark.read.parquet(path).inputFiles()))) or feed(spark, path, n))
+    many = sorted(map(tuple, streams.stream_ticks(spark, sf).collect()))
+    assert files[0][0] > 1 and files[0][1] == streams.SLICES * files[0][0]
+    assert len(one) > 0 and many == one
+    assert seen == [history.ROCKSDB] * 2
