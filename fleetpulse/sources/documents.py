@@ -16,13 +16,14 @@ GLOBAL, TYPE, ORDER, WINDOW_LIST, HAS_WINDOWS = "__global__", "__type__", "__fea
 def read_baseline_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, list[str]]:
     """Baselines (as ``build_baselines`` returns them, ``n`` unknown), machines with their type, and the feature order.
 
-    A metric that an entry lacks is null there, so scoring takes the fleet's; the deviation is the one written. A key with ``|`` is a
-    machine and a window, split at the last one.
+    A metric that an entry lacks is null there, so scoring takes the fleet's; the deviation is the one written. A key that ends in ``|``
+    and a window, one of the document's list or of the fixed ones, is a machine and that window; any other is a machine, ``|`` included.
     """
     document = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("d"))
-    order = document.select(F.from_json(F.col("d")[ORDER], "array<string>")).first()[0]  # the contract of one model
+    listed = lambda name: F.from_json(F.try_element_at("d", F.lit(name)), "array<string>")
+    order, windows = document.select(listed(ORDER), listed(WINDOW_LIST)).first()  # the contract of one model
     entries = document.select(F.explode("d").alias("key", "text")).where(~F.col("key").isin(ORDER, WINDOW_LIST, HAS_WINDOWS))
-    windowed = F.regexp_extract("key", r"^(?s)(.*)\|([^|]*)$", 1) != ""
+    windowed = F.regexp_extract("key", r"^(?s).+\|([^|]*)$", 1).isin(*{*WINDOWS, *(windows or [])} - {""})
     level = (
         F.when(F.col("key") == GLOBAL, "global").when(F.col("key").startswith(TYPE), "type").when(windowed, "machine+window").otherwise("machine")
     )
