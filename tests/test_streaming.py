@@ -1,5 +1,9 @@
+import datetime
 import time
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from fleetpulse import fixtures as fx
@@ -248,3 +252,41 @@ def test_feed_slices_of_several_files_make_one_batch_on_disk(spark, sf, monkeypa
     assert files[0][0] > 1 and files[0][1] == streams.SLICES * files[0][0]
     assert len(one) > 0 and many == one
     assert seen == [history.ROCKSDB] * 2
+
+
+class KeptList:
+    """List state of one machine, as a processor sees it."""
+
+    def __init__(self, rows=()):
+        self.rows = list(rows)
+
+    def get(self):
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+
+def test_history_takes_rows_and_equals_pandas_windows():
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=(40, 2)).round(3)
+    values[5, 0], values[9:21, 1], values[30, 0], values[33:, 1] = np.nan, np.nan, np.inf, 0.1
+    held = history.RollingHistory(["a", "b"], 4)
+    held.earlier = KeptList()
+    at = datetime.datetime(2026, 1, 1)
+    reading = lambda i: Row(machine="m", event_time=at + datetime.timedelta(seconds=i), event_id=i, a=None if np.isnan(values[i, 0]) else float(values[i, 0]), b=None if np.isnan(values[i, 1]) else float(values[i, 1]))
+    held.handleInitialState(("m",), Row(machine="m", stored=[reading(i) for i in (2, 0, 1)]), None)
+    out = []
+    for part in (range(3, 17), range(17, 18), range(18, 40)):  # each out of order
+        out += list(held.handleInputRows(("m",), iter([reading(i) for i in reversed(part)]), None))
+    assert [r["event_id"] for r in out] == list(range(3, 40)) and len(held.earlier.rows) == 3
+    for j, m in enumerate("ab"):
+        series = pd.Series(values[:, j])
+        want = {
+            "rolling_mean": series.rolling(4, min_periods=1).mean(),
+            "rolling_std": series.rolling(4, min_periods=2).std().fillna(0.0),
+            "delta": series.diff(3).fillna(0.0),
+        }
+        for name, column in want.items():
+            got = np.array([np.nan if r[f"{m}_{name}"] is None else r[f"{m}_{name}"] for r in out])
+            assert np.allclose(got, column.to_numpy()[3:], equal_nan=True, atol=1e-7), (m, name)
