@@ -2,10 +2,11 @@
 
 A phrase can only be frequent if the phrases without its first and without its last word are. Words are counted first. Phrases
 of frequent words that are frequent in a sample, at a lowered threshold, are proposed; the full pass counts exactly every
-phrase whose two parts are frequent words or proposed, that is the proposed phrases and their negative border, first by a
-short key that can only count too much, and by the words themselves where that reaches the threshold. A border phrase that turns out to be frequent is a failure: it
-becomes a generator and a further pass counts what is newly in reach, until no pass finds a failure. Generators reach
-the tasks as a filter of fixed size that only ever lets too many phrases be counted.
+phrase whose two parts are frequent words or proposed, that is the proposed phrases and their negative border, by 60-bit keys,
+and keeps one document bucket each phrase occurs in. A border phrase that turns out to be frequent is a failure: it
+becomes a generator and a further pass counts what is newly in reach, until no pass finds a failure. That pass also reads the
+words of the frequent keys, only from documents of the bucket kept. Generators reach
+the tasks as a filter of bounded size that only ever lets too many phrases be counted.
 """
 
 from __future__ import annotations
@@ -35,7 +36,11 @@ SLACK = 0.6
 SEGMENT = 1 << 19
 CHUNK = 1 << 20
 RANKS = 21  # a chunk has fewer than 2 ** RANKS words
-KEY_BITS = 40
+KEY_BITS = 60
+BUCKETS = 1 << 16
+# With at least so many generators to a failure the sample is done, and what failures of a full pass bring into reach counts as
+# frequent: the next pass is the last.
+FEW = 8
 RUNS = 64
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -62,7 +67,7 @@ class Tokens:
 
     def __init__(self):
         self.grow(SEGMENT)
-        self.langs, self.names, self.piece = {}, [], 0
+        self.langs, self.names, self.piece, self.buckets = {}, [], 0, []
 
     def grow(self, size: int) -> None:
         inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -78,10 +83,14 @@ class Tokens:
         return np.array([xxhash.xxh3_64_intdigest(x.encode(), 5) | 1 for x in self.names], dtype=np.uint64)
 
     def segments(self, texts: Iterable[bytes], langs: Iterable[str]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
-        """(bytes, starts of documents, their languages) of about SEGMENT bytes; texts are only cut where a word starts or ends."""
-        parts, at, starts, kinds = [], 0, [], []
+        """(bytes, starts of documents, their languages) of about SEGMENT bytes; texts are only cut where a word starts or ends.
+
+        While a segment is given, ``buckets`` has a number below BUCKETS for each of its documents, which depends on the text alone.
+        """
+        parts, at, starts, kinds, buckets = [], 0, [], [], []
         for text, name in zip(texts, langs):
             raw, lang, begin = text.translate(FOLD) + b".", self.lang(name), 0
+            bucket = xxhash.xxh3_64_intdigest(text) % BUCKETS
             while begin < len(raw):
                 end = min(len(raw), begin + SEGMENT - at)
                 if end < len(raw):
@@ -96,13 +105,16 @@ class Tokens:
                 if end > begin:
                     starts.append(at)
                     kinds.append(lang)
+                    buckets.append(bucket)
                     parts.append(raw[begin:end])
                     at += end - begin
                     begin = end
                 if begin < len(raw):
+                    self.buckets = buckets
                     yield b"".join(parts), np.array(starts), np.array(kinds)
-                    parts, at, starts, kinds = [], 0, [], []
+                    parts, at, starts, kinds, buckets = [], 0, [], [], []
         if parts:
+            self.buckets = buckets
             yield b"".join(parts), np.array(starts), np.array(kinds)
 
     def words(self, segment: bytes, starts: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -124,13 +136,19 @@ class Tokens:
         return np.where(number == 0, np.uint64(1), number), pieces, lang, begin, end
 
 
-def reachable(
-    words: np.ndarray, pieces: np.ndarray, owned: int, now: np.ndarray, before: np.ndarray | None, widest: int, again: np.ndarray | None = None
-) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
-    """(word columns, keys, times) of the phrases that start before ``owned`` and come into reach with the filter ``now``.
+def spot_keys(keys: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    """Hash of a phrase's key and a document bucket."""
+    return mixed(keys.view(np.uint64) * BASE + buckets.astype(np.uint64)).view(np.int64)
+
+
+def levels(
+    words: np.ndarray, pieces: np.ndarray, now: np.ndarray, before: np.ndarray | None, widest: int, trusting: bool = False
+) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(word columns, keys, counted, where each occurs, which of them that is, first place) of the phrases of a length in reach of ``now``.
 
     A phrase of two words or more is in reach of a filter if both its parts are in reach and may be held by it; single words
-    always are. Phrases in reach of ``before`` were counted by an earlier pass and are only given if ``again`` may hold them.
+    always are. Phrases in reach of ``before`` are counted: an earlier pass has seen them. ``trusting`` takes those that are
+    not for held.
     """
     holds = lambda held, keys: np.zeros(len(keys), dtype=bool) if held is None else keyfilter.may_hold(held, keys)
     unique, rank = np.unique(words, return_inverse=True)
@@ -141,20 +159,30 @@ def reachable(
         if len(words) < n:
             return
         both = new[:-1] & new[1:] & (pieces[: 1 - n] == pieces[n - 1 :])
-        counted = old[:-1] & old[1:]
         at = np.flatnonzero(both)
         unique, first, rank = np.unique((phrase_rank[at] << RANKS) | word_rank[at + n - 1], return_index=True, return_inverse=True)
-        columns = [words[at[first] + j] for j in range(n)]
-        keys = phrase_keys(columns)
-        held = holds(now, keys)
-        times = np.bincount(rank[at < owned], minlength=len(unique))
-        given = (times > 0) & (~counted[at[first]] | holds(again, keys))
-        yield [c[given] for c in columns], keys[given], times[given]
+        begin = at[first]
+        columns = [words[begin + j] for j in range(n)]
+        keys, counted = phrase_keys(columns), old[begin] & old[begin + 1]
+        yield columns, keys, counted, at, rank, begin
+        if n == widest:
+            return
         phrase_rank = np.zeros(len(both), dtype=np.int64)
         phrase_rank[at] = rank
+        held = holds(now, keys)
         new, old = np.zeros(len(both), dtype=bool), np.zeros(len(both), dtype=bool)
-        new[at] = held[rank]
-        old[at] = holds(before, keys)[rank] & counted[at]
+        new[at] = (held | ~counted if trusting else held)[rank]
+        old[at] = (holds(before, keys) & counted)[rank]
+
+
+def reachable(
+    words: np.ndarray, pieces: np.ndarray, owned: int, now: np.ndarray, before: np.ndarray | None, widest: int, trusting: bool = False
+) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """(word columns, keys, times) of the phrases that start before ``owned`` and come into reach with the filter ``now``."""
+    for columns, keys, counted, at, rank, _ in levels(words, pieces, now, before, widest, trusting):
+        times = np.bincount(rank[at < owned], minlength=len(keys))
+        given = (times > 0) & ~counted
+        yield [c[given] for c in columns], keys[given], times[given]
 
 
 def texts_of(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -167,18 +195,20 @@ def raw_texts(batch: pa.RecordBatch) -> tuple[Iterator[bytes], list[str]]:
 
 
 def in_chunks(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
-    """``work`` (words, pieces, owned) over chunks of words; the last words of a chunk go on to the next one, which counts the
+    """``work`` (words, pieces, buckets, owned) over chunks of words; the last words of a chunk go on to the next one, which counts the
     phrases that start with them."""
     tokens, chunk, size = Tokens(), [], 0
     for batch in batches:
-        for segment in tokens.segments(*raw_texts(batch)):
-            chunk.append(tokens.words(*segment)[:2])
-            size += len(chunk[-1][0])
+        for segment, starts, kinds in tokens.segments(*raw_texts(batch)):
+            number, pieces, _, begin, _ = tokens.words(segment, starts, kinds)
+            buckets = np.array(tokens.buckets, dtype=np.int32)[np.searchsorted(starts, begin, "right") - 1]
+            chunk.append((number, pieces, buckets))
+            size += len(number)
             if size >= CHUNK:
-                words, pieces = (np.concatenate(x) for x in zip(*chunk))
+                joined = [np.concatenate(x) for x in zip(*chunk)]
                 owned = max(0, size - WIDEST + 1)
-                chunk, size = [(words[owned:], pieces[owned:])], size - owned
-                yield from work(words, pieces, owned)
+                chunk, size = [tuple(x[owned:] for x in joined)], size - owned
+                yield from work(*joined, owned)
     if size:
         yield from work(*(np.concatenate(x) for x in zip(*chunk)), size)
 
@@ -204,24 +234,36 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 def count_keys(texts: DataFrame, now: Broadcast, before: Broadcast | None, widest: int) -> DataFrame:
-    """(key, times) of the phrases that come into reach with ``now``: never less than the occurrences of a phrase, and more
-    only where keys of two phrases meet. A row is a third of the phrase itself."""
-
-    def work(words: np.ndarray, pieces: np.ndarray, owned: int) -> Iterator[pa.RecordBatch]:
-        for _, keys, times in reachable(words, pieces, owned, now.value, before.value if before else None, widest):
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(times)], ["key", "times"])
+    """(key, times, bucket) of the phrases that come into reach with ``now``; the bucket is that of a document each occurs in.
+    A row is half of the phrase itself."""
 
-    return texts.mapInArrow(lambda batches: in_chunks(batches, work), "key bigint, times bigint").groupBy("key").agg(F.sum("times").alias("times"))
+    def work(words: np.ndarray, pieces: np.ndarray, buckets: np.ndarray, owned: int) -> Iterator[pa.RecordBatch]:
+        for _, keys, counted, at, rank, first in levels(words, pieces, now.value, before.value if before else None, widest):
+            times = np.bincount(rank[at < owned], minlength=len(keys))
+            given = (times > 0) & ~counted
+            yield pa.RecordBatch.from_arrays([pa.array(keys[given]), pa.array(times[given]), pa.array(buckets[first[given]])], ["key", "times", "bucket"])
 
+    rows = texts.mapInArrow(lambda batches: in_chunks(batches, work), "key bigint, times bigint, bucket int")
+    return rows.groupBy("key").agg(F.sum("times").alias("times"), F.min("bucket").alias("bucket"))
 
-def count_exactly(texts: DataFrame, now: Broadcast, before: Broadcast, again: Broadcast | None, widest: int) -> DataFrame:
-    """(key, w1 .. w4, times): occurrences of the phrases that ``again`` may hold or that come into reach with ``now``, told apart
-    by their words."""
 
-    def work(words: np.ndarray, pieces: np.ndarray, owned: int) -> Iterator[pa.RecordBatch]:
-        for columns, keys, times in reachable(words, pieces, owned, now.value, before.value, widest, again.value if again else None):
-            filled = [c.view(np.int64) for c in columns] + [np.zeros(len(times), dtype=np.int64)] * (WIDEST - len(columns))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, filled), pa.array(times)], ["key", *WORDS, "times"])
+def count_exactly(
+    texts: DataFrame, now: Broadcast, before: Broadcast, again: Broadcast | None, spots: Broadcast | None, widest: int, trusting: bool
+) -> DataFrame:
+    """(key, w1 .. w4, times): occurrences of the phrases that come into reach with ``now``, told apart by their words. Phrases
+    counted before that ``again`` may hold are given with 0 times, from documents of a bucket that ``spots`` may hold."""
+
+    def work(words: np.ndarray, pieces: np.ndarray, buckets: np.ndarray, owned: int) -> Iterator[pa.RecordBatch]:
+        for columns, keys, counted, at, rank, _ in levels(words, pieces, now.value, before.value, widest, trusting):
+            times = np.bincount(rank[at < owned], minlength=len(keys))
+            given = (times > 0) & ~counted
+            if again:
+                wanted = np.flatnonzero((counted & keyfilter.may_hold(again.value, keys))[rank] & (at < owned))
+                wanted = wanted[keyfilter.may_hold(spots.value, spot_keys(keys[rank[wanted]], buckets[at[wanted]]))]
+                given[rank[wanted]] = True
+            times[counted] = 0
+            filled = [c[given].view(np.int64) for c in columns] + [np.zeros(int(given.sum()), dtype=np.int64)] * (WIDEST - len(columns))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[given]), *map(pa.array, filled), pa.array(times[given])], ["key", *WORDS, "times"])
 
     rows = texts.mapInArrow(lambda batches: in_chunks(batches, work), ", ".join(f"{w} bigint" for w in ["key", *WORDS, "times"]))
     return rows.groupBy(*WORDS).agg(F.first("key").alias("key"), F.sum("times").alias("times"))
@@ -250,44 +292,71 @@ def new_generators(frequent: DataFrame, now: Broadcast, widest: int, tag: str) -
     return materialize(failures(frequent.select("key").where(F.shiftright("key", KEY_BITS) < widest), now), f"{tag}-failures")
 
 
+def fitted(keys: DataFrame) -> Broadcast:
+    """Filter over a written table of keys, as large as their number asks for."""
+    return keyfilter.fit(keys, keyfilter.bits_for(keys.count()))
+
+
+def fitted_spots(frequent: DataFrame) -> Broadcast:
+    """Filter over the keys of ``frequent`` with the bucket of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, buckets = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(spot_keys(keys, buckets))], ["key"])
+
+    return keyfilter.fit(frequent.select("key", "bucket").mapInArrow(run, "key bigint"), keyfilter.bits_for(frequent.count()))
+
+
 def propose(sample: DataFrame, least: int, words: DataFrame, tag: str = "proposed") -> DataFrame:
     """Keys of the phrases of up to WIDEST - 1 words that the sample proposes, level by level from the given words."""
-    widest, before, now, generators = WIDEST - 1, None, keyfilter.fit(words), words
+    widest, before, now, generators = WIDEST - 1, None, fitted(words), words
     while True:
         frequent = materialize(count_keys(sample, now, before, widest).where(F.col("times") >= least).select("key"), tag)
         failed = new_generators(frequent, now, widest, tag)
         generators = generators.unionByName(frequent)
         if before:
             before.destroy()
-        if failed.isEmpty():
+        if failed.count() * FEW <= generators.count():  # what the sample misses fails in the full pass
             now.destroy()
             return generators
-        before, now = now, keyfilter.fit(generators)
+        before, now = now, fitted(generators)
 
 
 def mine(texts: DataFrame, least: int, generators: DataFrame, tag: str = "phrases") -> DataFrame:
     """(w1 .. w4, times) of all phrases of 2 to WIDEST words that occur ``least`` times.
 
-    The first full pass counts keys of what the generators reach. The second counts exactly what reached the threshold, and
-    with it what the failures of the first bring into reach; further passes only count that, until one finds no failure.
+    The first full pass counts keys of what the generators reach. The second reads the words of what reached the threshold, and counts
+    what the failures of the first bring into reach; further passes only count that, until one finds no failure. All pairs of
+    frequent words are in reach of the first pass, so with few failures the second takes all it newly reaches for frequent, and
+    whatever can hold a failure of its own is counted with it.
     """
-    start = keyfilter.fit(generators)
-    frequent = materialize(count_keys(texts, start, None, WIDEST).where(F.col("times") >= least).select("key"), tag)
-    again, before, found = keyfilter.fit(frequent), start, None
+    # All filters of generators have one size: a stranger that one lets pass stays in reach of the next.
+    bits = keyfilter.bits_for(generators.count())
+    start = keyfilter.fit(generators, bits)
+    frequent = materialize(count_keys(texts, start, None, WIDEST).where(F.col("times") >= least), tag)
+    again, spots, before, found = fitted(frequent.select("key")), fitted_spots(frequent), start, None
     failed = new_generators(frequent, start, WIDEST, tag)
     while True:
+        trusting = failed.count() * FEW <= generators.count()
         generators = generators.unionByName(failed)
-        now = keyfilter.fit(generators)
-        exact = materialize(count_exactly(texts, now, before, again, WIDEST).where(F.col("times") >= least), tag)
-        found = exact if found is None else found.unionByName(exact)
-        failed = new_generators(exact, now, WIDEST, tag)
+        now = keyfilter.fit(generators, bits)
+        read = materialize(count_exactly(texts, now, before, again, spots, WIDEST, trusting).where((F.col("times") >= least) | (F.col("times") == 0)), tag)
+        exact = read.where(F.col("times") > 0)
+        if found is None:  # keys that only a filter let through are not among the frequent ones
+            known = read.where(F.col("times") == 0).drop("times").join(frequent.select("key", "times"), "key")
+            found = known.select(*exact.columns).unionByName(exact)
+        else:
+            found = found.unionByName(exact)
         before.destroy()
         if again:
             again.destroy()
-        if failed.isEmpty():
+            spots.destroy()
+        failed = None if trusting else new_generators(exact, now, WIDEST, tag)
+        if trusting or failed.isEmpty():
             now.destroy()
-            return found.drop("key")
-        before, again = now, None
+            return materialize(found.drop("key"), tag)
+        before, again, spots = now, None, None
 
 
 def part(first: int, last: int) -> list[Column]:
@@ -361,7 +430,8 @@ def collocations(
     A-Z is lower-cased, texts are split into pieces at punctuation and line ends, and words at spaces and tabs. Everything is
     counted exactly and per language; null languages are ``und``, null and empty texts have no words. Phrases occur ``least`` times
     or more; one inside a longer phrase that occurs in at least ``cover`` percent of its places is dropped. Repeated rows
-    count as often as they occur; ids only choose the sample and may be null. Words are told apart by 64-bit hashes.
+    count as often as they occur; ids only choose the sample and may be null. Words are told apart by 64-bit hashes, phrases by
+    60-bit hashes of these.
     """
     texts = texts_of(docs, text_col, lang_col)
     drawn = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(sample)) == 0)
@@ -377,7 +447,7 @@ def collocations(
     # Ties of score and occurrences at the last place stay until the phrases are spelled.
     strong = spoken.withColumn("place", F.expr("rank() OVER (PARTITION BY _lang ORDER BY score DESC, a DESC)")).where(F.col("place") <= top)
     strong = materialize(strong.drop("place", "_run", "_lang"), "strong")
-    wanted = keyfilter.fit(strong.select(F.explode(F.array(*WORDS)).alias("w")).where("w != 0").distinct())
+    wanted = keyfilter.fit(strong.select(F.explode(F.array(*WORDS)).alias("w")).where("w != 0").distinct(), keyfilter.bits_for(WIDEST * strong.count()))
     names = materialize(word_names(texts, wanted), "names")
     wanted.destroy()
     totals = names.where("w IS NULL").groupBy("lang").agg(F.sum("words").alias("n"))

@@ -145,3 +145,33 @@ def test_real_documents(spark, sf):
     table = spark.read.parquet(f"{sf}/documents.parquet")
     want = brute([(r.text, r.lang) for r in table.collect()])
     assert len(want) > 40 and found(table) == want
+
+
+def test_words_of_frequent_phrases_are_read_once(spark, monkeypatch):
+    rng = random.Random(3)
+    names = [f"t{i}" for i in range(12)]
+    rows = [(i, " ".join(rng.choice(names) for _ in range(60)), "en") for i in range(150)]
+    monkeypatch.setattr(collocations, "CHUNK", 200)  # a frequent phrase meets many chunks
+    every = spark.sparkContext.broadcast(np.full(1 << 10, 255, dtype=np.uint8))
+    texts = collocations.texts_of(spark.createDataFrame(rows, SCHEMA).repartition(4), "text", "lang")
+    keys = collocations.materialize(collocations.count_keys(texts, every, None, 4))
+    spots = collocations.fitted_spots(keys)
+    made = collocations.count_exactly(texts, every, every, every, spots, 4, False)
+    rows_out, phrases = made.agg({"key": "count"}).first()[0], keys.count()
+    sums = []
+    monkeypatch.setattr(collocations.F, "sum", lambda c: sums.append(c) or collocations.F.count(c))  # rows of each phrase before they are added up
+    times = collocations.count_exactly(texts, every, every, every, spots, 4, False).agg({"times": "sum"}).first()[0]
+    assert rows_out == phrases and phrases <= times <= 1.1 * phrases and sums == ["times"]
+
+
+def test_few_failures_end_with_the_second_pass(spark, monkeypatch):
+    """The sample misses a phrase of four words; its triples and the whole are counted together."""
+    rng = random.Random(5)
+    names = [f"t{i}" for i in range(9)]
+    rows = [(i, " ".join(rng.choice(names) for _ in range(400)) if i < 60 else "alpha beta gamma delta", "en") for i in range(100)]
+    passes, count, propose = [], collocations.count_exactly, collocations.propose
+    monkeypatch.setattr(collocations, "count_exactly", lambda *a: passes.append(1) or count(*a))
+    blind = lambda sample, *rest: propose(sample.where("CAST(_text AS STRING) NOT LIKE '%alpha%'"), *rest)
+    monkeypatch.setattr(collocations, "propose", blind)
+    got = found(spark.createDataFrame(rows, SCHEMA), sample=2)
+    assert got == brute([r[1:] for r in rows]) and "alpha beta gamma delta" in [r[2] for r in got] and len(passes) == 1
