@@ -34,7 +34,8 @@ UNKNOWN = "und"
 SAMPLE = 8
 SLACK = 0.6
 SEGMENT = 1 << 19
-CHUNK = 1 << 20
+CHUNK = 1 << 19
+BATCH = 1 << 16
 RANKS = 21  # a chunk has fewer than 2 ** RANKS words
 KEY_BITS = 60
 BUCKETS = 1 << 16
@@ -194,6 +195,13 @@ def raw_texts(batch: pa.RecordBatch) -> tuple[Iterator[bytes], list[str]]:
     return (x.as_buffer().to_pybytes() for x in batch.column(0)), batch.column(1).to_pylist()
 
 
+def in_batches(results: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``results`` in batches of at most BATCH rows."""
+    for batch in results:
+        for lo in range(0, len(batch), BATCH):
+            yield batch.slice(lo, BATCH)
+
+
 def in_chunks(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
     """``work`` (words, pieces, buckets, owned) over chunks of words; the last words of a chunk go on to the next one, which counts the
     phrases that start with them."""
@@ -208,27 +216,35 @@ def in_chunks(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatc
                 joined = [np.concatenate(x) for x in zip(*chunk)]
                 owned = max(0, size - WIDEST + 1)
                 chunk, size = [tuple(x[owned:] for x in joined)], size - owned
-                yield from work(*joined, owned)
+                yield from in_batches(work(*joined, owned))
     if size:
-        yield from work(*(np.concatenate(x) for x in zip(*chunk)), size)
+        yield from in_batches(work(*(np.concatenate(x) for x in zip(*chunk)), size))
 
 
 def count_words(texts: DataFrame) -> DataFrame:
     """(w1 .. w4, lang, times) of all words; w2 to w4 are 0, lang is the hash of the language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens()
+        tokens, chunk, size = Tokens(), [], 0
+
+        def counted() -> pa.RecordBatch:
+            number, lang = (np.concatenate(x) for x in zip(*chunk))
+            unique, first, times = np.unique(number, return_index=True, return_counts=True)
+            hashed = tokens.lang_hash()[lang[first]] if len(unique) else unique
+            return pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(hashed.view(np.int64)), pa.array(times)], ["w1", "lang", "times"])
+
         for batch in batches:
-            chunk = [[np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]]
             for segment in tokens.segments(*raw_texts(batch)):
                 number, _, lang, _, _ = tokens.words(*segment)
-                chunk[0].append(number)
-                chunk[1].append(lang)
-            unique, first, times = np.unique(np.concatenate(chunk[0]), return_index=True, return_counts=True)
-            hashed = tokens.lang_hash()[np.concatenate(chunk[1])[first]] if len(unique) else unique
-            yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(hashed.view(np.int64)), pa.array(times)], ["w1", "lang", "times"])
-
-    rows = texts.mapInArrow(run, "w1 bigint, lang bigint, times bigint")
+                chunk.append((number, lang))
+                size += len(number)
+                if size >= CHUNK:
+                    yield counted()
+                    chunk, size = [], 0
+        if chunk:
+            yield counted()
+
+    rows = texts.mapInArrow(lambda batches: in_batches(run(batches)), "w1 bigint, lang bigint, times bigint")
     counted = rows.groupBy("w1").agg(F.min("lang").alias("lang"), F.sum("times").alias("times"))
     return counted.select("w1", *[F.lit(0).cast("bigint").alias(w) for w in WORDS[1:]], "lang", "times")
 

@@ -151,9 +151,8 @@ def test_words_of_frequent_phrases_are_read_once(spark, monkeypatch):
     rng = random.Random(3)
     names = [f"t{i}" for i in range(12)]
     rows = [(i, " ".join(rng.choice(names) for _ in range(60)), "en") for i in range(150)]
-    monkeypatch.setattr(collocations, "CHUNK", 200)  # a frequent phrase meets many chunks
     every = spark.sparkContext.broadcast(np.full(1 << 10, 255, dtype=np.uint8))
-    texts = collocations.texts_of(spark.createDataFrame(rows, SCHEMA).repartition(4), "text", "lang")
+    texts = collocations.texts_of(spark.createDataFrame(rows, SCHEMA).repartition(8), "text", "lang")  # a frequent phrase meets all
     keys = collocations.materialize(collocations.count_keys(texts, every, None, 4))
     spots = collocations.fitted_spots(keys)
     made = collocations.count_exactly(texts, every, every, every, spots, 4, False)
@@ -175,3 +174,12 @@ def test_few_failures_end_with_the_second_pass(spark, monkeypatch):
     monkeypatch.setattr(collocations, "propose", blind)
     got = found(spark.createDataFrame(rows, SCHEMA), sample=2)
     assert got == brute([r[1:] for r in rows]) and "alpha beta gamma delta" in [r[2] for r in got] and len(passes) == 1
+
+
+def test_words_are_counted_in_chunks(monkeypatch, spark):
+    """However much text an Arrow batch holds, no more than CHUNK words and a segment are counted at once."""
+    monkeypatch.setattr(collocations, "CHUNK", 100)
+    texts = spark.createDataFrame([(bytearray(b"the of a the b " * 40_000), "en")] * 3, "_text binary, _lang string").coalesce(1)
+    assert sorted(r.times for r in collocations.count_words(texts).collect()) == [120_000] * 3 + [240_000]
+    monkeypatch.setattr(collocations.F, "sum", lambda c: collocations.F.max(c))  # of the rows that are added up
+    assert max(r.times for r in collocations.count_words(texts).collect()) <= 80_000
