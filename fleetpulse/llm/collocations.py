@@ -34,7 +34,7 @@ UNKNOWN = "und"
 SAMPLE = 8
 SLACK = 0.6
 SEGMENT = 1 << 19
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 BATCH = 1 << 16
 RANKS = 21  # a chunk has fewer than 2 ** RANKS words
 KEY_BITS = 60
