@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.operators.neighbours import nearest
+from fleetpulse.operators.neighbours import Cells, nearest
 from fleetpulse.operators.sampling import hash_sample
 from fleetpulse.plans.prefix import exact_percentiles
 from fleetpulse.plans.tables import broadcast_if_small, materialize
@@ -43,9 +43,10 @@ def factor(found: DataFrame, own: DataFrame, densities: DataFrame) -> DataFrame:
 
 @dataclass
 class LocalOutlierFactor:
-    """Different training points, the distance to their k-th neighbour and their densities, all as written tables."""
+    """Different training points and their cells, the distance to their k-th neighbour and their densities, all as written tables."""
 
     points: DataFrame
+    cells: Cells | None
     reach: DataFrame
     densities: DataFrame
     train_scores: DataFrame
@@ -64,18 +65,19 @@ class LocalOutlierFactor:
         points = different_points(with_point(train, features).select("_x"), "reference")
         total = points.agg(F.sum("_n")).first()[0] or 0
         k = max(1, min(k, total - 1))
-        found = materialize(nearest(points, points, k, alone=True, seed=seed), "neighbours")
+        cells = Cells.of(points, seed)
+        found = materialize(nearest(points, points, k, alone=True, seed=seed, cells=cells), "neighbours")
         reach = materialize(found.groupBy("_q").agg(F.max("_d").alias("_reach")).withColumnRenamed("_q", "_o"), "reach")
         densities = materialize(density(found, reach), "densities")
         own = factor(found, densities, densities).join(points.select(F.col("_id").alias("_q"), "_n"), "_q")
         scores = materialize(own.select("lof", "_n"), "factors")
-        return LocalOutlierFactor(points, reach, densities, scores, k, features, seed)
+        return LocalOutlierFactor(points, cells, reach, densities, scores, k, features, seed)
 
     def score(self, df: DataFrame, out: str = "lof") -> DataFrame:
         """Add the factor: mean density of the nearest training rows over the row's own density; null without training rows."""
         asked = with_point(df, self.features)
         queries = different_points(asked.select("_x"), "queries")
-        found = materialize(nearest(queries, self.points, self.k, seed=self.seed), "neighbours")
+        found = materialize(nearest(queries, self.points, self.k, seed=self.seed, cells=self.cells), "neighbours")
         scored = factor(found, density(found, self.reach), self.densities)
         labelled = materialize(queries.join(scored.withColumnRenamed("_q", "_id"), "_id").select("_x", F.col("lof").alias("_lof")), "scored")
         kept = [c for c in df.columns if c != out]

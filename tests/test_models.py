@@ -314,6 +314,43 @@ def test_candidates_keep_all_ties_at_any_scale(scale, shift):
         assert list(zip(at[rows == i], d[rows == i])) == want
 
 
+@pytest.mark.parametrize("scale,shift", [(1.0, 0.0), (1e-25, 0.0), (1e-6, 1e6), (1e149, 0.0), (1.0, 1e12)])
+@pytest.mark.parametrize("share", [0.02, 0.3, 1.0])
+def test_candidates_within_reach_at_any_scale(scale, shift, share):
+    """A reach leaves out what is farther and nothing else, however many points lie within it."""
+    rng = np.random.default_rng(6)
+    b = np.round(rng.normal(0, 1, (701, 3)), 1) * scale + shift
+    a, ids, counts = b[:90] + 0.03 * scale, rng.permutation(len(b)), rng.choice([1, 2, 9], len(b))
+    full = neighbours.gaps(a, b)
+    reach = np.sort(full, axis=1)[:, int(share * (len(b) - 1))]  # the distance of a point: it counts as within
+    rows, at, d = neighbours.best_of(a, b, ids, counts, 12, None, reach)
+    for i in range(len(a)):
+        want, got = [], 0
+        for j in np.lexsort((ids, full[i])):
+            if got >= 12 or full[i, j] > reach[i]:
+                break
+            want.append((j, full[i, j]))
+            got += counts[j]
+        assert list(zip(at[rows == i], d[rows == i])) == want
+
+
+def test_visits_find_nothing_beyond_reach_and_cells_are_dealt_once(spark, monkeypatch):
+    """Another cell adds only points within the reach of the own cell, not as many as are wanted from each; cells are made once per model."""
+    monkeypatch.setattr(neighbours, "CELL_POINTS", 50)
+    monkeypatch.setattr(neighbours, "VISIT", 0)
+    rng = np.random.default_rng(12)
+    rows = [(i, *map(float, p)) for i, p in enumerate(rng.uniform(0, 1, (900, 2)))]
+    df = materialize(spark.createDataFrame(rows, "event_id long, a double, b double"))
+    found, dealt = [], []
+    inner, deal = neighbours.compare_blocks, neighbours.in_cells
+    monkeypatch.setattr(neighbours, "compare_blocks", lambda visits, *a: found.append((visits.count(), inner(visits, *a).count())) or inner(visits, *a))
+    monkeypatch.setattr(neighbours, "in_cells", lambda points, pivots: dealt.append(points.count()) or deal(points, pivots))
+    model = LocalOutlierFactor.fit(df.where("event_id < 600"), ["a", "b"], k=10)
+    assert found[1][0] > 100 and found[1][1] < 5 * found[1][0]  # before: ten for every visit
+    assert model.score(df.where("event_id >= 600")).where("lof > 0").count() == 300
+    assert dealt == [600, 300]
+
+
 def test_forest_scores_in_batches_equal_those_in_the_plan(spark, cloud):
     df, _ = cloud
     odd = df.select("event_id", "a", "b", F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).when(F.col("event_id") % 11 == 0, F.lit(float("inf"))).when(F.col("event_id") % 13 > 0, F.col("c")).alias("c"))
